@@ -59,16 +59,21 @@ def cash_in_out_by_zone(src, date_from: date, date_to: date,
 
 
 # ------------------------------------------------------------------ R7
-def gl_turnover(src, on: date, base: str = fixed.BASE_CCY) -> DataFrame:
-    """GL debit/credit turnover of one day by cash/transfer mode."""
+def turnover_entries(src, on: date) -> DataFrame:
+    """The postable, unreversed entries of one day with their tenor-coded
+    GL and the GL type (the turnover report's working set)."""
     led = src.table("ledger_entry")
     day = postable(in_window(led, on))
     day = exclude_reversed(day, led, "ref_code")
     enriched = with_natural_gl(day, src.table("account_gl_map"), src.table("deposit_term"))
     gl = src.table("gl_master").select("gl_code", "type")
-    ds = (enriched.join(gl, "gl_code")
-          .withColumn("gl_code", tenor_gl_bucket("gl_code", "orig_tenor_days")))
-    out = turnover(classify_mode(ds), base=base)
+    return (enriched.join(gl, "gl_code")
+            .withColumn("gl_code", tenor_gl_bucket("gl_code", "orig_tenor_days")))
+
+
+def gl_turnover(src, on: date, base: str = fixed.BASE_CCY) -> DataFrame:
+    """GL debit/credit turnover of one day by cash/transfer mode."""
+    out = turnover(classify_mode(turnover_entries(src, on)), base=base)
     return out.orderBy(F.col("gl_code").asc_nulls_last(), F.col("ac_ccy").asc_nulls_last())
 
 
@@ -160,6 +165,25 @@ R1_COLUMNS = ("loop_date", "branch_code", "branch_name", "lcy_opening_bal", "cas
               "fixed_deposit_ratio", "ccdr")
 
 
+def monitor_days(src, before: date, exception_days=(), n_days: int = 5):
+    """The report days (business days, holidays excluded) and the comparison
+    list (one day longer, holidays not excluded, not de-duplicated)."""
+    cal = src.table("calendar")
+    days = dep.business_days(cal, before, n=n_days, holidays=src.table("holiday"),
+                             skip=exception_days)
+    prior = dep.business_days(cal, before, n=n_days + 1, holidays=None,
+                              skip=exception_days, distinct=False)
+    return days, prior
+
+
+def deposits_with_prior(src, before: date, exception_days=(), n_days: int = 5) -> DataFrame:
+    """DepBKG of the cash monitor: deposits of the report days with the
+    day-over-day net against the comparison day."""
+    days, prior = monitor_days(src, before, exception_days, n_days)
+    mix = dep.deposit_mix(src.table("balance_history"), days.unionByName(prior))
+    return dep.net_deposit(mix, days, prior)
+
+
 def cash_monitor(src, before: date, exception_days=(), n_days: int = 5,
                  head_office_label: str = DEFAULT_HEAD_OFFICE_LABEL,
                  head_office: str = fixed.HEAD_OFFICE_BRANCH) -> DataFrame:
@@ -169,11 +193,8 @@ def cash_monitor(src, before: date, exception_days=(), n_days: int = 5,
     deposits with a comparison day; the head office is appended with its
     deposits and zero cash.
     """
-    cal, hist = src.table("calendar"), src.table("balance_history")
-    days = dep.business_days(cal, before, n=n_days, holidays=src.table("holiday"),
-                             skip=exception_days)
-    prior = dep.business_days(cal, before, n=n_days + 1, holidays=None,
-                              skip=exception_days, distinct=False)
+    hist = src.table("balance_history")
+    days, prior = monitor_days(src, before, exception_days, n_days)
     opening = dep.opening_cash(hist, days)
     cio = dep.cash_in_out(src.table("ledger_entry"), src.table("gl_account"),
                           src.table("branch"), days)
