@@ -24,26 +24,7 @@ def funded(account: DataFrame, balance: DataFrame) -> DataFrame:
     return account.join(b.select("cust_ac_no"), "cust_ac_no")
 
 
-def first_activity(ledger: DataFrame, date_from: date, date_to: date | None = None) -> DataFrame:
-    """(ac_no, first_dt) for accounts whose FIRST ledger entry ever falls in
-    the window.
-
-    ``min(trn_dt) over all history`` lies in ``[from, to]`` exactly when the
-    account has an entry in the window and none before ``from``.  So only
-    the window is aggregated, and the history before it is read as a
-    de-duplicated list of account numbers restricted (semi join) to the
-    window's accounts -- a narrow, prunable scan instead of a group-by over
-    the whole ledger.
-    """
-    inside = (ledger.where(_window(F.col("trn_dt"), date_from, date_to))
-              .groupBy("ac_no").agg(F.min("trn_dt").alias("first_dt"))
-              .where(F.col("ac_no").isNotNull()))
-    earlier = (ledger.where(F.col("trn_dt") < F.lit(date_from)).select("ac_no")
-               .join(inside.select("ac_no"), "ac_no", "left_semi").distinct())
-    return inside.join(earlier, "ac_no", "left_anti")
-
-
-def new_accounts(account: DataFrame, balance: DataFrame, ledger: DataFrame,
+def new_accounts(account: DataFrame, balance: DataFrame, first_entry: DataFrame,
                  date_from: date, date_to: date | None = None,
                  keys=("cust_ac_no", "account_class", "branch_code")) -> DataFrame:
     """C17: accounts newly active in the window, as (open_date, acc_no,
@@ -53,7 +34,9 @@ def new_accounts(account: DataFrame, balance: DataFrame, ledger: DataFrame,
     outside it (a balance row is required, no amount test) with the first
     ledger entry ever inside it; its ``open_date`` is that entry's date.
     ``keys`` is the grouping of part 2 (the one-day report groups by the
-    account number only).
+    account number only).  ``first_entry`` holds each account's first
+    posting day over all history (the ``first_entry`` side table), so the
+    ledger history is not re-aggregated per run.
     """
     opened = _window(F.col("ac_open_date"), date_from, date_to)
     part1 = funded(account.where(opened), balance).select(
@@ -62,7 +45,8 @@ def new_accounts(account: DataFrame, balance: DataFrame, ledger: DataFrame,
     with_bal = account.where(~opened).join(balance.select("cust_ac_no").distinct(),
                                            "cust_ac_no", "left_semi")
     grouped = with_bal.select(*keys).distinct()
-    first = first_activity(ledger, date_from, date_to).withColumnRenamed("ac_no", "cust_ac_no")
+    first = (first_entry.where(_window(F.col("first_dt"), date_from, date_to))
+             .select(F.col("ac_no").alias("cust_ac_no"), "first_dt"))
     part2 = grouped.join(first, "cust_ac_no")
     cols = [F.col("first_dt").alias("open_date"), F.col("cust_ac_no").alias("acc_no")]
     cols += [F.col(k) if k in keys else F.lit(None).cast("string").alias(k)

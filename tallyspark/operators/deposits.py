@@ -103,22 +103,22 @@ def opening_cash(history: DataFrame, days: DataFrame) -> DataFrame:
 
 # ------------------------------------------------------------------ C9
 def cash_in_out(ledger: DataFrame, gl_account: DataFrame, branch: DataFrame,
-                days: DataFrame) -> DataFrame:
+                days: DataFrame, reversals: DataFrame, cash_refs: DataFrame) -> DataFrame:
     """Cash in (credits) and cash out (negated debits) per day and branch
     from the legs of transactions that touch branch cash.
 
-    A leg counts when its transaction is not reversed (C1a, null-aware),
-    the same transaction has a ``1101...`` leg in the same branch, and its
-    natural GL is one of the cash-movement families.
+    A leg counts when its transaction is not reversed (C1a, null-aware,
+    ``reversals`` = reversal rows of all history), the same transaction has a
+    ``1101...`` leg in the same branch (``cash_refs`` = the ``cash_touch``
+    side table), and its natural GL is one of the cash-movement families.
     """
     led = ledger.join(F.broadcast(days), ledger.trn_dt == days.loop_date)
     acc = gl_account.select("ac_gl_no", "ac_natural_gl")
     br = branch.select(F.col("branch_code").alias("ac_branch"), "branch_name")
     j = led.join(acc, led.ac_no == acc.ac_gl_no).join(br, "ac_branch")
-    j = exclude_reversed(j, ledger, "ref")
-    touching_cash = (ledger.where(F.col("ac_no").startswith(fixed.CASH_GL_PREFIX))
-                     .select("trn_ref_no", "ac_branch").distinct())
-    j = j.join(touching_cash, ["trn_ref_no", "ac_branch"], "left_semi")
+    j = exclude_reversed(j, reversals, "ref")
+    j = j.join(cash_refs.select("trn_ref_no", "ac_branch"), ["trn_ref_no", "ac_branch"],
+               "left_semi")
     natural = F.coalesce(F.col("ac_natural_gl"), F.col("ac_no"))
     j = j.where(substr(natural, 1, 4).isin(*fixed.CASH_MOVEMENT_GL_FAMILIES)
                 | substr(natural, 1, 1).isin(*fixed.CASH_MOVEMENT_GL_CLASSES))
@@ -167,30 +167,35 @@ def net_deposit(deposits: DataFrame, days: DataFrame, prior_days: DataFrame) ->
     ``prior_days`` that precedes it for *some* branch.  A branch without a
     row on that globally chosen day drops out for the report day.
 
-    Plan: per branch, the latest earlier prior day comes from a running max
-    over at most ``|days| + |prior_days|`` rows (a window on the branch, no
-    pairwise join); the global choice is a max per day; the comparison row
-    is fetched with an equi-join.
+    One pass, no self-join: the deposit rows of both lists are tagged (a day
+    in both lists yields two rows), a window per branch gives each report
+    row its latest earlier comparison day and the branch's comparison totals
+    as a map (at most ``|prior_days|`` entries -- the deposits are one row
+    per day and branch), a window per day picks the global comparison day,
+    and the map lookup fetches the branch's total on it.
     """
-    dep = deposits.join(F.broadcast(days.select(F.col("loop_date").alias("trn_dt")).distinct()),
-                        "trn_dt", "left_semi")
-    prev = deposits.join(F.broadcast(prior_days.select(F.col("loop_date").alias("trn_dt"))
-                                     .distinct()), "trn_dt", "left_semi")
-    both = (dep.select("trn_dt", "branch_code", F.lit(0).alias("_side"))
-            .unionByName(prev.select("trn_dt", "branch_code", F.lit(1).alias("_side"))))
-    w = (Window.partitionBy("branch_code").orderBy("trn_dt", "_side")
-         .rowsBetween(Window.unboundedPreceding, -1))
-    latest = (both.withColumn("_prev", F.max(F.when(F.col("_side") == 1, F.col("trn_dt"))).over(w))
-              .where(F.col("_side") == 0))
-    chosen = latest.groupBy("trn_dt").agg(F.max("_prev").alias("_chosen"))
-    prior_total = prev.select(F.col("trn_dt").alias("_chosen"), "branch_code",
-                              F.col("total_dep").alias("_prior_total"))
-    out = (dep.join(chosen, "trn_dt")
-           .join(prior_total, ["_chosen", "branch_code"]))
-    return out.select(
+    lists = (days.select(F.col("loop_date").alias("trn_dt"), F.lit(0).alias("_side"))
+             .unionByName(prior_days.select(F.col("loop_date").alias("trn_dt"),
+                                            F.lit(1).alias("_side")))
+             .distinct())
+    both = deposits.join(F.broadcast(lists), "trn_dt")
+    side = F.col("_side")
+    branch = Window.partitionBy("branch_code")
+    earlier = branch.orderBy("trn_dt", "_side").rowsBetween(Window.unboundedPreceding, -1)
+    tagged = both.select(
+        "*",
+        F.max(F.when(side == 1, F.col("trn_dt"))).over(earlier).alias("_prev"),
+        F.map_from_entries(F.collect_list(F.when(side == 1, F.struct("trn_dt", "total_dep")))
+                           .over(branch)).alias("_prior"))
+    report = (tagged.where(side == 0)
+              .withColumn("_chosen", F.max("_prev").over(Window.partitionBy("trn_dt")))
+              .where(F.col("_chosen").isNotNull()
+                     & F.map_contains_key(F.col("_prior"), F.col("_chosen"))))
+    prior_total = F.try_element_at(F.col("_prior"), F.col("_chosen"))
+    return report.select(
         "trn_dt", F.col("branch_code").alias("branch"), "current_bal", "saving_bal",
         "call_bal", "fixed_bal", "total_dep",
-        (F.col("total_dep") - F.col("_prior_total")).alias("daily_net_deposit_amt"))
+        (F.col("total_dep") - prior_total).alias("daily_net_deposit_amt"))
 
 
 # ------------------------------------------------------------------ C11

@@ -1,10 +1,13 @@
 """Reversal removal: three scopes, kept apart on purpose.
 
-All three look for reversal rows over the *whole* ledger, not only the
-report window: a reversal may be posted on a later day than the original.
-Each builds the (small) set of reversed keys with map-side de-duplication
-and removes matches with a ``left_anti`` join keyed on the reference, so
-the set is shuffled once and AQE may broadcast it when it turns out small.
+All three look for reversal rows over the *whole* ledger history, not only
+the report window: a reversal may be posted on a later day than the
+original.  ``reversals`` is therefore the ``reversal_entry`` side table (the
+REVR rows of all history, see ``sources.derived``) -- or the ledger itself,
+which gives the same result at the cost of a full scan.  Each scope builds
+the set of reversed keys with map-side de-duplication and removes matches
+with a ``left_anti`` equi-join on the reference: a shuffle join when the
+set is large, a broadcast when AQE measures it small.
 """
 
 from __future__ import annotations
@@ -15,14 +18,14 @@ from pyspark.sql import functions as F
 from tallyspark import fixed
 
 
-def reversed_refs(ledger: DataFrame, scope: str = "ref") -> DataFrame:
+def reversed_refs(reversals: DataFrame, scope: str = "ref") -> DataFrame:
     """Keys of reversed transactions.
 
     ``ref``       every ``REVR`` row, key ``trn_ref_no``
     ``customer``  customer-side ``REVR`` rows only, key ``trn_ref_no``
     ``ref_code``  authorised ``REVR`` rows, key ``(trn_ref_no, trn_code)``
     """
-    rev = ledger.where(F.col("event") == fixed.REVERSAL_EVENT)
+    rev = reversals.where(F.col("event") == fixed.REVERSAL_EVENT)
     if scope == "ref":
         return rev.select("trn_ref_no")
     if scope == "customer":
@@ -32,7 +35,7 @@ def reversed_refs(ledger: DataFrame, scope: str = "ref") -> DataFrame:
     raise ValueError(f"unknown reversal scope {scope!r}")
 
 
-def exclude_reversed(rows: DataFrame, ledger: DataFrame, scope: str = "ref") -> DataFrame:
+def exclude_reversed(rows: DataFrame, reversals: DataFrame, scope: str = "ref") -> DataFrame:
     """Drop rows of reversed transactions.
 
     ``ref`` (C1a) is ``trn_ref_no NOT IN (reversed refs)`` with SQL's
@@ -46,7 +49,7 @@ def exclude_reversed(rows: DataFrame, ledger: DataFrame, scope: str = "ref") ->
 
     ``ref_code`` (C1c) is NOT EXISTS on ``(trn_ref_no, trn_code)``.
     """
-    keys = reversed_refs(ledger, scope)
+    keys = reversed_refs(reversals, scope)
     if scope == "ref":
         stats = keys.agg(F.struct(
             F.count(F.lit(1)).alias("n"),

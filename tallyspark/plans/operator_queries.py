@@ -44,14 +44,14 @@ def _zone_window(s: S) -> DataFrame:
 def reversal_ref(s: S) -> DataFrame:
     """Window entries whose reference is NOT IN the reversed
     references (null-aware)."""
-    return exclude_reversed(_zone_window(s), _led(s), "ref").select(*LED_COLS)
+    return exclude_reversed(_zone_window(s), s.table("reversal_entry"), "ref").select(*LED_COLS)
 
 
 def reversal_customer(s: S) -> DataFrame:
     """C1b / P20 (1 key): cash legs of the window, customer-side reversals
     removed (R2's cash-leg finder)."""
     legs = cash_legs(_zone_window(s), s.table("gl_master"))
-    return exclude_reversed(legs, _led(s), "customer").select(
+    return exclude_reversed(legs, s.table("reversal_entry"), "customer").select(
         "trn_ref_no", "external_ref_no", "ac_branch", "ac_no", "ac_ccy", "trn_code", "lcy_amount")
 
 
@@ -59,7 +59,7 @@ def reversal_ref_code(s: S) -> DataFrame:
     """C1c / P20 (2 keys): postable entries of a day without an authorised
     reversal of the same reference and transaction code."""
     day = postable(in_window(_led(s), P.TURNOVER_DAY))
-    return exclude_reversed(day, _led(s), "ref_code").select(*LED_COLS, "trn_code")
+    return exclude_reversed(day, s.table("reversal_entry"), "ref_code").select(*LED_COLS, "trn_code")
 
 
 def postable_q(s: S) -> DataFrame:
@@ -170,7 +170,8 @@ def opening_cash_q(s: S) -> DataFrame:
 def cash_in_out_q(s: S) -> DataFrame:
     """Cash in/out per report day and branch."""
     days, _ = R.monitor_days(s, P.CASH_MONITOR_BEFORE)
-    return dep.cash_in_out(_led(s), s.table("gl_account"), s.table("branch"), days)
+    return dep.cash_in_out(_led(s), s.table("gl_account"), s.table("branch"), days,
+                           s.table("reversal_entry"), s.table("cash_touch"))
 
 
 def deposit_mix_q(s: S) -> DataFrame:
@@ -256,7 +257,8 @@ def join_multikey_fanout(s: S) -> DataFrame:
     """Rows produced per branch and currency by the five-key join of
     customer entries with cash legs (duplicate legs multiply rows)."""
     w = _zone_window(s)
-    cash = exclude_reversed(cash_legs(w, s.table("gl_master")), _led(s), "customer")
+    cash = exclude_reversed(cash_legs(w, s.table("gl_master")), s.table("reversal_entry"),
+                            "customer")
     keys = ["trn_ref_no", "external_ref_no", "ac_branch", "ac_ccy", "lcy_amount"]
     n = cash.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
     j = w.where(F.col("cust_gl") == fixed.CUSTOMER_LEG).join(n, keys)
@@ -266,8 +268,8 @@ def join_multikey_fanout(s: S) -> DataFrame:
 # ------------------------------------------------------------- accounts
 def new_accounts_q(s: S) -> DataFrame:
     """Newly active accounts of the open/close window."""
-    return acc.new_accounts(s.table("account"), s.table("account_balance"), _led(s),
-                            P.OPEN_CLOSE_FROM, P.OPEN_CLOSE_TO)
+    return acc.new_accounts(s.table("account"), s.table("account_balance"),
+                            s.table("first_entry"), P.OPEN_CLOSE_FROM, P.OPEN_CLOSE_TO)
 
 
 def agg_of_union(s: S) -> DataFrame:
@@ -299,8 +301,8 @@ def scalar_cross(s: S) -> DataFrame:
     """Bank-wide opened, closed and net counts of a day, each an
     uncorrelated scalar subquery."""
     d = P.NEW_DEPOSIT_DAY
-    opened = acc.new_accounts(s.table("account"), s.table("account_balance"), _led(s), d, None,
-                              keys=("cust_ac_no",))
+    opened = acc.new_accounts(s.table("account"), s.table("account_balance"),
+                              s.table("first_entry"), d, None, keys=("cust_ac_no",))
     closed = acc.closures(s.table("account_closure"), s.table("account"), d, None)
     n_open = opened.agg(F.count("acc_no")).scalar()
     n_close = closed.agg(F.count("ac_no")).scalar()

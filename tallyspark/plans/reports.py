@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyspark import fixed
+from tallyspark.session import checkpoint_dir
 from tallyspark.functions.oracle import MONEY, nvl
 from tallyspark.operators import accounts as acc
 from tallyspark.operators import deposits as dep
@@ -28,6 +29,18 @@ from tallyspark.operators.reversal import exclude_reversed
 DEFAULT_HEAD_OFFICE_LABEL = "HEAD OFFICE"
 
 
+def fix_small(df: DataFrame) -> DataFrame:
+    """Materialise a parameter-bounded relation (a top-n list) once.
+
+    ``checkpoint`` writes it to ``spark.checkpoint.dir`` -- the cluster's
+    shared folder -- and cuts its lineage, so the consumers read a handful
+    of rows instead of re-planning the whole subtree (under adaptive
+    execution, repeated uses of a subquery are not reused across stages).
+    """
+    checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
 # ------------------------------------------------------------------ R2
 def cash_in_out_by_zone(src, date_from: date, date_to: date,
                         base: str = fixed.BASE_CCY) -> DataFrame:
@@ -38,7 +51,8 @@ def cash_in_out_by_zone(src, date_from: date, date_to: date,
     """
     led = src.table("ledger_entry")
     window = in_window(led, date_from, date_to)
-    cash = exclude_reversed(cash_legs(window, src.table("gl_master")), led, "customer")
+    cash = exclude_reversed(cash_legs(window, src.table("gl_master")),
+                            src.table("reversal_entry"), "customer")
     keys = ["trn_ref_no", "external_ref_no", "ac_branch", "ac_ccy", "lcy_amount"]
     # Each customer row joins every cash leg with the same five keys (fan-out is
     # the report's rule); counting the legs per key first keeps the join
@@ -64,7 +78,7 @@ def turnover_entries(src, on: date) -> DataFrame:
     GL and the GL type (the turnover report's working set)."""
     led = src.table("ledger_entry")
     day = postable(in_window(led, on))
-    day = exclude_reversed(day, led, "ref_code")
+    day = exclude_reversed(day, src.table("reversal_entry"), "ref_code")
     enriched = with_natural_gl(day, src.table("account_gl_map"), src.table("deposit_term"))
     gl = src.table("gl_master").select("gl_code", "type")
     return (enriched.join(gl, "gl_code")
@@ -95,8 +109,8 @@ def new_deposit(src, on: date, base: str = fixed.BASE_CCY) -> DataFrame:
     cash = cash_legs(day, src.table("gl_master"))
     customer_rows = day.where(F.col("cust_gl") == fixed.CUSTOMER_LEG)
     flows = deposit_flows(customer_rows, cash, src.table("account_gl_map"), base=base)
-    opened = acc.new_accounts(src.table("account"), src.table("account_balance"), led,
-                              on, None, keys=("cust_ac_no",))
+    opened = acc.new_accounts(src.table("account"), src.table("account_balance"),
+                              src.table("first_entry"), on, None, keys=("cust_ac_no",))
     closed = acc.closures(src.table("account_closure"), src.table("account"), on, None)
     n_open = opened.agg(F.count("acc_no")).scalar()
     n_close = closed.agg(F.count("ac_no")).scalar()
@@ -107,9 +121,8 @@ def new_deposit(src, on: date, base: str = fixed.BASE_CCY) -> DataFrame:
 # ------------------------------------------------------------------ R6
 def open_close_counts(src, date_from: date, date_to: date) -> DataFrame:
     """Accounts opened/closed per branch, opening date and product."""
-    led = src.table("ledger_entry")
-    opened = acc.new_accounts(src.table("account"), src.table("account_balance"), led,
-                              date_from, date_to)
+    opened = acc.new_accounts(src.table("account"), src.table("account_balance"),
+                              src.table("first_entry"), date_from, date_to)
     closed = acc.closures(src.table("account_closure"), src.table("account"), date_from, date_to)
     out = acc.open_close(opened, closed, src.table("account_class"), date_from, date_to)
     return (out.orderBy(F.col("branch_code").asc_nulls_last())
@@ -173,7 +186,10 @@ def monitor_days(src, before: date, exception_days=(), n_days: int = 5):
                              skip=exception_days)
     prior = dep.business_days(cal, before, n=n_days + 1, holidays=None,
                               skip=exception_days, distinct=False)
-    return days, prior
+    # Both lists are bounded by n_days + 1 rows and feed five consumers each.
+    # Fixing them once (written to the shared checkpoint folder) keeps every
+    # consumer from re-running the calendar scan and top-n.
+    return fix_small(days), fix_small(prior)
 
 
 def deposits_with_prior(src, before: date, exception_days=(), n_days: int = 5) -> DataFrame:
@@ -197,7 +213,8 @@ def cash_monitor(src, before: date, exception_days=(), n_days: int = 5,
     days, prior = monitor_days(src, before, exception_days, n_days)
     opening = dep.opening_cash(hist, days)
     cio = dep.cash_in_out(src.table("ledger_entry"), src.table("gl_account"),
-                          src.table("branch"), days)
+                          src.table("branch"), days, src.table("reversal_entry"),
+                          src.table("cash_touch"))
     br = src.table("branch").select(F.col("branch_code").alias("ac_branch"),
                                     F.col("branch_name").alias("brn_name"))
     limit = (opening.join(cio.select("trn_dt", "ac_branch", "cashin", "cashout"),

@@ -56,15 +56,18 @@ def build_session(master: str | None = None, app: str = "tallyspark",
 def checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
-    The cluster owns that setting.  Only when it is unset (local tests) is a
+    The cluster owns that setting and Spark registers it at start-up.  Only
+    when no folder is known at all (a bare local session in tests) is a
     fresh scratch folder created and registered.
     """
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = tempfile.mkdtemp(prefix="tallyspark-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", path)
-    spark.sparkContext.setCheckpointDir(path)
-    return path
+    sc = spark.sparkContext
+    current = sc.getCheckpointDir()
+    if current:
+        return current
+    path = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(
+        prefix="tallyspark-ckpt-")
+    sc.setCheckpointDir(path)
+    return sc.getCheckpointDir() or path
 
 
 def local_cpus(default: int = 8) -> int:

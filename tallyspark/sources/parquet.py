@@ -23,8 +23,8 @@ from pyspark.sql import types as T
 from tallyspark.sources.testdata import TestdataSource
 
 REMOTE_RELATIONS = frozenset({
-    "ledger_entry", "gl_master", "account_gl_map", "deposit_term", "account",
-    "account_balance", "account_closure",
+    "ledger_entry", "reversal_entry", "cash_touch", "first_entry", "gl_master",
+    "account_gl_map", "deposit_term", "account", "account_balance", "account_closure",
 })
 
 

@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 
 from tallyspark import fixed
 from tallyspark.functions.oracle import MONEY
+from tallyspark.sources import derived
 
 BAL = "decimal(32,3)"
 
@@ -57,7 +58,7 @@ class TestdataSource:
         "branch_group", "account", "joint_holder", "account_balance",
         "account_closure", "account_class", "customer", "customer_personal",
         "customer_corporate", "customer_professional", "field_label",
-    )
+    ) + derived.DERIVED
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark = spark
@@ -71,7 +72,10 @@ class TestdataSource:
         if name not in self._memo:
             if name not in self.RELATIONS:
                 raise KeyError(f"unknown relation {name!r}")
-            self._memo[name] = getattr(self, f"_{name}")()
+            if name in derived.DERIVED:
+                self._memo[name] = derived.derive(name, self.table("ledger_entry"))
+            else:
+                self._memo[name] = getattr(self, f"_{name}")()
         return self._memo[name]
 
     __call__ = table
@@ -82,7 +86,11 @@ class TestdataSource:
             "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity",
             "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus")
         od = self.raw("orders").select("o_orderkey", "o_custkey")
-        j = li.join(od, li.l_orderkey == od.o_orderkey)
+        # Hash-partition both sides on the order key: the distribution the join
+        # needs at scale anyway, and it spreads the per-entry expression work
+        # over all cores even when an input file is a single row group.
+        j = li.repartition("l_orderkey").join(od.repartition("o_orderkey"),
+                                              F.col("l_orderkey") == F.col("o_orderkey"))
 
         key, cust = F.col("l_orderkey"), F.col("o_custkey")
         price, rflag = F.col("l_extendedprice"), F.col("l_returnflag")
