@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from tallyspark import fixed
 from tallyspark.functions.oracle import (MONEY, char_at, dd_mon_yy, is_weekday,
                                          round_ratio, substr)
-from tallyspark.operators.relational import not_in
+from tallyspark.operators.relational import not_in, salted_join
 from tallyspark.operators.reversal import exclude_reversed
 
 
@@ -117,8 +117,8 @@ def cash_in_out(ledger: DataFrame, gl_account: DataFrame, branch: DataFrame,
     br = branch.select(F.col("branch_code").alias("ac_branch"), "branch_name")
     j = led.join(acc, led.ac_no == acc.ac_gl_no).join(br, "ac_branch")
     j = exclude_reversed(j, reversals, "ref")
-    j = j.join(cash_refs.select("trn_ref_no", "ac_branch"), ["trn_ref_no", "ac_branch"],
-               "left_semi")
+    j = salted_join(j, cash_refs.select("trn_ref_no", "ac_branch"), ["trn_ref_no", "ac_branch"],
+                    "left_semi")
     natural = F.coalesce(F.col("ac_natural_gl"), F.col("ac_no"))
     j = j.where(substr(natural, 1, 4).isin(*fixed.CASH_MOVEMENT_GL_FAMILIES)
                 | substr(natural, 1, 1).isin(*fixed.CASH_MOVEMENT_GL_CLASSES))

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from tallyspark import fixed
 from tallyspark.functions.oracle import MONEY
 from tallyspark.operators.ledger import tenor_gl_first
+from tallyspark.operators.relational import salted_join
 
 
 def _zero() -> Column:
@@ -92,7 +93,7 @@ def deposit_flows(entries: DataFrame, cash: DataFrame, account_gl_map: DataFrame
     n_cash = cash.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n_cash"))
     n_map = (account_gl_map.groupBy(F.col("ac_gl_no").alias("ac_no"))
              .agg(F.count(F.lit(1)).alias("_n_map")))
-    e = (entries.join(n_cash, keys, "left").join(n_map, "ac_no", "left")
+    e = (salted_join(entries, n_cash, keys, "left").join(n_map, "ac_no", "left")
          .withColumn("_w", F.coalesce("_n_cash", F.lit(1)) * F.coalesce("_n_map", F.lit(1)))
          .withColumn("_mode", F.when(F.col("_n_cash").isNotNull(), "CASH").otherwise("TRANSFER")))
     drcr, mode, w = F.col("drcr_ind"), F.col("_mode"), F.col("_w")
@@ -110,23 +111,19 @@ def deposit_flows(entries: DataFrame, cash: DataFrame, account_gl_map: DataFrame
 
 
 # ------------------------------------------------------------------ C20
-def net_position(ledger: DataFrame, account_gl_map: DataFrame, deposit_term: DataFrame,
+def net_position(daily: DataFrame, account_gl_map: DataFrame, deposit_term: DataFrame,
                  codes=None, base: str = fixed.BASE_CCY) -> DataFrame:
     """C20: |credits - debits| per tenor-qualified GL code and currency.
 
-    The ledger is first reduced per (account, leg, currency) -- one row per
-    account instead of one per entry, combined map-side -- and only that
+    ``daily`` is the ``authorised_daily`` rollup (debit/credit sums per day,
+    account, leg and currency) restricted to the days wanted.  It is reduced
+    per (account, leg, currency) -- combined map-side -- and only that
     result meets the account and deposit dimensions.  Summing partial sums
-    is exact for decimals, and any fan-out of the account map multiplies
-    a partial sum exactly as it would multiply each entry.
+    is exact for decimals, and any fan-out of the account map multiplies a
+    partial sum exactly as it would multiply each entry.
     """
-    drcr = F.col("drcr_ind")
-    per_acct = (ledger.where(F.col("auth_stat") == fixed.AUTHORISED)
-                .groupBy("ac_no", "cust_gl", "ac_ccy")
-                .agg(F.sum(F.when(drcr == fixed.DEBIT, F.col("lcy_amount"))).alias("d_lcy"),
-                     F.sum(F.when(drcr == fixed.CREDIT, F.col("lcy_amount"))).alias("c_lcy"),
-                     F.sum(F.when(drcr == fixed.DEBIT, F.col("fcy_amount"))).alias("d_fcy"),
-                     F.sum(F.when(drcr == fixed.CREDIT, F.col("fcy_amount"))).alias("c_fcy")))
+    per_acct = (daily.groupBy("ac_no", "cust_gl", "ac_ccy")
+                .agg(*[F.sum(c).alias(c) for c in ("d_lcy", "c_lcy", "d_fcy", "c_fcy")]))
     acc = account_gl_map.select("ac_gl_no", "ac_natural_gl")
     term = deposit_term.select("acc", "orig_tenor_days", "orig_tenor_months", "orig_tenor_years")
     j = (per_acct.join(acc, per_acct.ac_no == acc.ac_gl_no, "left")

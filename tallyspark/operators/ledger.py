@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from tallyspark import fixed
 from tallyspark.functions.oracle import oracle_concat
+from tallyspark.operators.relational import salted_join
 
 
 def in_window(ledger: DataFrame, date_from: date, date_to: date | None = None) -> DataFrame:
@@ -123,8 +124,9 @@ def classify_mode(ds: DataFrame, type_col: str = "type") -> DataFrame:
 
     Plan: the keys that have a cash leg are found with a de-duplicating
     aggregate (map-side combine, so a hot key costs one row per task) and
-    attached with a many-to-one left join -- no self-join that pairs every
-    entry with every other entry of its group.  Rows that need two modes are
+    attached with a many-to-one left join (salted, so a hot transaction key
+    is spread over several reducers) -- no self-join that pairs every entry
+    with every other entry of its group.  Rows that need two modes are
     emitted by one ``explode`` over a one- or two-element array.
     """
     keys = list(MODE_KEYS)
@@ -134,7 +136,7 @@ def classify_mode(ds: DataFrame, type_col: str = "type") -> DataFrame:
     own_cash = F.coalesce(F.col(type_col) == fixed.CASH_GL_TYPE, F.lit(False))
     with_cash = (ds.where(own_cash & not_null).select(*keys).distinct()
                  .withColumn("_has_cash", F.lit(True)))
-    tagged = ds.join(with_cash, keys, "left")
+    tagged = salted_join(ds, with_cash, keys, "left")
     has = F.coalesce(F.col("_has_cash"), F.lit(False))
     modes = F.array_compact(F.array(
         F.when(own_cash | has, F.lit("cash")),

@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyspark import fixed
+from tallyspark.operators.relational import salted_join
 
 
 def reversed_refs(reversals: DataFrame, scope: str = "ref") -> DataFrame:
@@ -56,8 +57,8 @@ def exclude_reversed(rows: DataFrame, reversals: DataFrame, scope: str = "ref")
             F.count_if(F.col("trn_ref_no").isNull()).alias("n_null")).alias("s")).scalar()
         guarded = rows.where((stats["n_null"] == 0)
                              & (F.col("trn_ref_no").isNotNull() | (stats["n"] == 0)))
-        return guarded.join(keys.distinct(), "trn_ref_no", "left_anti")
+        return salted_join(guarded, keys.distinct(), ["trn_ref_no"], "left_anti")
     if scope == "customer":
         kept = rows.where(~F.col("event").isin(fixed.REVERSAL_EVENT))
-        return kept.join(keys.distinct(), "trn_ref_no", "left_anti")
-    return rows.join(keys.distinct(), ["trn_ref_no", "trn_code"], "left_anti")
+        return salted_join(kept, keys.distinct(), ["trn_ref_no"], "left_anti")
+    return salted_join(rows, keys.distinct(), ["trn_ref_no", "trn_code"], "left_anti")

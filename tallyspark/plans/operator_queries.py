@@ -249,8 +249,8 @@ def turnover_q(s: S) -> DataFrame:
 
 def net_position_q(s: S) -> DataFrame:
     """Net position of every GL code (no code filter)."""
-    led = _led(s).where(F.col("trn_dt") <= F.lit(P.LIQUIDITY_AS_OF))
-    return net_position(led, s.table("account_gl_map"), s.table("deposit_term"))
+    daily = s.table("authorised_daily").where(F.col("trn_dt") <= F.lit(P.LIQUIDITY_AS_OF))
+    return net_position(daily, s.table("account_gl_map"), s.table("deposit_term"))
 
 
 def join_multikey_fanout(s: S) -> DataFrame:

@@ -24,6 +24,7 @@ from tallyspark.operators.channels import channel, with_zone
 from tallyspark.operators.flows import deposit_flows, net_position, turnover
 from tallyspark.operators.ledger import (cash_legs, classify_mode, in_window, postable,
                                          tenor_gl_bucket, unit_amount, with_natural_gl)
+from tallyspark.operators.relational import salted_join
 from tallyspark.operators.reversal import exclude_reversed
 
 DEFAULT_HEAD_OFFICE_LABEL = "HEAD OFFICE"
@@ -58,8 +59,7 @@ def cash_in_out_by_zone(src, date_from: date, date_to: date,
     # the report's rule); counting the legs per key first keeps the join
     # many-to-one and weights the sums instead of duplicating rows.
     n_cash = cash.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    rows = (window.where(F.col("cust_gl") == fixed.CUSTOMER_LEG)
-            .join(n_cash, keys))
+    rows = salted_join(window.where(F.col("cust_gl") == fixed.CUSTOMER_LEG), n_cash, keys)
     rows = with_zone(rows, src.table("branch_group_member"), src.table("branch_group"))
     drcr = F.col("drcr_ind")
     typ = F.when(drcr == fixed.CREDIT, "Cash_In").when(drcr == fixed.DEBIT, "Cash_Out")
@@ -95,8 +95,8 @@ def gl_turnover(src, on: date, base: str = fixed.BASE_CCY) -> DataFrame:
 def liquidity(src, as_of: date, codes=None, base: str = fixed.BASE_CCY) -> DataFrame:
     """Net ledger position per tenor-qualified GL code and currency as of
     a day (inclusive), optionally restricted to ``codes``."""
-    led = src.table("ledger_entry").where(F.col("trn_dt") <= F.lit(as_of))
-    return net_position(led, src.table("account_gl_map"), src.table("deposit_term"),
+    daily = src.table("authorised_daily").where(F.col("trn_dt") <= F.lit(as_of))
+    return net_position(daily, src.table("account_gl_map"), src.table("deposit_term"),
                         codes=codes, base=base)
 
 

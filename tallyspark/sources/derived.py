@@ -10,10 +10,14 @@ appended day by day) next to the day-partitioned ledger:
 ``reversal_entry``   the reversal rows (event REVR), narrow projection
 ``cash_touch``       distinct (reference, branch) having a vault-cash leg
 ``first_entry``      first posting day per account
+``authorised_daily`` authorised debit/credit sums per day, account, leg and
+                     currency -- the as-of position (liquidity report) sums
+                     these instead of every entry of the history
 
 Each is a few percent of the ledger or smaller (one row per account for
-``first_entry``).  ``TestdataSource`` derives them on the fly from its
-ledger; ``ParquetSource`` reads the stored copies.
+``first_entry``, one per active account and day for ``authorised_daily``).
+``TestdataSource`` derives them on the fly from its ledger;
+``ParquetSource`` reads the stored copies.
 """
 
 from __future__ import annotations
@@ -23,7 +27,8 @@ from pyspark.sql import functions as F
 
 from tallyspark import fixed
 
-DERIVED = ("reversal_entry", "cash_touch", "first_entry")
+DERIVED = ("reversal_entry", "cash_touch", "first_entry", "authorised_daily")
+PARTITION_COLUMN = {"ledger_entry": "trn_dt", "authorised_daily": "trn_dt"}
 
 
 def reversal_entry(ledger: DataFrame) -> DataFrame:
@@ -42,6 +47,23 @@ def first_entry(ledger: DataFrame) -> DataFrame:
     return ledger.groupBy("ac_no").agg(F.min("trn_dt").alias("first_dt"))
 
 
+def authorised_daily(ledger: DataFrame) -> DataFrame:
+    """Sums of authorised entries per (day, account, leg, currency), debit
+    and credit apart, local and foreign amount apart.  A sum over no
+    non-NULL amount stays NULL, exactly as a sum over the entries would."""
+    drcr = F.col("drcr_ind")
+
+    def part(side, amount):
+        return F.sum(F.when(drcr == side, F.col(amount)))
+
+    return (ledger.where(F.col("auth_stat") == fixed.AUTHORISED)
+            .groupBy("trn_dt", "ac_no", "cust_gl", "ac_ccy")
+            .agg(part(fixed.DEBIT, "lcy_amount").alias("d_lcy"),
+                 part(fixed.CREDIT, "lcy_amount").alias("c_lcy"),
+                 part(fixed.DEBIT, "fcy_amount").alias("d_fcy"),
+                 part(fixed.CREDIT, "fcy_amount").alias("c_fcy")))
+
+
 def derive(name: str, ledger: DataFrame) -> DataFrame:
     return {"reversal_entry": reversal_entry, "cash_touch": cash_touch,
-            "first_entry": first_entry}[name](ledger)
+            "first_entry": first_entry, "authorised_daily": authorised_daily}[name](ledger)

@@ -20,10 +20,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tallyspark.sources.derived import PARTITION_COLUMN
 from tallyspark.sources.testdata import TestdataSource
 
 REMOTE_RELATIONS = frozenset({
-    "ledger_entry", "reversal_entry", "cash_touch", "first_entry", "gl_master",
+    "ledger_entry", "reversal_entry", "cash_touch", "first_entry", "authorised_daily",
+    "gl_master",
     "account_gl_map", "deposit_term", "account", "account_balance", "account_closure",
 })
 
@@ -37,15 +39,17 @@ def blank_strings_to_null(df: DataFrame) -> DataFrame:
 
 
 def write_relation(df: DataFrame, root: str, name: str, mode: str = "overwrite") -> None:
-    """Normalise and write one relation; the ledger is partitioned by day."""
+    """Normalise and write one relation; day-grained facts are partitioned
+    by day (the ledger additionally clustered by reference inside a day)."""
     out = blank_strings_to_null(df)
-    writer = out.write.mode(mode)
+    part = PARTITION_COLUMN.get(name)
+    if part is None:
+        out.write.mode(mode).parquet(f"{root.rstrip('/')}/{name}")
+        return
+    out = out.repartition(part)
     if name == "ledger_entry":
-        # One directory per posting day, files clustered by reference so the
-        # reference-keyed self-joins read compact row groups.
-        out = out.repartition("trn_dt").sortWithinPartitions("trn_ref_no")
-        writer = out.write.mode(mode).partitionBy("trn_dt")
-    writer.parquet(f"{root.rstrip('/')}/{name}")
+        out = out.sortWithinPartitions("trn_ref_no")
+    out.write.mode(mode).partitionBy(part).parquet(f"{root.rstrip('/')}/{name}")
 
 
 class ParquetSource:

@@ -1,0 +1,7 @@
+"""Streaming: intentionally no operators.
+
+The reports are batch reports over a posted ledger: they have no event-time
+windows, watermarks, state or late data, so nothing here would correspond
+to the workload.  Day-by-day ingest of the ledger and its side tables is a
+batch write (``tallyspark.sources.parquet.write_relation``).
+"""
