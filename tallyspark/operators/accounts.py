@@ -42,12 +42,14 @@ def new_accounts(account: DataFrame, balance: DataFrame, first_entry: DataFrame,
     part1 = funded(account.where(opened), balance).select(
         F.col("ac_open_date").alias("open_date"), F.col("cust_ac_no").alias("acc_no"),
         "account_class", "branch_code")
-    with_bal = account.where(~opened).join(balance.select("cust_ac_no").distinct(),
-                                           "cust_ac_no", "left_semi")
-    grouped = with_bal.select(*keys).distinct()
+    # Part 2 is driven by the few accounts whose first entry falls in the
+    # window; the account and balance tables are only probed for them.
     first = (first_entry.where(_window(F.col("first_dt"), date_from, date_to))
              .select(F.col("ac_no").alias("cust_ac_no"), "first_dt"))
-    part2 = grouped.join(first, "cust_ac_no")
+    candidates = account.where(~opened).join(first.select("cust_ac_no"), "cust_ac_no",
+                                             "left_semi")
+    with_bal = candidates.join(balance.select("cust_ac_no"), "cust_ac_no", "left_semi")
+    part2 = with_bal.select(*keys).distinct().join(first, "cust_ac_no")
     cols = [F.col("first_dt").alias("open_date"), F.col("cust_ac_no").alias("acc_no")]
     cols += [F.col(k) if k in keys else F.lit(None).cast("string").alias(k)
              for k in ("account_class", "branch_code")]
@@ -114,23 +116,41 @@ def exclude_internal(df: DataFrame, col: str = "cust_ac_no") -> DataFrame:
     return df.where(char_at(col, 6) != fixed.INTERNAL_ACCOUNT_DIGIT)
 
 
-def customer_profile(customer: DataFrame, personal: DataFrame, corporate: DataFrame,
-                     professional: DataFrame) -> DataFrame:
-    """Customer master with personal, corporate and professional
-    details; the birth date is the incorporation date for non-individuals."""
-    c = customer.select("customer_no", "customer_type", "full_name", "unique_id_name",
-                        "unique_id_value", "address_line1", "address_line2",
-                        "address_line3", "address_line4")
+def with_customer_details(rows: DataFrame, personal: DataFrame, corporate: DataFrame,
+                          professional: DataFrame) -> DataFrame:
+    """Attach personal, corporate and professional details to rows that
+    carry ``customer_no`` and ``customer_type`` (left joins on the customer
+    number); the birth date is the incorporation date for non-individuals.
+
+    Called on the rows actually needed (e.g. the holders of the report's
+    accounts), so the large detail tables are only probed for those
+    customers -- runtime bloom filters prune their scans -- instead of being
+    joined in full first.
+    """
     p = personal.select("customer_no", "customer_prefix", "date_of_birth", "telephone",
                         "mobile_number")
     k = corporate.select("customer_no", "incorp_date")
     d = professional.select("customer_no", "designation")
-    j = c.join(p, "customer_no", "left").join(k, "customer_no", "left").join(d, "customer_no", "left")
+    j = rows.join(p, "customer_no", "left").join(k, "customer_no", "left").join(
+        d, "customer_no", "left")
     dob = (F.when(F.col("customer_type") == fixed.CUSTOMER_INDIVIDUAL, F.col("date_of_birth"))
             .otherwise(F.col("incorp_date")))
     return j.withColumn("date_of_birth", dob).drop("incorp_date")
 
 
+CUSTOMER_COLUMNS = ("customer_no", "customer_type", "full_name", "unique_id_name",
+                    "unique_id_value", "address_line1", "address_line2", "address_line3",
+                    "address_line4")
+
+
+def customer_profile(customer: DataFrame, personal: DataFrame, corporate: DataFrame,
+                     professional: DataFrame) -> DataFrame:
+    """The customer master with its personal, corporate and professional
+    details (every customer)."""
+    return with_customer_details(customer.select(*CUSTOMER_COLUMNS), personal, corporate,
+                                 professional)
+
+
 def format_address(l1="address_line1", l2="address_line2", l3="address_line3",
                    l4="address_line4") -> Column:
     """``l1, l2, l3, l4`` with Oracle concatenation (NULL lines vanish,

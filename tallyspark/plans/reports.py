@@ -141,12 +141,15 @@ def ekyc(src, date_from: date, date_to: date) -> DataFrame:
     accounts = acc.exclude_internal(src.table("account").where(
         F.col("ac_open_date").between(F.lit(date_from), F.lit(date_to))))
     holders = acc.account_holders(accounts, src.table("joint_holder"))
-    prof = acc.customer_profile(src.table("customer"), src.table("customer_personal"),
-                                src.table("customer_corporate"),
-                                src.table("customer_professional"))
+    cust = src.table("customer").select(*acc.CUSTOMER_COLUMNS)
+    # Holders of the window's accounts first, then their details: the large
+    # customer tables are probed for these customers only.
+    named = holders.join(cust, holders.cust_no == cust.customer_no)
+    j = acc.with_customer_details(named, src.table("customer_personal"),
+                                  src.table("customer_corporate"),
+                                  src.table("customer_professional"))
     br = src.table("branch").select("branch_code", "branch_name")
-    j = (holders.join(prof, holders.cust_no == prof.customer_no)
-         .join(br, "branch_code"))
+    j = j.join(br, "branch_code")
     out = j.select(
         acc.holder_type().alias("Type"),
         F.col("ac_open_date").alias("Open Date"),

@@ -28,17 +28,24 @@ from pyspark.sql import functions as F
 from tallyspark import fixed
 
 DERIVED = ("reversal_entry", "cash_touch", "first_entry", "authorised_daily")
-PARTITION_COLUMN = {"ledger_entry": "trn_dt", "authorised_daily": "trn_dt"}
+# Stored layout: every day-grained relation is partitioned by its day, so a
+# day's ingest rewrites only its own partitions and readers prune by date.
+PARTITION_COLUMN = {"ledger_entry": "trn_dt", "reversal_entry": "trn_dt",
+                    "cash_touch": "trn_dt", "authorised_daily": "trn_dt",
+                    "first_entry": "first_dt"}
 
 
 def reversal_entry(ledger: DataFrame) -> DataFrame:
     return (ledger.where(F.col("event") == fixed.REVERSAL_EVENT)
-            .select("trn_ref_no", "trn_code", "cust_gl", "auth_stat", "event", "ac_branch"))
+            .select("trn_ref_no", "trn_code", "cust_gl", "auth_stat", "event", "ac_branch",
+                    "trn_dt"))
 
 
 def cash_touch(ledger: DataFrame) -> DataFrame:
+    """(reference, branch, day) with a vault-cash leg; readers use it as a
+    semi-join key set, for which repeats across days are harmless."""
     return (ledger.where(F.col("ac_no").startswith(fixed.CASH_GL_PREFIX))
-            .select("trn_ref_no", "ac_branch").distinct())
+            .select("trn_ref_no", "ac_branch", "trn_dt").distinct())
 
 
 def first_entry(ledger: DataFrame) -> DataFrame:

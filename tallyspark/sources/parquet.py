@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tallyspark.sources import derived
 from tallyspark.sources.derived import PARTITION_COLUMN
 from tallyspark.sources.testdata import TestdataSource
 
@@ -38,18 +39,58 @@ def blank_strings_to_null(df: DataFrame) -> DataFrame:
     return df.select(*cols)
 
 
-def write_relation(df: DataFrame, root: str, name: str, mode: str = "overwrite") -> None:
+def write_relation(df: DataFrame, root: str, name: str, mode: str = "overwrite",
+                   dynamic: bool = False) -> None:
     """Normalise and write one relation; day-grained facts are partitioned
-    by day (the ledger additionally clustered by reference inside a day)."""
+    by day (the ledger additionally clustered by reference inside a day).
+
+    ``dynamic=True`` overwrites only the partitions present in ``df``: that
+    makes a day's ingest idempotent -- a job re-run after a failure, or a
+    retried stage after an executor loss, replaces the same partitions
+    instead of duplicating rows.
+    """
     out = blank_strings_to_null(df)
+    path = f"{root.rstrip('/')}/{name}"
     part = PARTITION_COLUMN.get(name)
     if part is None:
-        out.write.mode(mode).parquet(f"{root.rstrip('/')}/{name}")
+        out.write.mode(mode).parquet(path)
         return
-    out = out.repartition(part)
+    # REBALANCE lets adaptive execution size the output: a day of a large
+    # ledger is split over several files, a small day is not scattered into
+    # one file per shuffle partition.
+    out = out.hint("rebalance", part)
     if name == "ledger_entry":
         out = out.sortWithinPartitions("trn_ref_no")
-    out.write.mode(mode).partitionBy(part).parquet(f"{root.rstrip('/')}/{name}")
+    writer = out.write.mode(mode).partitionBy(part)
+    if dynamic:
+        writer = writer.option("partitionOverwriteMode", "dynamic")
+    writer.parquet(path)
+
+
+def ingest_day(ledger_day: DataFrame, root: str, day) -> None:
+    """Append one posting day to a stored catalog: the ledger partition and
+    the day's slice of every side table.
+
+    Idempotent per day (dynamic partition overwrite).  ``first_entry`` gets
+    the accounts whose first entry ever is this day -- the day's accounts
+    minus those already present in earlier partitions -- so days are
+    ingested in posting order.
+    """
+    spark = ledger_day.sparkSession
+    rows = ledger_day.where(F.col("trn_dt") == F.lit(day))
+    write_relation(rows, root, "ledger_entry", dynamic=True)
+    for name in ("reversal_entry", "cash_touch", "authorised_daily"):
+        write_relation(derived.derive(name, rows), root, name, dynamic=True)
+    path = f"{root.rstrip('/')}/first_entry"
+    accounts = rows.where(F.col("ac_no").isNotNull()).select("ac_no").distinct()
+    try:
+        seen = spark.read.parquet(path).where(F.col("first_dt") < F.lit(day)).select("ac_no")
+        accounts = accounts.join(seen, "ac_no", "left_anti")
+    except Exception as e:  # no first_entry yet: the first ingested day
+        if "PATH_NOT_FOUND" not in str(e) and "does not exist" not in str(e):
+            raise
+    write_relation(accounts.select("ac_no", F.lit(day).cast("date").alias("first_dt")),
+                   root, "first_entry", dynamic=True)
 
 
 class ParquetSource:

@@ -15,12 +15,14 @@ sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 from tallyspark import build_session  # noqa: E402
 from tallyspark.plans.oracle_sql import oracle_queries  # noqa: E402
 from tallyspark.plans.registry import all_queries  # noqa: E402
+import tools.compare as cmp  # noqa: E402
 from tools.compare import compare, duck  # noqa: E402
 
 
 def main(argv):
     sf_dir = argv[1] if len(argv) > 1 else "/root/testdata/sf0.01"
-    names = argv[2:]
+    names = [a for a in argv[2:] if not a.startswith("--")]
+    cmp.EXACT = "--exact" in argv
     spark = build_session("local[8]", shuffle_partitions=8)
     con = duck(sf_dir)
     qs, sqls = all_queries(), oracle_queries()

@@ -23,11 +23,14 @@ def duck(sf_dir: str) -> duckdb.DuckDBPyConnection:
     return con
 
 
+EXACT = False
+
+
 def _norm(v):
     if v is None:
         return None
     if isinstance(v, (float, decimal.Decimal)):
-        return round(float(v), 6) + 0.0
+        return float(v) + 0.0 if EXACT else round(float(v), 6) + 0.0
     if isinstance(v, dt.datetime):
         return v.isoformat(sep=" ")
     if isinstance(v, dt.date):
