@@ -12,6 +12,7 @@ from __future__ import annotations
 
 from datetime import date
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -30,16 +31,24 @@ from tallyspark.operators.reversal import exclude_reversed
 DEFAULT_HEAD_OFFICE_LABEL = "HEAD OFFICE"
 
 
-def fix_small(df: DataFrame) -> DataFrame:
-    """Materialise a parameter-bounded relation (a top-n list) once.
+def fix(df: DataFrame) -> DataFrame:
+    """Materialise a relation that several consumers read, once.
 
-    ``checkpoint`` writes it to ``spark.checkpoint.dir`` -- the cluster's
-    shared folder -- and cuts its lineage, so the consumers read a handful
-    of rows instead of re-planning the whole subtree (under adaptive
-    execution, repeated uses of a subquery are not reused across stages).
+    ``checkpoint`` writes it from the executors to ``spark.checkpoint.dir``
+    -- the cluster's shared folder -- and cuts its lineage: the consumers
+    read the written rows instead of each re-running the subtree (Spark does
+    not share a subtree between differently-pruned consumers, and under
+    adaptive execution a repeated subquery re-runs per stage), and a lost
+    executor does not force a recomputation from the sources.
     """
     checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    # Without a cached copy the checkpoint write would run the subtree a
+    # second time; the cache only lives until the checkpoint is written.
+    df.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        return df.checkpoint(eager=True)
+    finally:
+        df.unpersist()
 
 
 # ------------------------------------------------------------------ R2
@@ -81,8 +90,14 @@ def turnover_entries(src, on: date) -> DataFrame:
     day = exclude_reversed(day, src.table("reversal_entry"), "ref_code")
     enriched = with_natural_gl(day, src.table("account_gl_map"), src.table("deposit_term"))
     gl = src.table("gl_master").select("gl_code", "type")
-    return (enriched.join(gl, "gl_code")
-            .withColumn("gl_code", tenor_gl_bucket("gl_code", "orig_tenor_days")))
+    ds = (enriched.join(gl, "gl_code")
+          .withColumn("gl_code", tenor_gl_bucket("gl_code", "orig_tenor_days"))
+          .select("trn_ref_no", "ac_branch", "gl_code", "drcr_ind", "trn_code", "ac_ccy",
+                  "fcy_amount", "lcy_amount", "trn_dt", "type"))
+    # The cash/transfer test reads this working set twice (entries and the
+    # keys that have a cash leg); fix it once instead of running the day's
+    # scan, reversal anti-join and dimension joins twice.
+    return fix(ds)
 
 
 def gl_turnover(src, on: date, base: str = fixed.BASE_CCY) -> DataFrame:
@@ -192,7 +207,7 @@ def monitor_days(src, before: date, exception_days=(), n_days: int = 5):
     # Both lists are bounded by n_days + 1 rows and feed five consumers each.
     # Fixing them once (written to the shared checkpoint folder) keeps every
     # consumer from re-running the calendar scan and top-n.
-    return fix_small(days), fix_small(prior)
+    return fix(days), fix(prior)
 
 
 def deposits_with_prior(src, before: date, exception_days=(), n_days: int = 5) -> DataFrame:

@@ -24,6 +24,8 @@ SCALE_CONF = {
     "spark.sql.adaptive.autoBroadcastJoinThreshold": str(64 * 1024 * 1024),
     # Bloom-filter runtime filters prune the ledger side of selective joins.
     "spark.sql.optimizer.runtime.bloomFilter.enabled": "true",
+    # Checkpointed relations are removed once no DataFrame refers to them.
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.ansi.enabled": "true",
 }

@@ -14,11 +14,11 @@ from tallyspark import build_session  # noqa: E402
 from tallyspark.plans.registry import all_queries  # noqa: E402
 
 
-def measure(spark, df, group):
+def measure(spark, build, group):
     sc = spark.sparkContext
     sc.setJobGroup(group, group)
     t = time.perf_counter()
-    df.write.format("noop").mode("overwrite").save()
+    build().write.format("noop").mode("overwrite").save()
     dt = time.perf_counter() - t
     st = sc.statusTracker()
     jobs = st.getJobIdsForGroup(group)
@@ -37,7 +37,7 @@ def main(argv):
     qs = all_queries()
     for i, name in enumerate(argv[2:]):
         for rep in range(2):
-            dt, j, s, t = measure(spark, qs[name](spark, sf_dir), f"{name}-{rep}-{i}")
+            dt, j, s, t = measure(spark, lambda: qs[name](spark, sf_dir), f"{name}-{rep}-{i}")
         print(f"{name:26s} {dt:7.2f}s jobs={j} stages={s} tasks={t}", flush=True)
 
 
