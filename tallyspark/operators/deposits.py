@@ -113,12 +113,14 @@ def cash_in_out(ledger: DataFrame, gl_account: DataFrame, branch: DataFrame,
     side table), and its natural GL is one of the cash-movement families.
     """
     led = ledger.join(F.broadcast(days), ledger.trn_dt == days.loop_date)
+    # The selective tests first (semi and anti joins on the reference), so
+    # only legs of cash transactions meet the large account dimension.
+    led = salted_join(led, cash_refs.select("trn_ref_no", "ac_branch"),
+                      ["trn_ref_no", "ac_branch"], "left_semi")
+    led = exclude_reversed(led, reversals, "ref")
     acc = gl_account.select("ac_gl_no", "ac_natural_gl")
     br = branch.select(F.col("branch_code").alias("ac_branch"), "branch_name")
     j = led.join(acc, led.ac_no == acc.ac_gl_no).join(br, "ac_branch")
-    j = exclude_reversed(j, reversals, "ref")
-    j = salted_join(j, cash_refs.select("trn_ref_no", "ac_branch"), ["trn_ref_no", "ac_branch"],
-                    "left_semi")
     natural = F.coalesce(F.col("ac_natural_gl"), F.col("ac_no"))
     j = j.where(substr(natural, 1, 4).isin(*fixed.CASH_MOVEMENT_GL_FAMILIES)
                 | substr(natural, 1, 1).isin(*fixed.CASH_MOVEMENT_GL_CLASSES))

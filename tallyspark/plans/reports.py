@@ -83,8 +83,16 @@ def cash_in_out_by_zone(src, date_from: date, date_to: date,
 
 # ------------------------------------------------------------------ R7
 def turnover_entries(src, on: date) -> DataFrame:
+    """The turnover report's working set, materialised once (see ``fix``)."""
+    # The cash/transfer test reads this working set twice (entries and the
+    # keys that have a cash leg); fix it once instead of running the day's
+    # scan, reversal anti-join and dimension joins twice.
+    return fix(turnover_working_set(src, on))
+
+
+def turnover_working_set(src, on: date) -> DataFrame:
     """The postable, unreversed entries of one day with their tenor-coded
-    GL and the GL type (the turnover report's working set)."""
+    GL and the GL type."""
     led = src.table("ledger_entry")
     day = postable(in_window(led, on))
     day = exclude_reversed(day, src.table("reversal_entry"), "ref_code")
@@ -94,10 +102,7 @@ def turnover_entries(src, on: date) -> DataFrame:
           .withColumn("gl_code", tenor_gl_bucket("gl_code", "orig_tenor_days"))
           .select("trn_ref_no", "ac_branch", "gl_code", "drcr_ind", "trn_code", "ac_ccy",
                   "fcy_amount", "lcy_amount", "trn_dt", "type"))
-    # The cash/transfer test reads this working set twice (entries and the
-    # keys that have a cash leg); fix it once instead of running the day's
-    # scan, reversal anti-join and dimension joins twice.
-    return fix(ds)
+    return ds
 
 
 def gl_turnover(src, on: date, base: str = fixed.BASE_CCY) -> DataFrame:

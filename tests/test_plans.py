@@ -61,7 +61,7 @@ def test_stored_catalog_gives_the_same_reports(small_source, stored, name):
 
 
 def test_daily_report_prunes_ledger_partitions(stored):
-    plan = plan_of(R.gl_turnover(stored, P.TURNOVER_DAY))
+    plan = plan_of(R.turnover_working_set(stored, P.TURNOVER_DAY))
     assert "PartitionFilters: [isnotnull(trn_dt" in plan and "= 2024-01-10" in plan
 
 
