@@ -1,7 +1,10 @@
 """Cash position and deposit operators of the cash monitor.
 
 Sizes: the business-day lists are at most ``n`` rows by construction
-(``limit(n)``), so broadcasting them is safe at any data volume.  Every
+(``limit(n)``).  Consumers filter the day-partitioned tables with
+``on_days`` -- ``array_contains`` over the list as one scalar array -- which
+Spark evaluates as a runtime partition filter, so only the listed days'
+partitions of the ledger and of the snapshots are read.  Every
 other input is aggregated to (branch, day) grain before it is joined, so
 the joins of the final report run on a few rows per branch and day.
 """
@@ -43,6 +46,17 @@ def business_days(calendar: DataFrame, before: date, n: int = 5,
     return days.orderBy(F.col("loop_date").desc_nulls_first()).limit(n)
 
 
+def day_list(days: DataFrame) -> Column:
+    """The dates of a (bounded, at most ``n`` rows) business-day list as one
+    sorted array -- a scalar subquery."""
+    return days.agg(F.sort_array(F.collect_list("loop_date")).alias("d")).scalar()
+
+
+def on_days(c, days: DataFrame) -> Column:
+    """``c IN (day list)`` as a partition-prunable filter."""
+    return F.array_contains(day_list(days), F.col(c) if isinstance(c, str) else c)
+
+
 # ------------------------------------------------------------------ C5
 def _snapshot_scope(history: DataFrame) -> DataFrame:
     acct = F.col("account")
@@ -61,7 +75,7 @@ def asof_snapshots(history: DataFrame, days: DataFrame, n: int) -> DataFrame:
     array (a scalar subquery), each snapshot contributes to ``n`` conditional
     maxima in a single aggregate, and the result is unpivoted ``n`` ways.
     """
-    arr = days.agg(F.sort_array(F.collect_list("loop_date")).alias("d")).scalar()
+    arr = day_list(days)
     acct, bkg = F.col("account"), F.col("bkg_date")
     inclusive = acct.startswith("21")
     strict = acct.startswith("11")
@@ -95,8 +109,8 @@ def opening_cash(history: DataFrame, days: DataFrame) -> DataFrame:
     """
     cash = history.where(F.col("account") == fixed.CASH_GL)
     first = cash.groupBy("branch_code").agg(F.min("bkg_date").alias("_first"))
-    on_days = cash.join(F.broadcast(days), cash.bkg_date == days.loop_date)
-    kept = on_days.join(first, "branch_code").where(F.col("_first") < F.col("loop_date"))
+    today = cash.where(on_days("bkg_date", days)).withColumn("loop_date", F.col("bkg_date"))
+    kept = today.join(first, "branch_code").where(F.col("_first") < F.col("loop_date"))
     return (kept.groupBy("loop_date", "branch_code")
             .agg(F.abs(F.sum("lcy_opening_bal")).alias("lcy_opening_bal")))
 
@@ -112,7 +126,7 @@ def cash_in_out(ledger: DataFrame, gl_account: DataFrame, branch: DataFrame,
     ``1101...`` leg in the same branch (``cash_refs`` = the ``cash_touch``
     side table), and its natural GL is one of the cash-movement families.
     """
-    led = ledger.join(F.broadcast(days), ledger.trn_dt == days.loop_date)
+    led = ledger.where(on_days("trn_dt", days)).withColumn("loop_date", F.col("trn_dt"))
     # The selective tests first (semi and anti joins on the reference), so
     # only legs of cash transactions meet the large account dimension.
     led = salted_join(led, cash_refs.select("trn_ref_no", "ac_branch"),
@@ -143,8 +157,7 @@ def deposit_mix(history: DataFrame, days: DataFrame | None = None) -> DataFrame:
     """
     h = history.where(F.col("account").startswith(fixed.DEPOSIT_ACCOUNT_PREFIX))
     if days is not None:
-        h = h.join(F.broadcast(days.select(F.col("loop_date").alias("bkg_date")).distinct()),
-                   "bkg_date", "left_semi")
+        h = h.where(on_days("bkg_date", days))
     t = char_at("account", 4)
     bal = F.col("lcy_closing_bal")
     zero = F.lit(0).cast("decimal(32,3)")

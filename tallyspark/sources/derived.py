@@ -32,7 +32,7 @@ DERIVED = ("reversal_entry", "cash_touch", "first_entry", "authorised_daily")
 # day's ingest rewrites only its own partitions and readers prune by date.
 PARTITION_COLUMN = {"ledger_entry": "trn_dt", "reversal_entry": "trn_dt",
                     "cash_touch": "trn_dt", "authorised_daily": "trn_dt",
-                    "first_entry": "first_dt"}
+                    "first_entry": "first_dt", "balance_history": "bkg_date"}
 
 
 def reversal_entry(ledger: DataFrame) -> DataFrame:

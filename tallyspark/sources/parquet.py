@@ -61,6 +61,10 @@ def write_relation(df: DataFrame, root: str, name: str, mode: str = "overwrite",
     out = out.hint("rebalance", part)
     if name == "ledger_entry":
         out = out.sortWithinPartitions("trn_ref_no")
+    elif name == "balance_history":
+        # Sorted by account inside a day: row-group statistics let a scan for
+        # one account (the vault-cash GL over all history) skip the rest.
+        out = out.sortWithinPartitions("account")
     writer = out.write.mode(mode).partitionBy(part)
     if dynamic:
         writer = writer.option("partitionOverwriteMode", "dynamic")

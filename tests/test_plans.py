@@ -94,3 +94,14 @@ def test_daily_ingest_is_incremental_and_idempotent(spark, small_source, tmp_pat
         got = src.table(name)
         want = part if name == "ledger_entry" else derived.derive(name, part)
         assert rows(got.select(*sorted(want.columns))) == rows(want.select(*sorted(want.columns))), name
+
+
+def test_snapshot_scan_is_pruned_to_the_report_days(stored):
+    from tallyspark.operators import deposits as dep
+    days, prior = R.monitor_days(stored, P.CASH_MONITOR_BEFORE)
+    plan = plan_of(dep.deposit_mix(stored.table("balance_history"), days))
+    assert "PartitionFilters: [isnotnull(bkg_date" in plan and "array_contains(Subquery" in plan
+    plan = plan_of(dep.cash_in_out(stored.table("ledger_entry"), stored.table("gl_account"),
+                                   stored.table("branch"), days,
+                                   stored.table("reversal_entry"), stored.table("cash_touch")))
+    assert "PartitionFilters: [isnotnull(trn_dt" in plan and "array_contains(Subquery" in plan
