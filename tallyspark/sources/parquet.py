@@ -106,12 +106,17 @@ class ParquetSource:
         self.spark = spark
         self.root = root.rstrip("/")
         self.remote_root = (remote_root or root).rstrip("/")
+        self._memo: dict[str, DataFrame] = {}
 
     def table(self, name: str) -> DataFrame:
+        """The relation as a lazy scan; listed once per source object (a
+        report reads some relations several times)."""
         if name not in self.RELATIONS:
             raise KeyError(f"unknown relation {name!r}")
-        base = self.remote_root if name in REMOTE_RELATIONS else self.root
-        return self.spark.read.parquet(f"{base}/{name}")
+        if name not in self._memo:
+            base = self.remote_root if name in REMOTE_RELATIONS else self.root
+            self._memo[name] = self.spark.read.parquet(f"{base}/{name}")
+        return self._memo[name]
 
     __call__ = table
 
