@@ -239,3 +239,36 @@ def test_null_external_reference_never_joins(spark, small_source, fixture_source
         branch_group_member=[("001", "YGN")], branch_group=[("YGN", "O")])
     out = R.cash_in_out_by_zone(src, date(2024, 1, 10), date(2024, 1, 10)).collect()
     assert [(r["zone"], r["type"], r["equivalent_mmk"]) for r in out] == [("Yangon", "Cash_In", D("10.000"))]
+
+
+def test_ratio_is_exact_half_away_from_zero(spark):
+    import random
+    from decimal import ROUND_HALF_UP, localcontext
+    rnd = random.Random(7)
+    pairs = []
+    for _ in range(400):
+        a = D(rnd.randint(-10**12, 10**12)) / 1000
+        b = D(rnd.choice([1, -1]) * rnd.randint(1, 10**12)) / 1000
+        pairs.append((str(a), str(b)))
+    pairs += [("1.000", "8.000"), ("-1.000", "8.000"), ("1.000", "-8.000"), ("0.005", "1.000"),
+              ("1249.999", "10000.000"), ("125.000", "1000.000")]
+    df = spark.createDataFrame(pairs, "a string, b string").select(
+        F.col("a").cast("decimal(32,3)").alias("a"), F.col("b").cast("decimal(32,3)").alias("b"))
+    got = [(r["a"], r["b"], r["r"]) for r in df.select("a", "b", round_ratio("a", "b").alias("r")).collect()]
+    with localcontext() as ctx:
+        ctx.prec = 60
+        for a, b, r in got:
+            q = a / b
+            want = q.copy_abs().quantize(D("0.01"), rounding=ROUND_HALF_UP).copy_sign(q)
+            assert r == want or (r == 0 and want == 0), (a, b, r, want)
+
+
+def test_exception_day_leaves_both_lists(spark):
+    days = [date(2024, 1, d) for d in (17, 18, 22, 23, 24)]
+    cal = spark.createDataFrame([(d,) for d in days], "value_date date")
+    hol = spark.createDataFrame([], "holiday_date date")
+    skip = [date(2024, 1, 22)]
+    five = [r[0] for r in dep.business_days(cal, date(2024, 1, 25), 5, holidays=hol, skip=skip).collect()]
+    six = [r[0] for r in dep.business_days(cal, date(2024, 1, 25), 6, skip=skip, distinct=False).collect()]
+    assert date(2024, 1, 22) not in five and date(2024, 1, 22) not in six
+    assert sorted(five) == [date(2024, 1, d) for d in (17, 18, 23, 24)]
