@@ -22,6 +22,14 @@ SCALE_CONF = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.autoBroadcastJoinThreshold": str(64 * 1024 * 1024),
+    # Partition sizing.  Scan splits and post-shuffle partitions of ~256 MB
+    # keep a task's working set well inside an executor core's memory share.
+    # spark.sql.shuffle.partitions is the upper bound AQE coalesces from: set
+    # it (per cluster) to about the largest shuffle / 256 MB -- e.g. ~400 for
+    # a daily report over a ~100 GB ledger day, a few thousand for a full
+    # rebuild of the side tables -- and AQE merges the small ones.
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(256 * 1024 * 1024),
+    "spark.sql.files.maxPartitionBytes": str(256 * 1024 * 1024),
     # Bloom-filter runtime filters prune the ledger side of selective joins.
     "spark.sql.optimizer.runtime.bloomFilter.enabled": "true",
     # Checkpointed relations are removed once no DataFrame refers to them.
