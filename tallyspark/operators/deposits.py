@@ -129,8 +129,11 @@ def cash_in_out(ledger: DataFrame, gl_account: DataFrame, branch: DataFrame,
     led = ledger.where(on_days("trn_dt", days)).withColumn("loop_date", F.col("trn_dt"))
     # The selective tests first (semi and anti joins on the reference), so
     # only legs of cash transactions meet the large account dimension.
-    led = salted_join(led, cash_refs.select("trn_ref_no", "ac_branch"),
-                      ["trn_ref_no", "ac_branch"], "left_semi")
+    # ``cash_refs`` covers all history and is far larger than the window, so
+    # it is cut down to the window's keys before it is replicated per salt.
+    keys = ["trn_ref_no", "ac_branch"]
+    led = salted_join(led, cash_refs.select(*keys).distinct(), keys, "left_semi",
+                      reduce_keyed=True)
     led = exclude_reversed(led, reversals, "ref")
     acc = gl_account.select("ac_gl_no", "ac_natural_gl")
     br = branch.select(F.col("branch_code").alias("ac_branch"), "branch_name")

@@ -16,7 +16,7 @@ def salts_of(df: DataFrame) -> int:
 
 
 def salted_join(big: DataFrame, keyed: DataFrame, on: list[str], how: str = "inner",
-                salts: int | None = None) -> DataFrame:
+                salts: int | None = None, reduce_keyed: bool = False) -> DataFrame:
     """``big.join(keyed, on, how)`` that survives a hot key.
 
     ``keyed`` is the small side -- in this library always an aggregate with
@@ -29,8 +29,15 @@ def salted_join(big: DataFrame, keyed: DataFrame, on: list[str], how: str = "inn
     random number: a retried task after an executor loss reproduces the
     same partitioning.  When AQE measures the replicated side as small it
     broadcasts it and the salt costs nothing.
+
+    ``reduce_keyed`` first cuts ``keyed`` down to the keys that occur in
+    ``big`` (a semi join against ``big``'s de-duplicated keys, which cannot
+    be skewed): used when ``keyed`` spans all history and is larger than the
+    rows it filters, so that only the relevant keys are replicated.
     """
     n = salts or salts_of(big)
+    if reduce_keyed:
+        keyed = keyed.join(big.select(*on).distinct(), on, "left_semi")
     if n <= 1:
         return big.join(keyed, on, how)
     salted_big = big.withColumn("_salt", F.pmod(F.xxhash64(*big.columns), F.lit(n)).cast("int"))

@@ -5,9 +5,10 @@ the report window: a reversal may be posted on a later day than the
 original.  ``reversals`` is therefore the ``reversal_entry`` side table (the
 REVR rows of all history, see ``sources.derived``) -- or the ledger itself,
 which gives the same result at the cost of a full scan.  Each scope builds
-the set of reversed keys with map-side de-duplication and removes matches
-with a ``left_anti`` equi-join on the reference: a shuffle join when the
-set is large, a broadcast when AQE measures it small.
+the set of reversed keys with map-side de-duplication, cuts it down to the
+keys present in the rows, and removes matches with a salted ``left_anti``
+equi-join on the reference: a shuffle join when the set is large, a
+broadcast when AQE measures it small.
 """
 
 from __future__ import annotations
@@ -57,8 +58,11 @@ def exclude_reversed(rows: DataFrame, reversals: DataFrame, scope: str = "ref")
             F.count_if(F.col("trn_ref_no").isNull()).alias("n_null")).alias("s")).scalar()
         guarded = rows.where((stats["n_null"] == 0)
                              & (F.col("trn_ref_no").isNotNull() | (stats["n"] == 0)))
-        return salted_join(guarded, keys.distinct(), ["trn_ref_no"], "left_anti")
+        return salted_join(guarded, keys.distinct(), ["trn_ref_no"], "left_anti",
+                           reduce_keyed=True)
     if scope == "customer":
         kept = rows.where(~F.col("event").isin(fixed.REVERSAL_EVENT))
-        return salted_join(kept, keys.distinct(), ["trn_ref_no"], "left_anti")
-    return salted_join(rows, keys.distinct(), ["trn_ref_no", "trn_code"], "left_anti")
+        return salted_join(kept, keys.distinct(), ["trn_ref_no"], "left_anti",
+                           reduce_keyed=True)
+    return salted_join(rows, keys.distinct(), ["trn_ref_no", "trn_code"], "left_anti",
+                       reduce_keyed=True)

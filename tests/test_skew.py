@@ -57,3 +57,12 @@ def test_hot_key_is_spread_over_reducers(spark, skewed):
                  .groupBy(F.spark_partition_id().alias("p")).count().collect())
     assert len(parts) >= 4
     assert max(r["count"] for r in parts) <= 3000 / 2
+
+
+@pytest.mark.parametrize("how", ["inner", "left", "left_semi", "left_anti"])
+def test_reduced_salted_join_equals_plain_join(skewed, how):
+    big, keyed = skewed
+    got = Counter(map(tuple, salted_join(big, keyed, ["key"], how, salts=4,
+                                         reduce_keyed=True).collect()))
+    want = Counter(map(tuple, big.join(keyed, ["key"], how).collect()))
+    assert got == want
