@@ -126,15 +126,17 @@ def cash_in_out(ledger: DataFrame, gl_account: DataFrame, branch: DataFrame,
     ``1101...`` leg in the same branch (``cash_refs`` = the ``cash_touch``
     side table), and its natural GL is one of the cash-movement families.
     """
-    led = ledger.where(on_days("trn_dt", days)).withColumn("loop_date", F.col("trn_dt"))
+    window = ledger.where(on_days("trn_dt", days))
+    led = window.withColumn("loop_date", F.col("trn_dt"))
     # The selective tests first (semi and anti joins on the reference), so
     # only legs of cash transactions meet the large account dimension.
-    # ``cash_refs`` covers all history and is far larger than the window, so
-    # it is cut down to the window's keys before it is replicated per salt.
+    # ``cash_refs`` and ``reversals`` cover all history and are far larger
+    # than the window, so they are cut down to the window's keys (read from
+    # the pruned window scan) before they are replicated per salt.
     keys = ["trn_ref_no", "ac_branch"]
     led = salted_join(led, cash_refs.select(*keys).distinct(), keys, "left_semi",
-                      reduce_keyed=True)
-    led = exclude_reversed(led, reversals, "ref")
+                      reduce_by=window)
+    led = exclude_reversed(led, reversals, "ref", candidates=window)
     acc = gl_account.select("ac_gl_no", "ac_natural_gl")
     br = branch.select(F.col("branch_code").alias("ac_branch"), "branch_name")
     j = led.join(acc, led.ac_no == acc.ac_gl_no).join(br, "ac_branch")

@@ -16,7 +16,8 @@ def salts_of(df: DataFrame) -> int:
 
 
 def salted_join(big: DataFrame, keyed: DataFrame, on: list[str], how: str = "inner",
-                salts: int | None = None, reduce_keyed: bool = False) -> DataFrame:
+                salts: int | None = None, reduce_keyed: bool = False,
+                reduce_by: DataFrame | None = None) -> DataFrame:
     """``big.join(keyed, on, how)`` that survives a hot key.
 
     ``keyed`` is the small side -- in this library always an aggregate with
@@ -34,10 +35,14 @@ def salted_join(big: DataFrame, keyed: DataFrame, on: list[str], how: str = "inn
     ``big`` (a semi join against ``big``'s de-duplicated keys, which cannot
     be skewed): used when ``keyed`` spans all history and is larger than the
     rows it filters, so that only the relevant keys are replicated.
+    ``reduce_by`` names a cheaper relation whose keys are a superset of
+    ``big``'s (e.g. the raw scan ``big`` was filtered from), so the keys are
+    not taken from ``big``'s whole lineage.
     """
     n = salts or salts_of(big)
-    if reduce_keyed:
-        keyed = keyed.join(big.select(*on).distinct(), on, "left_semi")
+    if reduce_keyed or reduce_by is not None:
+        source = big if reduce_by is None else reduce_by
+        keyed = keyed.join(source.select(*on).distinct(), on, "left_semi")
     if n <= 1:
         return big.join(keyed, on, how)
     salted_big = big.withColumn("_salt", F.pmod(F.xxhash64(*big.columns), F.lit(n)).cast("int"))

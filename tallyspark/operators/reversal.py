@@ -37,7 +37,8 @@ def reversed_refs(reversals: DataFrame, scope: str = "ref") -> DataFrame:
     raise ValueError(f"unknown reversal scope {scope!r}")
 
 
-def exclude_reversed(rows: DataFrame, reversals: DataFrame, scope: str = "ref") -> DataFrame:
+def exclude_reversed(rows: DataFrame, reversals: DataFrame, scope: str = "ref",
+                     candidates: DataFrame | None = None) -> DataFrame:
     """Drop rows of reversed transactions.
 
     ``ref`` (C1a) is ``trn_ref_no NOT IN (reversed refs)`` with SQL's
@@ -50,6 +51,10 @@ def exclude_reversed(rows: DataFrame, reversals: DataFrame, scope: str = "ref")
     NOT EXISTS, under which a NULL reference never matches and is kept.
 
     ``ref_code`` (C1c) is NOT EXISTS on ``(trn_ref_no, trn_code)``.
+
+    ``candidates`` (optional) is a cheap relation holding at least the keys
+    of ``rows`` -- typically the raw window scan -- used to cut the reversal
+    keys down before the salted join (default: ``rows`` itself).
     """
     keys = reversed_refs(reversals, scope)
     if scope == "ref":
@@ -59,10 +64,10 @@ def exclude_reversed(rows: DataFrame, reversals: DataFrame, scope: str = "ref")
         guarded = rows.where((stats["n_null"] == 0)
                              & (F.col("trn_ref_no").isNotNull() | (stats["n"] == 0)))
         return salted_join(guarded, keys.distinct(), ["trn_ref_no"], "left_anti",
-                           reduce_keyed=True)
+                           reduce_keyed=True, reduce_by=candidates)
     if scope == "customer":
         kept = rows.where(~F.col("event").isin(fixed.REVERSAL_EVENT))
         return salted_join(kept, keys.distinct(), ["trn_ref_no"], "left_anti",
-                           reduce_keyed=True)
+                           reduce_keyed=True, reduce_by=candidates)
     return salted_join(rows, keys.distinct(), ["trn_ref_no", "trn_code"], "left_anti",
-                       reduce_keyed=True)
+                       reduce_keyed=True, reduce_by=candidates)
