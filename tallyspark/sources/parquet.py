@@ -53,7 +53,8 @@ def write_relation(df: DataFrame, root: str, name: str, mode: str = "overwrite",
     path = f"{root.rstrip('/')}/{name}"
     part = PARTITION_COLUMN.get(name)
     if part is None:
-        out.write.mode(mode).parquet(path)
+        # Dimensions and snapshots: let adaptive execution size the files.
+        out.hint("rebalance").write.mode(mode).parquet(path)
         return
     # REBALANCE lets adaptive execution size the output: a day of a large
     # ledger is split over several files, a small day is not scattered into
