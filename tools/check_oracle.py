@@ -23,7 +23,9 @@ def main(argv):
     sf_dir = argv[1] if len(argv) > 1 else "/root/testdata/sf0.01"
     names = [a for a in argv[2:] if not a.startswith("--")]
     cmp.EXACT = "--exact" in argv
-    spark = build_session("local[8]", shuffle_partitions=8)
+    extra = {"spark.sql.ansi.enabled": "false"} if "--noansi" in argv else None
+    spark = build_session("local[8]", shuffle_partitions=8, extra=extra)
+    print("ansi", spark.conf.get("spark.sql.ansi.enabled"))
     con = duck(sf_dir)
     qs, sqls = all_queries(), oracle_queries()
     bad = 0
