@@ -90,8 +90,14 @@ def asof_snapshots(history: DataFrame, days: DataFrame, n: int) -> DataFrame:
                       for j in range(n)])
     found = (g.select("account", "branch_code", F.inline(slots))
              .where(F.col("max_bkg_date").isNotNull()))
-    missing = days.select("loop_date").distinct().join(
-        found.select("loop_date").distinct(), "loop_date", "left_anti")
+    # A day is missing when no (account, branch) has a snapshot for it: the
+    # per-day maxima over the same aggregate (whose exchange is shared), so
+    # the history is not aggregated a second time.
+    per_day = g.agg(F.array(*[F.struct(F.get(arr, j).alias("loop_date"),
+                                        F.max(f"m{j}").alias("m")) for j in range(n)]).alias("s"))
+    missing = (per_day.select(F.inline("s"))
+               .where(F.col("loop_date").isNotNull() & F.col("m").isNull())
+               .select("loop_date").distinct())
     return found.select("loop_date", "max_bkg_date", "account", "branch_code").unionByName(
         missing.select("loop_date", F.lit(None).cast("date").alias("max_bkg_date"),
                        F.lit(None).cast("string").alias("account"),
