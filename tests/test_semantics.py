@@ -272,3 +272,11 @@ def test_exception_day_leaves_both_lists(spark):
     six = [r[0] for r in dep.business_days(cal, date(2024, 1, 25), 6, skip=skip, distinct=False).collect()]
     assert date(2024, 1, 22) not in five and date(2024, 1, 22) not in six
     assert sorted(five) == [date(2024, 1, d) for d in (17, 18, 23, 24)]
+
+
+def test_ingest_stores_empty_strings_as_null(spark, tmp_path):
+    from tallyspark.sources import write_relation
+    df = spark.createDataFrame([("001", ""), ("002", "x"), ("", None)], "branch_code string, branch_name string")
+    write_relation(df, str(tmp_path), "branch")
+    got = sorted((r[0] or "~", r[1] or "~") for r in spark.read.parquet(f"{tmp_path}/branch").collect())
+    assert got == [("001", "~"), ("002", "x"), ("~", "~")]
