@@ -16,9 +16,8 @@ largest ratio that is fine, and the least number of words from which the rule
 speaks.  ``verdict`` compiles the table into one boolean expression; each
 failed rule can be listed with ``failed_rules``.
 
-The repeat measure works on hashes of the windows first: if all hashes of a
-text differ there is no repeat.  Else (a few texts) the windows are sorted
-with their text, so that equal hashes count only if the words are equal.
+The repeat measure sorts one number per window (hash and place); neighbours
+with equal hashes are compared word by word, so the count is exact.
 
 Defined results: a null, empty or blank text has all measures 0 and fails
 ``n_words``; the whole text counts, however long; repeated rows are judged
@@ -36,6 +35,7 @@ from pyspark.sql import functions as F
 SPACE = "[\\x20\\x09-\\x0D]+"
 SYMBOLS = "#*$%&|<>"
 WINDOW = 3
+PLACE_BITS = 24
 
 #: Frequent function words of English, German, French, Spanish.
 STOP_WORDS = (
@@ -76,25 +76,40 @@ def _count(text: Column, chars: str) -> Column:
     return F.regexp_count(text, F.lit(f"[{chars}]")).cast("long")
 
 
-def _repeat_words(words: str) -> Column:
-    """Words covered by windows that occur twice or more, as one expression."""
-    n = f"size({words}) - {WINDOW - 1}"
-    at = ", ".join(f"{words}[i + {k}]" for k in range(WINDOW))
-    hashes = f"transform(sequence(0, {n} - 1), i -> xxhash64({at}))"
-    # Equal windows stand side by side once sorted; ``s`` settles equal hashes.
-    ordered = (f"array_sort(transform(sequence(0, {n} - 1), "
-               f"i -> struct(xxhash64({at}) AS h, concat_ws(' ', {at}) AS s, i AS i)))")
-    twice = (f"array_sort(transform(filter(transform(sequence(1, {n}), j -> struct("
-             f"sorted[j - 1].i AS i, "
-             f"(j > 1 AND sorted[j - 2].h = sorted[j - 1].h AND sorted[j - 2].s = sorted[j - 1].s) OR "
-             f"(j < {n} AND get(sorted, j).h = sorted[j - 1].h AND get(sorted, j).s = sorted[j - 1].s) AS twice)), "
-             f"x -> x.twice), x -> x.i))")
-    covered = (f"aggregate({twice}, struct(0 AS n, -{WINDOW} AS last), "
-               f"(acc, i) -> struct(acc.n + least({WINDOW}, i - acc.last) AS n, i AS last), acc -> acc.n)")
-    exact = f"aggregate(array({ordered}), 0, (acc, sorted) -> acc + {covered})"
-    return F.expr(f"CAST(CASE WHEN {n} < 2 THEN 0 "
-                  f"WHEN size(array_distinct({hashes})) = {n} THEN 0 "
-                  f"ELSE {exact} END AS BIGINT)")
+def _with_repeat_words(df: DataFrame) -> DataFrame:
+    """Adds ``n_repeat_words`` from ``_qr_words``, with built-in functions only.
+
+    Each window becomes one number: 40 bits of its hash above 24 bits of its
+    place.  Sorted, windows with equal hashes stand side by side.  Neighbours
+    with equal hashes are compared word by word; should two different windows
+    share a hash, or a text be too long for 24 bits, the text takes the slower
+    way that sorts the windows themselves.
+    """
+    w, n = "_qr_words", f"(size(_qr_words) - {WINDOW - 1})"
+    at = lambda i: ", ".join(f"get({w}, {i} + {k})" for k in range(WINDOW))
+    place = f"{(1 << PLACE_BITS) - 1}L"
+    key = lambda x: f"shiftright({x}, {PLACE_BITS})"
+    packed = (f"CASE WHEN {n} < 2 OR {n} >= {1 << PLACE_BITS} THEN CAST(array() AS ARRAY<BIGINT>) ELSE "
+              f"sort_array(transform(slice({w}, 1, {n}), (x, i) -> "
+              f"shiftleft(xxhash64({at('i')}), {PLACE_BITS}) | CAST(i AS BIGINT))) END")
+    hits = (f"filter(_qr_packed, (x, j) -> {key('x')} = {key('get(_qr_packed, j - 1)')} "
+            f"OR {key('x')} = {key('get(_qr_packed, j + 1)')})")
+    spot = lambda x: f"CAST({x} & {place} AS INT)"
+    clash = (f"exists(transform(_qr_hits, (x, j) -> {key('x')} = {key('get(_qr_hits, j - 1)')} AND "
+             f"NOT struct({at(spot('x'))}) <=> struct({at(spot('get(_qr_hits, j - 1)'))})), x -> x)")
+    covered = lambda starts: (
+        f"aggregate(sort_array({starts}), struct(0 AS n, -{WINDOW} AS last), "
+        f"(acc, i) -> struct(acc.n + least({WINDOW}, i - acc.last) AS n, i AS last), acc -> acc.n)")
+    fast = covered(f"transform(_qr_hits, x -> {spot('x')})")
+    ordered = f"array_sort(transform(slice({w}, 1, {n}), (x, i) -> struct(struct({at('i')}) AS s, i AS i)))"
+    slow = (f"aggregate(array({ordered}), 0, (acc, all) -> acc + "
+            + covered("transform(filter(all, (x, j) -> x.s <=> get(all, j - 1).s OR x.s <=> get(all, j + 1).s), "
+                      "x -> x.i)") + ")")
+    return (df.withColumn("_qr_packed", F.expr(packed))
+            .withColumn("_qr_hits", F.expr(hits))
+            .withColumn("n_repeat_words", F.expr(
+                f"CAST(CASE WHEN {n} < 2 THEN 0 WHEN {n} >= {1 << PLACE_BITS} OR {clash} THEN {slow} "
+                f"WHEN size(_qr_hits) = 0 THEN 0 ELSE {fast} END AS BIGINT)")))
 
 
 def measure(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -102,18 +117,17 @@ def measure(docs: DataFrame, text_col: str = "text") -> DataFrame:
     text = F.coalesce(F.col(text_col), F.lit(""))
     words = F.filter(F.split(text, SPACE), lambda w: w != "")
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike("[^\\x20\\x09-\\x0D]"))
-    got = docs.withColumns({"_qr_words": words, "_qr_lines": lines})
+    got = _with_repeat_words(docs.withColumns({"_qr_words": words, "_qr_lines": lines}))
     size = lambda c: F.size(c).cast("long")
     return got.withColumns({
         "n_words": size("_qr_words"),
         "word_chars": F.length(F.array_join("_qr_words", "")).cast("long"),
         "n_symbols": _count(text, SYMBOLS),
         "n_dup_lines": size("_qr_lines") - size(F.array_distinct("_qr_lines")),
-        "n_repeat_words": _repeat_words("_qr_words"),
         "n_lines": size("_qr_lines"),
         "n_stop_words": size(F.filter("_qr_words", lambda w: w.isin(sorted(set(STOP_WORDS))))),
         "n_marks": _count(text, "!"),
-    }).drop("_qr_words", "_qr_lines")
+    }).drop("_qr_words", "_qr_lines", "_qr_packed", "_qr_hits")
 
 
 def _fails(rule: Rule) -> Column:
