@@ -10,8 +10,9 @@ from tests.conftest import SMALL
 import __spark_entry__ as entry  # noqa: E402
 from tools.compare import compare, duck  # noqa: E402
 
-QUERIES = entry.queries()
-ORACLE = entry.oracle_sql()
+OTHER = entry._corpus_queries()
+QUERIES = {k: f for k, f in entry.queries().items() if k not in OTHER}
+ORACLE = {k: q for k, q in entry.oracle_sql().items() if k not in OTHER}
 
 
 @pytest.fixture(scope="module")
