@@ -9,9 +9,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, near_dup, quality_rules, substring_dup
+from . import (bpe, decontaminate, html_extract, langid, license_scan, near_dup, quality_model,
+               quality_rules, substring_dup, token_count)
 
 BPE_FILE = "byte_bpe_50k.json"
+UNIGRAM_FILE = "piece_bpe_32k.model"
 LINE_SPACE = "[\\x20\\x09-\\x0D]+"
 
 
@@ -23,6 +25,18 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "documents").select("doc_id", "text")
 
 
+def _remainder(n: int):
+    return F.crc32(F.col("doc_id").cast("string")) % n
+
+
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held_out = F.coalesce(_remainder(3) == 1, F.lit(False))
+    model = langid.train(docs.where(~held_out))
+    return langid.predict(docs.select("doc_id", "text", held_out.alias("held_out")), model).select(
+        "doc_id", "held_out", "lang_pred", "score")
+
+
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path(BPE_FILE)
     done = bpe.decode(bpe.encode(_documents(spark, sf_dir).withColumn(
@@ -32,6 +46,19 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
                        F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op3_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir)
+    held_out = F.coalesce(_remainder(5) == 0, F.lit(False))
+    model = quality_model.train(docs, read(spark, sf_dir, "labels").where(~held_out))
+    return quality_model.score(docs.withColumn("held_out", held_out), model).select(
+        "doc_id", "held_out", "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(_documents(spark, sf_dir)).select(
+        "doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
+
+
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.leaks(_documents(spark, sf_dir), read(spark, sf_dir, "benchmark")).select(
         "doc_id", "item_id", "n_shared", "n_item", "containment")
@@ -54,12 +81,27 @@ def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "n_words", "n_removed", F.sha2(words, 256).alias("kept_sha256"))
 
 
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vocabulary = token_count.zipf_vocabulary(public_tokenizers.path(UNIGRAM_FILE))
+    return token_count.count_tokens(_documents(spark, sf_dir), vocabulary).drop("text")
+
+
+def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = read(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return html_extract.extract(pages).withColumn("n_chars", F.length("text").cast("long"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_language_id": op1_language_id,
     "op2_bpe": op2_bpe,
+    "op3_quality_model": op3_quality_model,
+    "op4_license_scan": op4_license_scan,
     "op5_decontamination": op5_decontamination,
     "op6_quality_rules": op6_quality_rules,
     "op7_minhash_dedup": op7_minhash_dedup,
     "op8_substring_dedup": op8_substring_dedup,
+    "op9_token_counts": op9_token_counts,
+    "op10_html_extraction": op10_html_extraction,
 }
 
 ORACLE_SQL: dict[str, str] = {}
