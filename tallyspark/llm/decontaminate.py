@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .batches import RollingHash, alnum_words, binary_column, column_slices
-from .tables import fixed, row_key
+from .tables import fixed, row_key, share
 
 BLOCK_WORDS = 2_000_000
 #: Ends of the size classes of items, in shingles; beyond, each doubles.
@@ -125,10 +125,10 @@ def leaks(docs: DataFrame, items: DataFrame, shingle: int = 5, percent: int = 80
     for condition in conditions:
         # Bounded by block_words; larger benchmarks come in several blocks.
         block = [(r["item_id"], r["text"].encode()) for r in wanted.where(condition).collect()]
-        shared = spark.sparkContext.broadcast(ItemIndex(block, shingle, percent))
+        shared, sent = share(spark, ItemIndex(block, shingle, percent))
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            index = shared.value
+            index = shared()
             rolling = {width: RollingHash(width) for width in index.sketches}
             for whole in batches:
                 for batch in column_slices(whole, "text"):
@@ -145,7 +145,7 @@ def leaks(docs: DataFrame, items: DataFrame, shingle: int = 5, percent: int = 80
         pairs = rows.mapInArrow(run, "doc_id long, _th long, item_id long, n_shared long, n_item long")
         if len(conditions) > 1:
             pairs = fixed(pairs)
-            shared.destroy()
+            sent.destroy()
         out = pairs if out is None else out.unionByName(pairs)
     return out.withColumn("containment", F.col("n_shared") / F.col("n_item"))
 

@@ -42,6 +42,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .batches import column_slices, mix, with_arrow_columns
+from .tables import share
 
 NGRAMS = (2, 3, 4)
 TRAIN_ROWS = 2_000
@@ -209,10 +210,10 @@ def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
 
 def predict(docs: DataFrame, model: Filter, text_col: str = "text") -> DataFrame:
     """``docs`` with ``lang_pred`` and ``score``."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared, _ = share(docs.sparkSession, model)
 
     def make():
-        letters, filled = Letters(), shared.value
+        letters, filled = Letters(), shared()
 
         def compute(batch: pa.RecordBatch) -> list[pa.Array]:
             found = [filled.decide(t, letters) for t in batch.column(text_col).to_pylist()]

@@ -31,6 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .batches import RollingHash, binary_column, column_slices, space_words, with_arrow_columns, word_hashes
+from .tables import share
 
 TRAIN_ROWS = 20_000
 BINS = 32
@@ -225,11 +226,13 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
 def score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """``docs`` with ``score``, the probability of label 1."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared, _ = share(docs.sparkSession, model)
 
     def make():
+        tables = shared()
+
         def compute(batch: pa.RecordBatch) -> list[pa.Array]:
-            return [pa.array(shared.value.score(feature_matrix(binary_column(batch, text_col))))]
+            return [pa.array(tables.score(feature_matrix(binary_column(batch, text_col))))]
 
         return compute
 

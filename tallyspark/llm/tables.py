@@ -3,12 +3,26 @@
 from __future__ import annotations
 
 import gc
+import pickle
+from collections.abc import Callable
+from typing import TypeVar
 
+from pyspark import Broadcast, cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 
 from tallyspark.session import checkpoint_dir
 
 
+Shared = TypeVar("Shared")
+
+
+def share(spark: SparkSession, value: Shared) -> tuple[Callable[[], Shared], Broadcast]:
+    """Broadcasts an object of this package's classes, code included; the
+    function gives it back inside a task (one copy per call)."""
+    sent = spark.sparkContext.broadcast(cloudpickle.dumps(value))
+    return lambda: pickle.loads(sent.value), sent
+
+
 def fixed(df: DataFrame) -> DataFrame:
     """``df`` computed once and kept in the cluster's checkpoint folder
     (``spark.checkpoint.dir``); lost executors cost nothing that is in it."""
