@@ -71,7 +71,10 @@ def count_windows(docs: DataFrame, window: int, text_col: str = "text") -> DataF
                         yield from flush()
         yield from flush()
 
-    hashes = docs.select(text_col).mapInArrow(run, "h long")
+    # Tasks have already combined their own repeats, so the rows are dealt by
+    # hash before Spark counts them: a second map-side pass would find little
+    # and spill much.
+    hashes = docs.select(text_col).mapInArrow(run, "h long").repartition("h")
     return hashes.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h")
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import pickle
+import time
 from collections.abc import Callable
 from typing import TypeVar
 
@@ -33,8 +34,10 @@ def fixed(df: DataFrame) -> DataFrame:
 def free_shuffles(spark: SparkSession) -> None:
     """Lets Spark delete the shuffle files of finished, unreferenced steps now
     instead of when the driver next happens to collect its garbage."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(2):  # Python's handles first, then what they kept alive
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.5)
 
 
 def row_key(id_col: str, text_col: str) -> list:
