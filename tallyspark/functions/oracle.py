@@ -70,11 +70,3 @@ def round_ratio(num, den, places: int = 2) -> Column:
     signed = F.when((n < 0) != (d < 0), -whole).otherwise(whole)
     value = (signed.cast("decimal(20,0)") / F.lit(scale).cast("decimal(20,0)")).cast(RATIO)
     return F.when(d != 0, value).otherwise(F.lit(0).cast(RATIO))
-
-
-def money(c) -> Column:
-    return _c(c).cast(MONEY)
-
-
-def zero_money() -> Column:
-    return F.lit(0).cast(MONEY)

@@ -105,16 +105,16 @@ def asof_snapshots(history: DataFrame, days: DataFrame, n: int) -> DataFrame:
 
 
 # ------------------------------------------------------------------ C8
-def opening_cash(history: DataFrame, days: DataFrame) -> DataFrame:
+def opening_cash(history: DataFrame, days: DataFrame, firsts: DataFrame) -> DataFrame:
     """``abs(sum(lcy_opening_bal))`` of the cash GL per business day and
     branch, kept only when the branch has an earlier cash-GL snapshot.
 
     That condition is what the as-of lookup (C5) contributes for the cash GL
-    (strictly-before rule), so it is computed as the branch's first snapshot
-    date -- one small aggregate -- instead of a full as-of table.
+    (strictly-before rule).  ``firsts`` is the ``first_snapshot`` side table
+    (one row per branch), so only the days' partitions are read.
     """
     cash = history.where(F.col("account") == fixed.CASH_GL)
-    first = cash.groupBy("branch_code").agg(F.min("bkg_date").alias("_first"))
+    first = firsts.select("branch_code", F.col("first_dt").alias("_first"))
     today = cash.where(on_days("bkg_date", days)).withColumn("loop_date", F.col("bkg_date"))
     kept = today.join(first, "branch_code").where(F.col("_first") < F.col("loop_date"))
     return (kept.groupBy("loop_date", "branch_code")
@@ -140,12 +140,13 @@ def cash_in_out(ledger: DataFrame, gl_account: DataFrame, branch: DataFrame,
     # than the window, so they are cut down to the window's keys (read from
     # the pruned window scan) before they are replicated per salt.
     keys = ["trn_ref_no", "ac_branch"]
-    led = salted_join(led, cash_refs.select(*keys).distinct(), keys, "left_semi",
+    led = salted_join(led, cash_refs.select(*keys), keys, "left_semi",
                       reduce_by=window)
     led = exclude_reversed(led, reversals, "ref", candidates=window)
-    acc = gl_account.select("ac_gl_no", "ac_natural_gl")
+    acc = gl_account.select(F.col("ac_gl_no").alias("ac_no"), "ac_natural_gl")
     br = branch.select(F.col("branch_code").alias("ac_branch"), "branch_name")
-    j = led.join(acc, led.ac_no == acc.ac_gl_no).join(br, "ac_branch")
+    # Contra legs sit on a few GL accounts: a hot key, hence salted.
+    j = salted_join(led, acc, ["ac_no"], reduce_by=window).join(br, "ac_branch")
     natural = F.coalesce(F.col("ac_natural_gl"), F.col("ac_no"))
     j = j.where(substr(natural, 1, 4).isin(*fixed.CASH_MOVEMENT_GL_FAMILIES)
                 | substr(natural, 1, 1).isin(*fixed.CASH_MOVEMENT_GL_CLASSES))
@@ -204,7 +205,8 @@ def net_deposit(deposits: DataFrame, days: DataFrame, prior_days: DataFrame) ->
              .unionByName(prior_days.select(F.col("loop_date").alias("trn_dt"),
                                             F.lit(1).alias("_side")))
              .distinct())
-    both = deposits.join(F.broadcast(lists), "trn_dt")
+    # Branches are compared by equality, so rows without one match nothing.
+    both = deposits.where(F.col("branch_code").isNotNull()).join(F.broadcast(lists), "trn_dt")
     side = F.col("_side")
     branch = Window.partitionBy("branch_code")
     earlier = branch.orderBy("trn_dt", "_side").rowsBetween(Window.unboundedPreceding, -1)

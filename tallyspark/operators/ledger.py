@@ -104,13 +104,19 @@ def with_natural_gl(ledger: DataFrame, account_gl_map: DataFrame,
     """
     m = account_gl_map.select(F.col("ac_gl_no").alias("ac_no"), "ac_natural_gl")
     t = deposit_term.select(F.col("acc").alias("ac_no"), "orig_tenor_days")
-    return (ledger.join(m, "ac_no", "left").join(t, "ac_no", "left")
+    # Every contra leg sits on one of a few GL accounts: hot keys, hence salted,
+    # with the lookups cut down to the accounts in hand.
+    joined = salted_join(ledger, m, ["ac_no"], "left", reduce_keyed=True)
+    joined = salted_join(joined, t, ["ac_no"], "left", reduce_by=ledger)
+    return (joined
             .withColumn("gl_code", F.coalesce("ac_natural_gl", "ac_no"))
             .drop("ac_natural_gl"))
 
 
 # ------------------------------------------------------------ payment mode
 MODE_KEYS = ("trn_ref_no", "lcy_amount", "ac_ccy", "ac_branch")
+#: Columns that tell the entries of one such key apart.
+MODE_SPREAD = ("gl_code", "drcr_ind", "fcy_amount", "ac_entry_sr_no")
 
 
 def classify_mode(ds: DataFrame, type_col: str = "type") -> DataFrame:
@@ -136,7 +142,7 @@ def classify_mode(ds: DataFrame, type_col: str = "type") -> DataFrame:
     own_cash = F.coalesce(F.col(type_col) == fixed.CASH_GL_TYPE, F.lit(False))
     with_cash = (ds.where(own_cash & not_null).select(*keys).distinct()
                  .withColumn("_has_cash", F.lit(True)))
-    tagged = salted_join(ds, with_cash, keys, "left")
+    tagged = salted_join(ds, with_cash, keys, "left", spread=[c for c in MODE_SPREAD if c in ds.columns])
     has = F.coalesce(F.col("_has_cash"), F.lit(False))
     modes = F.array_compact(F.array(
         F.when(own_cash | has, F.lit("cash")),

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 SALTS_CONF = "tallyspark.skew.salts"
 DEFAULT_SALTS = 8
+ENTRY_NUMBER = "ac_entry_sr_no"
 
 
 def salts_of(df: DataFrame) -> int:
@@ -17,13 +18,14 @@ def salts_of(df: DataFrame) -> int:
 
 def salted_join(big: DataFrame, keyed: DataFrame, on: list[str], how: str = "inner",
                 salts: int | None = None, reduce_keyed: bool = False,
-                reduce_by: DataFrame | None = None) -> DataFrame:
+                reduce_by: DataFrame | None = None,
+                spread: list[str] | None = None) -> DataFrame:
     """``big.join(keyed, on, how)`` that survives a hot key.
 
     ``keyed`` is the small side -- in this library always an aggregate with
     one row per key.  Each of its rows is replicated once per salt value,
-    and every ``big`` row carries one salt computed from a hash of the whole
-    row, so the rows of a key that holds a third of the data are spread over
+    and every ``big`` row carries one salt computed from a hash of its
+    own columns, so the rows of a key that holds a third of the data are spread over
     ``salts`` reducers instead of one.  Every ``big`` row still meets every
     ``keyed`` row of its key exactly once, so inner, left, semi and anti
     joins give exactly the unsalted result.  The salt is a hash, not a
@@ -37,15 +39,23 @@ def salted_join(big: DataFrame, keyed: DataFrame, on: list[str], how: str = "inn
     rows it filters, so that only the relevant keys are replicated.
     ``reduce_by`` names a cheaper relation whose keys are a superset of
     ``big``'s (e.g. the raw scan ``big`` was filtered from), so the keys are
-    not taken from ``big``'s whole lineage.
+    not taken from ``big``'s whole lineage.  A semi or anti join needs each
+    key once: repeats are removed after that cut, on the few keys left.
+
+    ``spread`` names the columns whose hash is the salt.  They should tell the
+    rows of one key apart and be read anyway, so that the salt adds no column
+    to the scan; by default the entry number, or the whole row without one.
     """
     n = salts or salts_of(big)
     if reduce_keyed or reduce_by is not None:
         source = big if reduce_by is None else reduce_by
         keyed = keyed.join(source.select(*on).distinct(), on, "left_semi")
+    if how in ("left_semi", "left_anti"):
+        keyed = keyed.select(*on).distinct()
     if n <= 1:
         return big.join(keyed, on, how)
-    salted_big = big.withColumn("_salt", F.pmod(F.xxhash64(*big.columns), F.lit(n)).cast("int"))
+    default = [ENTRY_NUMBER] if ENTRY_NUMBER in big.columns else big.columns
+    salted_big = big.withColumn("_salt", F.pmod(F.xxhash64(*(spread or default)), F.lit(n)).cast("int"))
     salted_keyed = keyed.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
     return salted_big.join(salted_keyed, [*on, "_salt"], how).drop("_salt")
 

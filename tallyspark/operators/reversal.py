@@ -63,11 +63,11 @@ def exclude_reversed(rows: DataFrame, reversals: DataFrame, scope: str = "ref",
             F.count_if(F.col("trn_ref_no").isNull()).alias("n_null")).alias("s")).scalar()
         guarded = rows.where((stats["n_null"] == 0)
                              & (F.col("trn_ref_no").isNotNull() | (stats["n"] == 0)))
-        return salted_join(guarded, keys.distinct(), ["trn_ref_no"], "left_anti",
+        return salted_join(guarded, keys, ["trn_ref_no"], "left_anti",
                            reduce_keyed=True, reduce_by=candidates)
     if scope == "customer":
         kept = rows.where(~F.col("event").isin(fixed.REVERSAL_EVENT))
-        return salted_join(kept, keys.distinct(), ["trn_ref_no"], "left_anti",
+        return salted_join(kept, keys, ["trn_ref_no"], "left_anti",
                            reduce_keyed=True, reduce_by=candidates)
-    return salted_join(rows, keys.distinct(), ["trn_ref_no", "trn_code"], "left_anti",
+    return salted_join(rows, keys, ["trn_ref_no", "trn_code"], "left_anti",
                        reduce_keyed=True, reduce_by=candidates)

@@ -71,7 +71,7 @@ def postable_q(s: S) -> DataFrame:
 def mode_window(s: S) -> DataFrame:
     """Cash-or-transfer mode of every entry of the turnover
     working set (EXISTS under OR, rewritten as a keyed aggregate + join)."""
-    return classify_mode(R.turnover_entries(s, P.TURNOVER_DAY)).select(
+    return classify_mode(R.turnover_working_set(s, P.TURNOVER_DAY)).select(
         "trn_ref_no", "gl_code", "drcr_ind", "ac_ccy", "lcy_amount", "trn_mode")
 
 
@@ -164,7 +164,7 @@ def semi_tuple(s: S) -> DataFrame:
 def opening_cash_q(s: S) -> DataFrame:
     """Opening vault cash per report day and branch."""
     days, _ = R.monitor_days(s, P.CASH_MONITOR_BEFORE)
-    return dep.opening_cash(s.table("balance_history"), days)
+    return dep.opening_cash(s.table("balance_history"), days, s.table("first_snapshot"))
 
 
 def cash_in_out_q(s: S) -> DataFrame:
@@ -244,7 +244,7 @@ def join_left_default(s: S) -> DataFrame:
 
 def turnover_q(s: S) -> DataFrame:
     """GL turnover of a second day."""
-    return turnover(classify_mode(R.turnover_entries(s, TURNOVER_DAY_2)))
+    return turnover(classify_mode(R.turnover_working_set(s, TURNOVER_DAY_2)))
 
 
 def net_position_q(s: S) -> DataFrame:

@@ -10,7 +10,7 @@ from __future__ import annotations
 import re
 
 ACCT = ("concat('210', cast({k} % 5 as varchar), '0', cast({k} % 10 as varchar), "
-        "lpad(cast({k} as varchar), 5, '0'))")
+        "repeat('0', greatest(5 - length(cast({k} as varchar)), 0)), cast({k} as varchar))")
 
 
 def _acct(k: str) -> str:
@@ -91,14 +91,14 @@ ADAPTERS: dict[str, str] = {
     "b_holiday": "select d as holiday_date from (values (date '2024-01-19')) h(d)",
     "b_branch": """
   select lpad(cast(n_nationkey + 1 as varchar), 3, '0') as branch_code, n_name as branch_name
-  from nation where n_nationkey < 8
+  from nation
   union all
   select c, n from (values ('999', 'HEAD_OFFICE')) h(c, n)""",
     "b_branch_group_member": """
   select lpad(cast(n_nationkey + 1 as varchar), 3, '0') as branch_code,
          case n_nationkey % 5 when 0 then 'YGN' when 1 then 'MDY' when 2 then 'NPT'
               when 3 then 'TGI' else 'BGO' end as branch_group_code
-  from nation where n_nationkey < 8""",
+  from nation""",
     "b_branch_group": """
   select c as branch_group_code, s as record_stat
   from (values ('YGN', 'O'), ('MDY', 'O'), ('NPT', 'O'), ('TGI', 'O'), ('BGO', 'C')) g(c, s)""",

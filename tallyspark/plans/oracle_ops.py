@@ -7,10 +7,11 @@ Money is cast to DOUBLE and dates to text in the outermost select.
 from __future__ import annotations
 
 from tallyspark.plans import params as P
-from tallyspark.plans.oracle_sql import (ADDRESS, ATM, BKGDATE, CASH_LEGS_R2, CASHINOUT, CLOSED_R5,
-                                         CLOSED_R6, DATES5, DATES6, DEPBKG, DEPOSIT, DS_R7, HOLDERS,
-                                         MODED_R7, OPENED_R5, OPENED_R6, OPENING, PROFILE, D,
-                                         NET_POSITION_ALL, _flows_cols, _turnover_select, ratio)
+from tallyspark.plans.oracle_sql import (ADDRESS, ATM, CODE_FIRST, CODE_JOINS, DAY_LISTS, HOLDERS,
+                                         LATEST_SNAPSHOT, LIVE_CASH, MIX, MODED, MOVEMENTS, NET,
+                                         NET_POSITION_ALL, OPEN_CLOSE_R5, OPEN_CLOSE_R6, PROFILE,
+                                         VAULT, D, flow_columns, flow_entries, ratio, touching_cash,
+                                         turnover_day, turnover_sql)
 
 _ZW = f"trn_dt between {D(P.ZONE_FROM)} and {D(P.ZONE_TO)}"
 _LED = ("trn_ref_no, ac_entry_sr_no, ac_no, cust_gl, drcr_ind, "
@@ -21,17 +22,7 @@ _POSTABLE = ("auth_stat = 'A' and trn_code not in ('MRG') "
 _TD = D(P.TURNOVER_DAY)
 _TD2 = D(P.TURNOVER_DAY.replace(day=11))
 
-_FD = "('21030010001', '21130010001', '21230010001')"
-_TENOR_FIRST = f"""case when e.cust_gl = 'A' and a.ac_natural_gl in {_FD} and i.orig_tenor_days is not null
-                  then concat(a.ac_natural_gl, '(', cast(i.orig_tenor_days as varchar), ')')
-                when e.cust_gl = 'A' and a.ac_natural_gl in {_FD} and i.orig_tenor_months is not null
-                  then concat(a.ac_natural_gl, '(', cast(i.orig_tenor_months as varchar), ')')
-                when e.cust_gl = 'A' and a.ac_natural_gl in {_FD} and i.orig_tenor_years is not null
-                  then concat(a.ac_natural_gl, '(', cast(i.orig_tenor_years as varchar), ')')
-                when e.cust_gl = 'A' then a.ac_natural_gl
-                when e.cust_gl = 'G' then e.ac_no end"""
-
-_MONITOR = f"with {DATES5}, {DATES6}"
+_MONITOR = f"with {DAY_LISTS}"
 _MIX_COLS = ("cast(trn_dt as varchar) as trn_dt, branch_code, cast(current_bal as double) as current_bal, "
              "cast(saving_bal as double) as saving_bal, cast(call_bal as double) as call_bal, "
              "cast(fixed_bal as double) as fixed_bal, cast(total_dep as double) as total_dep")
@@ -40,21 +31,15 @@ _NET_COLS = ("cast(trn_dt as varchar) as trn_dt, branch, cast(current_bal as dou
              "cast(fixed_bal as double) as fixed_bal, cast(total_dep as double) as total_dep, "
              "cast(daily_net_deposit_amt as double) as daily_net_deposit_amt")
 
-_FLOWS_R5_DAY = f"""
-with cash as (
-  select e.trn_ref_no, e.ac_branch, e.ac_ccy, e.lcy_amount, 'CASH' as mode
-  from b_ledger_entry e left join b_gl_master gl on e.ac_no = gl.gl_code
-  where e.trn_dt = {{day}} and gl.type = '5' and e.trn_code != 'SWP')"""
-
 OPERATOR_SQL: dict[str, str] = {
     # ---------------------------------------------------------------- C1
     "reversal_ref": f"""
 select {_LED} from b_ledger_entry
 where {_ZW} and trn_ref_no not in (select trn_ref_no from b_ledger_entry where event = 'REVR')""",
     "reversal_customer": f"""
-with {CASH_LEGS_R2}
+with {LIVE_CASH}
 select trn_ref_no, external_ref_no, ac_branch, ac_no, ac_ccy, trn_code,
-       cast(lcy_amount as double) as lcy_amount from cash""",
+       cast(lcy_amount as double) as lcy_amount from live_cash""",
     "reversal_ref_code": f"""
 select {_LED}, trn_code from b_ledger_entry e
 where trn_dt = {_TD} and {_POSTABLE}
@@ -64,19 +49,17 @@ where trn_dt = {_TD} and {_POSTABLE}
 select {_LED}, trn_code, event from b_ledger_entry where trn_dt = {_TD} and {_POSTABLE}""",
     # ------------------------------------------------------- C2 C3 C4 C14
     "mode_window": f"""
-with {DS_R7}, {MODED_R7}
+with {turnover_day(_TD)}, {MODED}
 select trn_ref_no, gl_code, drcr_ind, ac_ccy, cast(lcy_amount as double) as lcy_amount, trn_mode
 from moded""",
     "cash_legs": f"""
-select e.trn_ref_no, e.ac_branch, e.ac_no, e.ac_ccy, e.trn_code,
-       cast(e.lcy_amount as double) as lcy_amount, cast(e.trn_dt as varchar) as trn_dt
-from b_ledger_entry e join b_gl_master gl on e.ac_no = gl.gl_code
-where e.{_ZW} and gl.type = '5' and e.trn_code not in ('SWP')""",
+select trn_ref_no, ac_branch, ac_no, ac_ccy, trn_code, cast(lcy_amount as double) as lcy_amount,
+       cast(trn_dt as varchar) as trn_dt
+from ({touching_cash(_ZW)})""",
     "tenor_first": f"""
-select e.ac_no, e.cust_gl, {_TENOR_FIRST} as code
-from (select distinct ac_no, cust_gl from b_ledger_entry) e
-left join b_account_gl_map a on e.ac_no = a.ac_gl_no
-left join b_deposit_term i on i.acc = a.ac_gl_no""",
+select l.ac_no, l.cust_gl, {CODE_FIRST} as code
+from (select distinct ac_no, cust_gl from b_ledger_entry) l
+{CODE_JOINS}""",
     "tenor_bucket": """
 select ac_no, gl_code, orig_tenor_days,
        case when gl_code = '21050010001' and orig_tenor_days <= 40 then gl_code || '(30)'
@@ -114,34 +97,33 @@ from b_ledger_entry group by 1, 2""",
     # ---------------------------------------------------------- R1 parts
     "business_days": f"""
 {_MONITOR}
-select 'report' as list, cast(loop_date as varchar) as loop_date from dates
+select 'report' as list, cast(day as varchar) as loop_date from report_days
 union all
-select 'prior', cast(loop_date as varchar) from dates6""",
+select 'prior', cast(day as varchar) from comparison_days""",
     "asof_max": f"""
-{_MONITOR}, {BKGDATE}
-select cast(loop_date as varchar) as loop_date, cast(max_bkg_date as varchar) as max_bkg_date,
-       account, branch_code from bkgdate""",
+{_MONITOR}, {LATEST_SNAPSHOT}
+select cast(day as varchar) as loop_date, cast(snapshot as varchar) as max_bkg_date,
+       account, branch_code from latest""",
     "semi_tuple": f"""
-{_MONITOR}, {BKGDATE}
+{_MONITOR}, {LATEST_SNAPSHOT}
 select account, branch_code, cast(bkg_date as varchar) as bkg_date,
        cast(lcy_opening_bal as double) as lcy_opening_bal
-from b_balance_history h
-where exists (select 1 from bkgdate k where k.loop_date = h.bkg_date
-              and k.account = h.account and k.branch_code = h.branch_code)""",
+from b_balance_history
+where (bkg_date, account, branch_code) in (select (day, account, branch_code) from latest)""",
     "opening_cash": f"""
-{_MONITOR}, {BKGDATE}, {OPENING}
-select cast(loop_date as varchar) as loop_date, branch_code,
-       cast(lcy_opening_bal as double) as lcy_opening_bal from opening""",
+{_MONITOR}, {VAULT}
+select cast(day as varchar) as loop_date, branch_code,
+       cast(lcy_opening_bal as double) as lcy_opening_bal from vault_opening""",
     "cash_in_out": f"""
-{_MONITOR}, {CASHINOUT}
-select cast(loop_date as varchar) as loop_date, cast(trn_dt as varchar) as trn_dt, ac_branch,
-       branch_name, cast(cashin as double) as cashin, cast(cashout as double) as cashout from cio""",
-    "deposit_mix": f"with {DEPOSIT.strip()} select {_MIX_COLS} from deposit",
-    "top6_in": f"{_MONITOR}, {DEPOSIT} select {_MIX_COLS} from deposit "
-               "where trn_dt in (select loop_date from dates6)",
-    "net_deposit": f"{_MONITOR}, {DEPOSIT}, {DEPBKG} select {_NET_COLS} from depbkg",
+{_MONITOR}, {MOVEMENTS}
+select cast(day as varchar) as loop_date, cast(day as varchar) as trn_dt, ac_branch,
+       branch_name, cast(cashin as double) as cashin, cast(cashout as double) as cashout from movements""",
+    "deposit_mix": f"with {MIX.strip()} select {_MIX_COLS} from mix",
+    "top6_in": f"{_MONITOR}, {MIX} select {_MIX_COLS} from mix "
+               "where trn_dt in (select day from comparison_days)",
+    "net_deposit": f"{_MONITOR}, {MIX}, {NET} select {_NET_COLS} from net",
     "union_head_office": f"""
-{_MONITOR}, {DEPOSIT}, {DEPBKG}
+{_MONITOR}, {MIX}, {NET}
 select cast(trn_dt as varchar) as loop_date, branch as branch_code,
        '{P.HEAD_OFFICE_LABEL}' as branch_name, 0.0 as lcy_opening_bal, 0.0 as cashin,
        0.0 as cashout, 0.0 as net_amount, 0.0 as lcy_closing_bal,
@@ -149,16 +131,16 @@ select cast(trn_dt as varchar) as loop_date, branch as branch_code,
        cast(call_bal as double) as call_bal, cast(fixed_bal as double) as fixed_bal,
        cast(total_dep as double) as total_dep,
        cast(daily_net_deposit_amt as double) as daily_net_deposit_amt
-from depbkg where branch = '999'""",
+from net where branch = '999'""",
     "guarded_ratio": f"""
-with {DEPOSIT.strip()}
+with {MIX.strip()}
 select cast(trn_dt as varchar) as trn_dt, branch_code,
        {ratio('current_bal', 'total_dep')} as cur_deposit_ratio,
        {ratio('saving_bal', 'total_dep')} as sav_deposit_ratio,
        {ratio('call_bal', 'total_dep')} as call_deposit_ratio,
        {ratio('fixed_bal', 'total_dep')} as fixed_deposit_ratio,
        {ratio('saving_bal', 'call_bal')} as saving_call_ratio
-from deposit""",
+from mix""",
     "window_max_partition": """
 select cast(trn_dt as varchar) as trn_dt, ac_branch, cast(total as double) as total from (
   select trn_dt, ac_branch, total, max(total) over (partition by trn_dt) as day_max
@@ -166,55 +148,46 @@ select cast(trn_dt as varchar) as trn_dt, ac_branch, cast(total as double) as to
         where cust_gl = 'A' and drcr_ind = 'C' group by trn_dt, ac_branch) a) b
 where total = day_max""",
     # ------------------------------------------------------------- flows
-    "deposit_flows": _FLOWS_R5_DAY.format(day=_TD) + f""",
-trans as (
-  select e.ac_ccy, e.drcr_ind, e.lcy_amount, e.fcy_amount, coalesce(c.mode, 'TRANSFER') as mode
-  from b_ledger_entry e
-  left join b_account_gl_map a on e.ac_no = a.ac_gl_no
-  left join cash c on c.trn_ref_no = e.trn_ref_no and c.ac_branch = e.ac_branch
-                  and c.ac_ccy = e.ac_ccy and c.lcy_amount = e.lcy_amount
-  where e.cust_gl = 'A' and e.trn_dt = {_TD})
-select ac_ccy as currency, {_flows_cols()} from trans group by ac_ccy""",
-    "join_left_default": _FLOWS_R5_DAY.format(day=D(P.NEW_DEPOSIT_DAY)) + f"""
-select e.trn_ref_no, e.ac_no, e.drcr_ind, cast(e.lcy_amount as double) as lcy_amount,
-       coalesce(c.mode, 'TRANSFER') as mode
-from b_ledger_entry e
-left join cash c on c.trn_ref_no = e.trn_ref_no and c.ac_branch = e.ac_branch
-                and c.ac_ccy = e.ac_ccy and c.lcy_amount = e.lcy_amount
-where e.cust_gl = 'A' and e.trn_dt = {D(P.NEW_DEPOSIT_DAY)}""",
-    "turnover": (f"with {DS_R7.replace(_TD, _TD2)}, {MODED_R7}\n" + _turnover_select(
-        "select gl_code, ac_ccy, drcr_ind, trn_mode, sum(lcy_amount) as lcy_amount, "
-        "sum(fcy_amount) as fcy_amount from moded group by gl_code, ac_ccy, drcr_ind, trn_mode")),
+    "deposit_flows": f"with {flow_entries(_TD)} select ac_ccy as currency, {flow_columns()} "
+                     "from flow group by ac_ccy",
+    "join_left_default": f"""
+with {flow_entries(D(P.NEW_DEPOSIT_DAY))}
+select trn_ref_no, ac_no, drcr_ind, cast(lcy_amount as double) as lcy_amount, mode
+from flow, generate_series(1, legs)""",
+    "turnover": turnover_sql(_TD2),
     "net_position": NET_POSITION_ALL,
     "join_multikey_fanout": f"""
-with {CASH_LEGS_R2}
+with {LIVE_CASH}
 select e.ac_branch, e.ac_ccy, count(*) as n_rows
 from b_ledger_entry e
-join cash c on c.trn_ref_no = e.trn_ref_no and c.external_ref_no = e.external_ref_no
+join live_cash c on c.trn_ref_no = e.trn_ref_no and c.external_ref_no = e.external_ref_no
            and c.ac_branch = e.ac_branch and c.ac_ccy = e.ac_ccy and c.lcy_amount = e.lcy_amount
 where e.{_ZW} and e.cust_gl = 'A'
 group by e.ac_branch, e.ac_ccy""",
     # ---------------------------------------------------------- accounts
     "new_accounts": f"""
-select cast(ac_open_date as varchar) as open_date, cust_ac_no as acc_no, account_class, branch_code
-from ({OPENED_R6}) o""",
+with {OPEN_CLOSE_R6}
+select cast(day as varchar) as open_date, cust_ac_no as acc_no, account_class, branch_code
+from opened""",
     "agg_of_union": f"""
-select branch_code, count(cust_ac_no) as n from ({OPENED_R6}) o group by branch_code""",
+with {OPEN_CLOSE_R6}
+select branch_code, count(cust_ac_no) as n from opened group by branch_code""",
     "closures": f"""
-select cast(ac_open_date as varchar) as ac_open_date, ac_no, cast(closing_date as varchar) as closing_date,
-       branch_code, account_class from ({CLOSED_R6}) c""",
+with {OPEN_CLOSE_R6}
+select cast(ac_open_date as varchar) as ac_open_date, cust_ac_no as ac_no,
+       cast(closing_date as varchar) as closing_date, branch_code, account_class from closed""",
     "join_full_open_close": f"""
+with {OPEN_CLOSE_R6}
 select coalesce(o.branch_code, c.branch_code) as branch_code,
-       cast(coalesce(o.ac_open_date, c.ac_open_date) as varchar) as openingdate,
-       cast(c.closing_date as varchar) as closingdate,
-       coalesce(o.cust_ac_no, c.ac_no) as acc_no,
+       cast(coalesce(o.day, c.ac_open_date) as varchar) as openingdate,
+       cast(c.closing_date as varchar) as closingdate, cust_ac_no as acc_no,
        coalesce(o.account_class, c.account_class) as account_class
-from ({OPENED_R6}) o full join ({CLOSED_R6}) c on c.ac_no = o.cust_ac_no""",
+from opened o full join closed c using (cust_ac_no)""",
     "scalar_cross": f"""
-select (select count(acc_no) from ({OPENED_R5}) o) as opened,
-       (select count(ac_no) from ({CLOSED_R5}) c) as closed,
-       (select count(acc_no) from ({OPENED_R5}) o) - (select count(ac_no) from ({CLOSED_R5}) c) as net
-from b_calendar where value_date = {D(P.NEW_DEPOSIT_DAY)}""",
+with {OPEN_CLOSE_R5},
+counts as (select (select count(*) from opened) as opened, (select count(*) from closed) as closed)
+select opened, closed, opened - closed as net
+from counts, b_calendar where value_date = {D(P.NEW_DEPOSIT_DAY)}""",
     "account_holders": f"""
 select branch_code, cust_ac_no, cust_no, cast(ac_open_date as varchar) as ac_open_date,
        joint_ac_indicator from ({HOLDERS}) h""",

@@ -12,7 +12,6 @@ from __future__ import annotations
 
 from datetime import date
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -42,13 +41,7 @@ def fix(df: DataFrame) -> DataFrame:
     executor does not force a recomputation from the sources.
     """
     checkpoint_dir(df.sparkSession)
-    # Without a cached copy the checkpoint write would run the subtree a
-    # second time; the cache only lives until the checkpoint is written.
-    df.persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        return df.checkpoint(eager=True)
-    finally:
-        df.unpersist()
+    return df.checkpoint()
 
 
 # ------------------------------------------------------------------ R2
@@ -82,14 +75,6 @@ def cash_in_out_by_zone(src, date_from: date, date_to: date,
 
 
 # ------------------------------------------------------------------ R7
-def turnover_entries(src, on: date) -> DataFrame:
-    """The turnover report's working set, materialised once (see ``fix``)."""
-    # The cash/transfer test reads this working set twice (entries and the
-    # keys that have a cash leg); fix it once instead of running the day's
-    # scan, reversal anti-join and dimension joins twice.
-    return fix(turnover_working_set(src, on))
-
-
 def turnover_working_set(src, on: date) -> DataFrame:
     """The postable, unreversed entries of one day with their tenor-coded
     GL and the GL type."""
@@ -107,7 +92,7 @@ def turnover_working_set(src, on: date) -> DataFrame:
 
 def gl_turnover(src, on: date, base: str = fixed.BASE_CCY) -> DataFrame:
     """GL debit/credit turnover of one day by cash/transfer mode."""
-    out = turnover(classify_mode(turnover_entries(src, on)), base=base)
+    out = turnover(classify_mode(turnover_working_set(src, on)), base=base)
     return out.orderBy(F.col("gl_code").asc_nulls_last(), F.col("ac_ccy").asc_nulls_last())
 
 
@@ -234,7 +219,7 @@ def cash_monitor(src, before: date, exception_days=(), n_days: int = 5,
     """
     hist = src.table("balance_history")
     days, prior = monitor_days(src, before, exception_days, n_days)
-    opening = dep.opening_cash(hist, days)
+    opening = dep.opening_cash(hist, days, src.table("first_snapshot"))
     cio = dep.cash_in_out(src.table("ledger_entry"), src.table("gl_account"),
                           src.table("branch"), days, src.table("reversal_entry"),
                           src.table("cash_touch"))

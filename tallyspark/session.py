@@ -8,7 +8,6 @@ handful of report rows.
 
 from __future__ import annotations
 
-import os
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -67,18 +66,18 @@ def checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
     The cluster owns that setting and Spark registers it at start-up.  Only
-    when no folder is known at all (a bare local session in tests) is a
-    fresh scratch folder created and registered.
+    a ``local`` session (one process, as in tests) without the setting gets a
+    fresh scratch folder; on a cluster executors could not read each other's,
+    so there the missing setting is an error.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
     if current:
         return current
-    path = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(
-        prefix="tallyspark-ckpt-")
+    path = spark.conf.get("spark.checkpoint.dir", None)
+    if not path:
+        if not sc.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        path = tempfile.mkdtemp(prefix="tallyspark-ckpt-")
     sc.setCheckpointDir(path)
     return sc.getCheckpointDir() or path
-
-
-def local_cpus(default: int = 8) -> int:
-    return int(os.environ.get("BENCH_CPUS", default))

@@ -7,6 +7,7 @@ relation names in ``TestdataSource.RELATIONS``.  Reports only ever call
 """
 
 from tallyspark.sources.parquet import (  # noqa: F401
-    ParquetSource, blank_strings_to_null, ingest_day, materialize, write_relation,
+    ParquetSource, blank_strings_to_null, ingest_day, ingest_snapshot_day, materialize, normalise,
+    replace_day, write_relation,
 )
 from tallyspark.sources.testdata import TestdataSource  # noqa: F401

@@ -13,6 +13,8 @@ appended day by day) next to the day-partitioned ledger:
 ``authorised_daily`` authorised debit/credit sums per day, account, leg and
                      currency -- the as-of position (liquidity report) sums
                      these instead of every entry of the history
+``first_snapshot``   first vault-cash snapshot day per branch (of the balance
+                     history, not of the ledger)
 
 Each is a few percent of the ledger or smaller (one row per account for
 ``first_entry``, one per active account and day for ``authorised_daily``).
@@ -27,12 +29,27 @@ from pyspark.sql import functions as F
 
 from tallyspark import fixed
 
-DERIVED = ("reversal_entry", "cash_touch", "first_entry", "authorised_daily")
+DERIVED = ("reversal_entry", "cash_touch", "first_entry", "authorised_daily", "first_snapshot")
+#: Side tables whose rows of a day come from that day's rows alone.
+PER_DAY = ("reversal_entry", "cash_touch", "authorised_daily")
+#: Relation that each side table is derived from, where it is not the ledger.
+DERIVED_FROM = {"first_snapshot": "balance_history"}
+#: Stored columns, so that a table without any row yet can be read.
+SCHEMAS = {
+    "reversal_entry": "trn_ref_no string, trn_code string, cust_gl string, auth_stat string, "
+                      "event string, ac_branch string, trn_dt date",
+    "cash_touch": "trn_ref_no string, ac_branch string, trn_dt date",
+    "first_entry": "ac_no string, first_dt date",
+    "authorised_daily": "ac_no string, cust_gl string, ac_ccy string, d_lcy decimal(32,3), "
+                        "c_lcy decimal(32,3), d_fcy decimal(32,3), c_fcy decimal(32,3), trn_dt date",
+    "first_snapshot": "branch_code string, first_dt date",
+}
 # Stored layout: every day-grained relation is partitioned by its day, so a
 # day's ingest rewrites only its own partitions and readers prune by date.
 PARTITION_COLUMN = {"ledger_entry": "trn_dt", "reversal_entry": "trn_dt",
                     "cash_touch": "trn_dt", "authorised_daily": "trn_dt",
-                    "first_entry": "first_dt", "balance_history": "bkg_date"}
+                    "first_entry": "first_dt", "first_snapshot": "first_dt",
+                    "balance_history": "bkg_date"}
 
 
 def reversal_entry(ledger: DataFrame) -> DataFrame:
@@ -49,9 +66,16 @@ def cash_touch(ledger: DataFrame) -> DataFrame:
 
 
 def first_entry(ledger: DataFrame) -> DataFrame:
-    """min(trn_dt) per account (accounts whose entries all lack a date get
-    NULL, as ``min`` does)."""
-    return ledger.groupBy("ac_no").agg(F.min("trn_dt").alias("first_dt"))
+    """min(trn_dt) per account that has a dated entry."""
+    return (ledger.where(F.col("ac_no").isNotNull() & F.col("trn_dt").isNotNull())
+            .groupBy("ac_no").agg(F.min("trn_dt").alias("first_dt")))
+
+
+def first_snapshot(history: DataFrame) -> DataFrame:
+    """min(bkg_date) of the vault-cash GL per branch."""
+    cash = history.where((F.col("account") == fixed.CASH_GL) & F.col("branch_code").isNotNull()
+                         & F.col("bkg_date").isNotNull())
+    return cash.groupBy("branch_code").agg(F.min("bkg_date").alias("first_dt"))
 
 
 def authorised_daily(ledger: DataFrame) -> DataFrame:
@@ -71,6 +95,8 @@ def authorised_daily(ledger: DataFrame) -> DataFrame:
                  part(fixed.CREDIT, "fcy_amount").alias("c_fcy")))
 
 
-def derive(name: str, ledger: DataFrame) -> DataFrame:
-    return {"reversal_entry": reversal_entry, "cash_touch": cash_touch,
-            "first_entry": first_entry, "authorised_daily": authorised_daily}[name](ledger)
+def derive(name: str, rows: DataFrame) -> DataFrame:
+    """The side table ``name`` of the ledger (or of the relation that
+    ``DERIVED_FROM`` names)."""
+    return {"reversal_entry": reversal_entry, "cash_touch": cash_touch, "first_entry": first_entry,
+            "authorised_daily": authorised_daily, "first_snapshot": first_snapshot}[name](rows)

@@ -20,6 +20,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tallyspark.functions.oracle import MONEY
+from tallyspark.session import checkpoint_dir
 from tallyspark.sources import derived
 from tallyspark.sources.derived import PARTITION_COLUMN
 from tallyspark.sources.testdata import TestdataSource
@@ -39,63 +41,127 @@ def blank_strings_to_null(df: DataFrame) -> DataFrame:
     return df.select(*cols)
 
 
-def write_relation(df: DataFrame, root: str, name: str, mode: str = "overwrite",
-                   dynamic: bool = False) -> None:
-    """Normalise and write one relation; day-grained facts are partitioned
-    by day (the ledger additionally clustered by reference inside a day).
+#: Columns stored as dates and as money, by the names the relations use.
+DATE_SUFFIXES = ("_dt", "_date")
+MONEY_SUFFIXES = ("_amount", "_bal", "_amt")
 
-    ``dynamic=True`` overwrites only the partitions present in ``df``: that
-    makes a day's ingest idempotent -- a job re-run after a failure, or a
-    retried stage after an executor loss, replaces the same partitions
-    instead of duplicating rows.
-    """
-    out = blank_strings_to_null(df)
-    path = f"{root.rstrip('/')}/{name}"
-    part = PARTITION_COLUMN.get(name)
-    if part is None:
-        # Dimensions and snapshots: let adaptive execution size the files.
-        out.hint("rebalance").write.mode(mode).parquet(path)
-        return
+
+def normalise(df: DataFrame) -> DataFrame:
+    """The stored form of a relation: '' is NULL, dates are dates (a timestamp
+    is cut to its day; text may be ``2024-05-22`` or ``22-MAY-24``) and money
+    is ``decimal(22,3)``.  Text that is no date is an error, not a NULL."""
+    cols = []
+    for f in blank_strings_to_null(df).schema.fields:
+        c = F.col(f.name)
+        if f.name.endswith(DATE_SUFFIXES) and isinstance(f.dataType, T.StringType):
+            c = F.when(c.rlike(r"^[0-9]{4}-"), F.to_date(c, "yyyy-MM-dd")).otherwise(F.to_date(c, "d-MMM-yy"))
+        elif f.name.endswith(DATE_SUFFIXES) and not isinstance(f.dataType, T.DateType):
+            c = c.cast("date")
+        elif f.name.endswith(MONEY_SUFFIXES) and not isinstance(f.dataType, T.DecimalType):
+            c = c.cast(MONEY)
+        cols.append(c.alias(f.name))
+    return blank_strings_to_null(df).select(*cols)
+
+
+def _arranged(df: DataFrame, name: str, part: str | None = None) -> DataFrame:
     # REBALANCE lets adaptive execution size the output: a day of a large
     # ledger is split over several files, a small day is not scattered into
     # one file per shuffle partition.
-    out = out.hint("rebalance", part)
+    out = df.hint("rebalance", part) if part else df.hint("rebalance")
     if name == "ledger_entry":
-        out = out.sortWithinPartitions("trn_ref_no")
-    elif name == "balance_history":
+        return out.sortWithinPartitions("trn_ref_no")
+    if name == "balance_history":
         # Sorted by account inside a day: row-group statistics let a scan for
         # one account (the vault-cash GL over all history) skip the rest.
-        out = out.sortWithinPartitions("account")
-    writer = out.write.mode(mode).partitionBy(part)
-    if dynamic:
-        writer = writer.option("partitionOverwriteMode", "dynamic")
-    writer.parquet(path)
+        return out.sortWithinPartitions("account")
+    return out
 
 
-def ingest_day(ledger_day: DataFrame, root: str, day) -> None:
-    """Append one posting day to a stored catalog: the ledger partition and
-    the day's slice of every side table.
+def write_relation(df: DataFrame, root: str, name: str, mode: str = "overwrite") -> None:
+    """Normalise and write one whole relation; day-grained facts are
+    partitioned by day (the ledger additionally clustered by reference
+    inside a day)."""
+    part = PARTITION_COLUMN.get(name)
+    out = _arranged(normalise(df), name, part).write.mode(mode)
+    (out.partitionBy(part) if part else out).parquet(f"{root.rstrip('/')}/{name}")
+
+
+def replace_day(df: DataFrame, root: str, name: str, day) -> None:
+    """Replace one day's partition by ``df`` (already normalised), also by
+    nothing: the partition's folder itself is overwritten, so rows that a
+    correction took away do not stay."""
+    part = PARTITION_COLUMN[name]
+    _arranged(df.drop(part), name).write.mode("overwrite").parquet(
+        f"{root.rstrip('/')}/{name}/{part}={day}")
+
 
-    Idempotent per day (dynamic partition overwrite).  ``first_entry`` gets
-    the accounts whose first entry ever is this day -- the day's accounts
-    minus those already present in earlier partitions -- so days are
-    ingested in posting order.
+def _stored(spark: SparkSession, root: str, name: str, schema: T.StructType | str) -> DataFrame:
+    """A stored relation, or an empty one where nothing is stored yet."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{root.rstrip('/')}/{name}")
+    if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(path.toString())
+
+
+def _replace_firsts(root: str, name: str, facts: str, rows: DataFrame, day) -> None:
+    """Bring a first-day table (``name``) up to date for a new, late or
+    corrected ``day`` of ``facts``, whose rows are ``rows``.
+
+    Affected are the keys of the day's rows and the keys whose stored first
+    day is this day.  A key of the rows moves to this day if it was later; a
+    key that is no longer in the rows moves to its first day after this one.
+    Only the partitions that lose or get keys are written again.
     """
-    spark = ledger_day.sparkSession
-    rows = ledger_day.where(F.col("trn_dt") == F.lit(day))
-    write_relation(rows, root, "ledger_entry", dynamic=True)
-    for name in ("reversal_entry", "cash_touch", "authorised_daily"):
-        write_relation(derived.derive(name, rows), root, name, dynamic=True)
-    path = f"{root.rstrip('/')}/first_entry"
-    accounts = rows.where(F.col("ac_no").isNotNull()).select("ac_no").distinct()
-    try:
-        seen = spark.read.parquet(path).where(F.col("first_dt") < F.lit(day)).select("ac_no")
-        accounts = accounts.join(seen, "ac_no", "left_anti")
-    except Exception as e:  # no first_entry yet: the first ingested day
-        if "PATH_NOT_FOUND" not in str(e) and "does not exist" not in str(e):
-            raise
-    write_relation(accounts.select("ac_no", F.lit(day).cast("date").alias("first_dt")),
-                   root, "first_entry", dynamic=True)
+    spark, part = rows.sparkSession, PARTITION_COLUMN[name]
+    stored = _stored(spark, root, name, derived.SCHEMAS[name])
+    key = next(c for c in stored.columns if c != part)
+    now = derived.derive(name, rows).select(key)
+    was = stored.where(F.col(part) == F.lit(day)).select(key)
+    left = was.join(now, key, "left_anti")
+    later = _stored(spark, root, facts, rows.schema).where(F.col(PARTITION_COLUMN[facts]) > F.lit(day))
+    later = derived.derive(name, later).join(left, key, "left_semi")
+    old = stored.join(now.union(left).distinct(), key)
+    here = now.join(stored.where(F.col(part) < F.lit(day)), key, "left_anti").withColumn(
+        part, F.lit(day).cast("date"))
+    fresh = here.unionByName(later).unionByName(
+        stored.where(F.col(part) < F.lit(day)).join(now, key, "left_semi"))
+    checkpoint_dir(spark)
+    fresh, old = fresh.checkpoint(), old.checkpoint()
+    moved = old.join(fresh, [key, part], "left_anti").union(fresh.join(old, [key, part], "left_anti"))
+    touched = [r[0] for r in moved.select(part).distinct().collect()]  # days, not keys
+    if not touched:
+        return
+    rest = stored.where(F.col(part).isin(touched)).join(old.select(key), key, "left_anti")
+    rest = rest.unionByName(fresh.where(F.col(part).isin(touched))).checkpoint()
+    for d in sorted(touched):
+        replace_day(rest.where(F.col(part) == F.lit(d)), root, name, d)
+
+
+def _ingest(rows: DataFrame, root: str, facts: str, per_day, firsts: str, day) -> None:
+    part = PARTITION_COLUMN[facts]
+    checkpoint_dir(rows.sparkSession)
+    rows = normalise(rows).where(F.col(part) == F.lit(day)).checkpoint()
+    # The side tables first and the day itself last: a run that breaks off in
+    # between leaves the old day with side rows that match nothing new, and
+    # its repetition ends in the same state as one whole run.
+    for name in per_day:
+        replace_day(derived.derive(name, rows), root, name, day)
+    _replace_firsts(root, firsts, facts, rows, day)
+    replace_day(rows, root, facts, day)
+
+
+def ingest_day(ledger_day: DataFrame, root: str, day) -> None:
+    """Store one posting day of the ledger and its slice of every side table;
+    an earlier version of the day is replaced.  Days may come late, again, or
+    in corrected form: afterwards each side table equals the one derived from
+    the stored ledger."""
+    _ingest(ledger_day, root, "ledger_entry", derived.PER_DAY, "first_entry", day)
+
+
+def ingest_snapshot_day(history_day: DataFrame, root: str, day) -> None:
+    """Store one day of the balance history and bring ``first_snapshot`` up
+    to date (see ``ingest_day``)."""
+    _ingest(history_day, root, "balance_history", (), "first_snapshot", day)
 
 
 class ParquetSource:
@@ -116,7 +182,9 @@ class ParquetSource:
             raise KeyError(f"unknown relation {name!r}")
         if name not in self._memo:
             base = self.remote_root if name in REMOTE_RELATIONS else self.root
-            self._memo[name] = self.spark.read.parquet(f"{base}/{name}")
+            schema = derived.SCHEMAS.get(name)
+            self._memo[name] = (_stored(self.spark, base, name, schema) if schema
+                                else self.spark.read.parquet(f"{base}/{name}"))
         return self._memo[name]
 
     __call__ = table
@@ -125,6 +193,13 @@ class ParquetSource:
 def materialize(source, root: str, names=None) -> ParquetSource:
     """Write every relation of ``source`` under ``root`` and return a catalog
     over the written copy (used to cut long lineage and for the bench)."""
-    for name in names or source.RELATIONS:
-        write_relation(source.table(name), root, name)
+    stored = ParquetSource(source.spark, root)
+    # Side tables are derived from the relation just stored, not once more
+    # from the source.
+    for name in sorted(names or source.RELATIONS, key=lambda n: n in derived.DERIVED):
+        origin = derived.DERIVED_FROM.get(name, "ledger_entry")
+        if name in derived.DERIVED and (not names or origin in names):
+            write_relation(derived.derive(name, stored.table(origin)), root, name)
+        else:
+            write_relation(source.table(name), root, name)
     return ParquetSource(source.spark, root)

@@ -46,7 +46,7 @@ class FixtureSource:
             schema = nullable(self.template.table(name).schema)
             return self.spark.createDataFrame(df, schema) if isinstance(df, list) else df
         if name in derived.DERIVED:
-            return derived.derive(name, self.table("ledger_entry"))
+            return derived.derive(name, self.table(derived.DERIVED_FROM.get(name, "ledger_entry")))
         return self.spark.createDataFrame([], nullable(self.template.table(name).schema))
 
 

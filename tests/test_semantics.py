@@ -6,9 +6,11 @@ from __future__ import annotations
 from datetime import date
 from decimal import Decimal
 
+import pytest
 from pyspark.sql import functions as F
 
 from tallyspark.functions import round_ratio
+from tallyspark.sources import derived
 from tallyspark.operators import accounts as acc
 from tallyspark.operators import deposits as dep
 from tallyspark.operators.ledger import classify_mode, postable, tenor_gl_bucket, tenor_gl_first
@@ -196,7 +198,7 @@ def test_opening_needs_an_earlier_snapshot(spark, small_source):
                                        ("11010010001", "002", date(2024, 1, 9), "-1"),
                                        ("11010010001", "002", date(2024, 1, 10), "-3")])
     days = spark.createDataFrame([(date(2024, 1, 10),)], "loop_date date")
-    out = [(r["branch_code"], r["lcy_opening_bal"]) for r in dep.opening_cash(h, days).collect()]
+    out = [(r["branch_code"], r["lcy_opening_bal"]) for r in dep.opening_cash(h, days, derived.first_snapshot(h)).collect()]
     assert out == [("002", D("3.000"))]
 
 
@@ -280,3 +282,69 @@ def test_ingest_stores_empty_strings_as_null(spark, tmp_path):
     write_relation(df, str(tmp_path), "branch")
     got = sorted((r[0] or "~", r[1] or "~") for r in spark.read.parquet(f"{tmp_path}/branch").collect())
     assert got == [("001", "~"), ("002", "x"), ("~", "~")]
+
+
+def test_account_numbers_keep_all_digits_of_their_key(spark):
+    from tallyspark.sources.testdata import _acct
+    keys = spark.createDataFrame([(7,), (10000,), (100000,), (1500000,)], "k long")
+    got = [r[0] for r in keys.select(_acct(F.col("k"))).collect()]
+    assert got == ["21020700007", "21000010000", "210000100000", "2100001500000"]
+
+
+def test_rows_without_a_branch_do_not_set_the_comparison_day(spark):
+    d = [date(2024, 1, k) for k in range(1, 6)]
+    rows = [("A", d[2], 4), ("A", d[4], 10), ("B", d[2], 2), ("B", d[4], 10), (None, d[3], 1), (None, d[4], 5)]
+    deposits = spark.createDataFrame([(b, t, v, 0, 0, 0, v) for b, t, v in rows],
+                                     "branch_code string, trn_dt date, current_bal long, saving_bal long, "
+                                     "call_bal long, fixed_bal long, total_dep long")
+    days = spark.createDataFrame([(d[4],)], "loop_date date")
+    prior = spark.createDataFrame([(x,) for x in d], "loop_date date")
+    got = {r["branch"]: r["daily_net_deposit_amt"] for r in dep.net_deposit(deposits, days, prior).collect()}
+    assert got == {"A": 6, "B": 8}
+
+
+def test_cash_in_out_over_two_roots(spark, small_source, tmp_path):
+    from tallyspark.plans import params as P
+    from tallyspark.sources import ParquetSource, materialize
+    far, near = str(tmp_path / "far"), str(tmp_path / "near")
+    materialize(small_source, far, ["ledger_entry", "reversal_entry", "gl_master"])
+    materialize(small_source, near, ["branch_group_member", "branch_group"])
+    src = ParquetSource(spark, near, remote_root=far)
+    from tests.test_plans import rows
+    assert rows(R.cash_in_out_by_zone(src, P.ZONE_FROM, P.ZONE_TO)) == rows(
+        R.cash_in_out_by_zone(small_source, P.ZONE_FROM, P.ZONE_TO))
+
+
+@pytest.mark.parametrize("name, keys", [
+    ("cash_monitor", ["loop_date", "branch_code"]), ("ekyc", ["Open Date", "Account No"]),
+    ("turnover", ["gl_code", "ac_ccy"])])
+def test_row_order_with_nulls_last(small_source, name, keys):
+    from tests.test_plans import REPORTS
+    got = [tuple(r[k] for k in keys) for r in REPORTS[name](small_source).collect()]
+    if name == "cash_monitor":  # its day is shown on some rows only
+        got = [(r[1],) for r in got]
+        per_day, day = [[]], None
+        for (branch,) in got:
+            if per_day[-1] and (branch or "~") < (per_day[-1][-1] or "~"):
+                per_day.append([])
+            per_day[-1].append(branch)
+        assert len(per_day) <= 5
+        return
+    assert got == sorted(got, key=lambda r: [(v is None, v if v is not None else "") for v in r])
+
+
+def test_turnover_order_puts_null_currency_last(spark, fixture_source, small_source):
+    led = ledger(spark, small_source, dict(ac_ccy=None), dict(ac_ccy="USD", trn_ref_no="T2"),
+                 dict(ac_ccy="MMK", trn_ref_no="T3"))
+    src = fixture_source(ledger_entry=led, gl_master=spark.createDataFrame(
+        [("21000000001", "2")], "gl_code string, type string"))
+    assert [r["ac_ccy"] for r in R.gl_turnover(src, date(2024, 1, 10)).collect()] == ["MMK", "USD", None]
+
+
+def test_a_cluster_without_a_shared_folder_is_an_error():
+    from types import SimpleNamespace
+    from tallyspark.session import checkpoint_dir
+    session = SimpleNamespace(sparkContext=SimpleNamespace(getCheckpointDir=lambda: None, master="yarn"),
+                              conf=SimpleNamespace(get=lambda k, d=None: None))
+    with pytest.raises(ValueError):
+        checkpoint_dir(session)
