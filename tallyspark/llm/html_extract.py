@@ -5,9 +5,9 @@
    element name, role, class or id -- go.  Blocks inside an ``article`` or
    ``main`` are sure; where a page has a sure block, only sure blocks stay.
 2. Each page is paired with the page nearest by URL: a page of the same host
-   that shares the longest path prefix.  Per prefix only the first and last
-   page by a hash are offered as partners (two aggregates), so a host with a
-   third of all pages is not gathered anywhere.
+   that shares the longest path prefix and has another text.  Per prefix only
+   the first and last page by a hash are offered as partners (two aggregates),
+   so a host with a third of all pages is not gathered anywhere.
 3. The unsure lines of the two pages are aligned by longest common
    subsequence, and the shared lines are deleted: they are the template.  If
    they are most of the page, the two are copies and nothing is deleted.  The
@@ -92,7 +92,7 @@ def blocks_of(page: str | None) -> list[tuple[str, bool]]:
     stack: list[tuple[str, bool, bool]] = []  # name, dropped, sure
 
     def flush() -> None:
-        text = " ".join(entities.unescape("".join(held)).split())
+        text = " ".join("".join(held).split())
         if text:
             out.append((text, bool(stack) and stack[-1][2]))
         held.clear()
@@ -109,7 +109,7 @@ def blocks_of(page: str | None) -> list[tuple[str, bool]]:
         text = page[pos:tag.start() if tag else len(page)]
         dropped = bool(stack) and stack[-1][1]
         if text and not dropped:
-            held.append(text)
+            held.append(entities.unescape(text))
         if not tag:
             break
         pos = tag.end()
@@ -141,7 +141,7 @@ def blocks_of(page: str | None) -> list[tuple[str, bool]]:
                 break
         sure = bool(stack) and stack[-1][2]
         gone = bool(stack) and stack[-1][1] or _boilerplate(name, attributes, sure)
-        if not gone and name in BLOCK or gone and not dropped:
+        if not gone and name in BLOCK or gone and not dropped and name not in RAW:
             flush()
         if name in RAW and not attributes.rstrip().endswith("/"):
             end = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(page, pos)
@@ -243,13 +243,16 @@ def _prefixes(url: Column) -> Column:
 
 
 def nearest(pages: DataFrame) -> DataFrame:
-    """``pk``, ``partner`` from ``pk``, ``url``."""
-    levels = (pages.select("pk", "url").distinct().select("pk", F.posexplode(_prefixes(F.col("url"))))
-              .select("pk", F.col("pos").alias("depth"), F.xxhash64("col").alias("prefix")))
-    ends = fixed(levels.groupBy("prefix").agg(F.min("pk").alias("low"), F.max("pk").alias("high"))
-                 .where("low <> high"))
-    offers = levels.join(ends, "prefix").select(
-        "pk", "depth", F.when(F.col("high") != F.col("pk"), F.col("high")).otherwise(F.col("low")).alias("p"))
+    """``pk``, ``partner`` from ``pk``, ``url`` and ``content``, a hash of the
+    page's text: a page with the same text is no partner."""
+    levels = (pages.select("pk", "url", "content").distinct()
+              .select("pk", "content", F.posexplode(_prefixes(F.col("url"))))
+              .select("pk", "content", F.col("pos").alias("depth"), F.xxhash64("col").alias("prefix")))
+    one = F.struct("content", "pk")
+    ends = fixed(levels.groupBy("prefix").agg(F.min(one).alias("low"), F.max(one).alias("high"))
+                 .where("low.content <> high.content"))
+    offers = levels.join(ends, "prefix").select("pk", "depth", F.when(
+        F.col("high.content") != F.col("content"), F.col("high.pk")).otherwise(F.col("low.pk")).alias("p"))
     return offers.groupBy("pk").agg(F.max_by("p", "depth").alias("partner"))
 
 
@@ -273,7 +276,8 @@ def extract(pages: DataFrame, html_col: str = "html", url_col: str = "url") -> D
                     names=parsed.fieldNames())
 
     rows = fixed(keyed.mapInArrow(parse, parsed))
-    pairs = nearest(rows.select(F.col("_pk").alias("pk"), F.col(url_col).alias("url")))
+    pairs = nearest(rows.select(F.col("_pk").alias("pk"), F.col(url_col).alias("url"),
+                                F.xxhash64("_blocks").alias("content")))
     unsure = F.expr("transform(filter(arrays_zip(_blocks, _sure), x -> NOT x._sure), x -> x._blocks)")
     # Only a page without a sure block asks for its partner's lines.
     asks = rows.where("NOT exists(_sure, s -> s)").select(F.col("_pk").alias("pk")).distinct()
