@@ -21,7 +21,7 @@ from tallyspark.session import checkpoint_dir
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return quality_rules.apply_rules(docs).where("kept").select(*docs.columns)
+    return quality_rules.keep_good(docs)
 
 
 def dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -62,9 +62,13 @@ MARKS = {"ad", "ads", "advert", "adverts", "advertisement", "advertising", "bann
 #: An opening tag of the second kind ends an open element of the first.
 ENDED_BY = {"p": BLOCK - {"body", "html"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"},
             "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}, "tr": {"tr"}}
+ENDING = set().union(*ENDED_BY.values())
 
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>",
-                  re.S)
+#: A comment, declaration or tag.  No part gives back what it took, and quotes
+#: that do not close are ordinary characters, so a page is read in one go.
+_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*+>|<(/?)([a-zA-Z][^\s/>]*+)"
+                  r"((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+(?=>)|[^>]*+)>", re.S)
+_COMMENT = re.compile(r"<!--()()().*", re.S)
 _ATTRIBUTE = re.compile(r"\b(class|id|role|aria-hidden|hidden)\b(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?", re.I)
 _MOST_CELLS = 400_000_000
 
@@ -90,6 +94,7 @@ def blocks_of(page: str | None) -> list[tuple[str, bool]]:
     out: list[tuple[str, bool]] = []
     held: list[str] = []
     stack: list[tuple[str, bool, bool]] = []  # name, dropped, sure
+    opened: dict[str, int] = defaultdict(int)
 
     def flush() -> None:
         text = " ".join("".join(held).split())
@@ -101,11 +106,13 @@ def blocks_of(page: str | None) -> list[tuple[str, bool]]:
         for name, dropped, _ in reversed(stack[depth:]):
             if name in BLOCK and not dropped:
                 flush()
+            opened[name] -= 1
             stack.pop()
 
-    pos = 0
+    pos, last = 0, page.rfind(">")
     while pos <= len(page):
-        tag = _TAG.search(page, pos)
+        # After the last ">" only an unclosed comment can follow.
+        tag = _TAG.search(page, pos) if pos <= last else _COMMENT.search(page, pos)
         text = page[pos:tag.start() if tag else len(page)]
         dropped = bool(stack) and stack[-1][1]
         if text and not dropped:
@@ -117,9 +124,8 @@ def blocks_of(page: str | None) -> list[tuple[str, bool]]:
         if not name:
             continue
         if closing:
-            depth = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == name), None)
-            if depth is not None:
-                leave(depth)
+            if opened[name]:
+                leave(next(k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == name))
             continue
         if name in ("article", "main") and dropped and not any(s[2] for s in stack) and "comment" not in \
                 attributes.lower():
@@ -133,11 +139,11 @@ def blocks_of(page: str | None) -> list[tuple[str, bool]]:
                 else:
                     held.append(" " if name == "br" else "")
             continue
-        for k in range(len(stack) - 1, -1, -1):
+        for k in range(len(stack) - 1, -1, -1) if name in ENDING else ():
             if stack[k][0] in ENDED_BY and name in ENDED_BY[stack[k][0]]:
                 leave(k)
                 break
-            if stack[k][0] in BLOCK:
+            if stack[k][0] in BLOCK or stack[k][0] in DROP:
                 break
         sure = bool(stack) and stack[-1][2]
         gone = bool(stack) and stack[-1][1] or _boilerplate(name, attributes, sure)
@@ -147,6 +153,7 @@ def blocks_of(page: str | None) -> list[tuple[str, bool]]:
             end = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(page, pos)
             pos = end.end() if end else len(page)
             continue
+        opened[name] += 1
         stack.append((name, gone, not gone and (sure or name in ("article", "main"))))
     leave(0)
     flush()

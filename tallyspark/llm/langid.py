@@ -133,7 +133,7 @@ class Filter:
 
     def decide(self, text: str | None, letters: Letters) -> tuple[str, float]:
         total, hits, any_letter = 0, np.zeros(len(self.languages)), False
-        for codes in _pieces(text or ""):
+        for codes in _pieces(text or "") if self.languages else ():
             letter = letters.mask(codes)
             any_letter |= bool(letter.any())
             for n in NGRAMS:
@@ -141,7 +141,7 @@ class Filter:
                 h = h[at < _CHUNK]
                 total += len(h)
                 hits += self.counts(h)
-        if not any_letter or not self.languages:
+        if not any_letter:
             return "und", 0.0
         corrected = np.maximum(hits - total * self.chance, 0) / (1 - self.chance) / self.cover
         best = max(self.rank.tolist(), key=lambda b: corrected[b])

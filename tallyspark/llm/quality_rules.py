@@ -165,3 +165,16 @@ def apply_rules(docs: DataFrame, text_col: str = "text",
     for rule in base:
         failed = failed | _fails(rule)
     return measure(docs, text_col).withColumns({"base_failed": failed, "kept": verdict(rules)})
+
+
+def keep_good(docs: DataFrame, text_col: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """The rows of ``docs`` that no rule rejects, with their own columns.
+
+    The verdict comes out of a generator, because a filter is not pushed
+    through one: pushed down, each rule would carry the whole expression of
+    its measures, written out and evaluated again.
+    """
+    rows = docs.select(F.struct("*").alias("_qr_row"), F.col(text_col).alias("text"))
+    judged = apply_rules(rows, "text", rules).select(
+        "_qr_row", F.explode(F.array("kept")).alias("_qr_kept"))
+    return judged.where("_qr_kept").select("_qr_row.*")
