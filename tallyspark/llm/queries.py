@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from . import (bpe, decontaminate, html_extract, langid, license_scan, near_dup, quality_model,
                quality_rules, substring_dup, token_count)
+from .oracle import ORACLE_SQL  # noqa: F401  (with QUERIES, what is registered)
 
 BPE_FILE = "byte_bpe_50k.json"
 UNIGRAM_FILE = "piece_bpe_32k.model"
@@ -103,5 +104,3 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_token_counts": op9_token_counts,
     "op10_html_extraction": op10_html_extraction,
 }
-
-ORACLE_SQL: dict[str, str] = {}
