@@ -32,9 +32,10 @@ from __future__ import annotations
 import html as entities
 import re
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -249,58 +250,86 @@ def _prefixes(url: Column) -> Column:
     return F.when(host != "", both)
 
 
-def nearest(pages: DataFrame) -> DataFrame:
+def nearest(pages: DataFrame, asking: DataFrame | None = None) -> DataFrame:
     """``pk``, ``partner`` from ``pk``, ``url`` and ``content``, a hash of the
-    page's text: a page with the same text is no partner."""
-    levels = (pages.select("pk", "url", "content").distinct()
-              .select("pk", "content", F.posexplode(_prefixes(F.col("url"))))
-              .select("pk", "content", F.col("pos").alias("depth"), F.xxhash64("col").alias("prefix")))
+    page's text: a page with the same text is no partner.  ``asking`` are the
+    pages (rows of ``pages``) that want one, by default all."""
+
+    def levels(some: DataFrame) -> DataFrame:
+        return (some.select("pk", "url", "content").distinct()
+                .select("pk", "content", F.posexplode(_prefixes(F.col("url"))))
+                .select("pk", "content", F.col("pos").alias("depth"), F.xxhash64("col").alias("prefix")))
+
+    asking = pages if asking is None else asking
     one = F.struct("content", "pk")
-    ends = fixed(levels.groupBy("prefix").agg(F.min(one).alias("low"), F.max(one).alias("high"))
+    ends = fixed(levels(pages).groupBy("prefix").agg(F.min(one).alias("low"), F.max(one).alias("high"))
                  .where("low.content <> high.content"))
-    offers = levels.join(ends, "prefix").select("pk", "depth", F.when(
+    offers = levels(asking).join(ends, "prefix").select("pk", "depth", F.when(
         F.col("high.content") != F.col("content"), F.col("high.pk")).otherwise(F.col("low.pk")).alias("p"))
     return offers.groupBy("pk").agg(F.max_by("p", "depth").alias("partner"))
 
 
-def extract(pages: DataFrame, html_col: str = "html", url_col: str = "url") -> DataFrame:
-    """``pages`` without its html, with ``text``."""
-    keep = [c for c in pages.columns if c not in (html_col, "text")]
-    keyed = pages.withColumn("_pk", F.xxhash64(*[F.col(c) for c in pages.columns]))
-    fields = [pages.schema[c] for c in keep] + [T.StructField("_pk", T.LongType())]
-    lines = T.ArrayType(T.StringType())
-    parsed = T.StructType(fields + [T.StructField("_blocks", lines),
-                                    T.StructField("_sure", T.ArrayType(T.BooleanType()))])
+def _parsed(pages: DataFrame, html_col: str, keep: list[str], new: list[T.StructField],
+            row: Callable[[list[tuple[str, bool]]], tuple | None]) -> DataFrame:
+    """``keep`` and the ``new`` columns that ``row`` makes of a page's blocks;
+    pages for which it returns nothing are left out."""
+    schema = T.StructType([pages.schema[c] for c in keep] + new)
 
-    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        types = [pa.list_(pa.string()) if isinstance(f.dataType, T.ArrayType) else
+                 {"string": pa.string(), "long": pa.int64(), "boolean": pa.bool_()}[
+                     {"bigint": "long"}.get(f.dataType.simpleString(), f.dataType.simpleString())] for f in new]
         for whole in batches:
             for batch in column_slices(whole, html_col, 4 << 20):
-                found = [blocks_of(p) for p in batch.column(html_col).to_pylist()]
+                made = [row(blocks_of(page)) for page in batch.column(html_col).to_pylist()]
+                at = pa.array([k for k, m in enumerate(made) if m is not None], pa.int32())
+                made = [m for m in made if m is not None]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(f.name) for f in fields]
-                    + [pa.array([[b for b, _ in f] for f in found], pa.list_(pa.string())),
-                       pa.array([[s for _, s in f] for f in found], pa.list_(pa.bool_()))],
-                    names=parsed.fieldNames())
-
-    rows = fixed(keyed.mapInArrow(parse, parsed))
-    pairs = nearest(rows.select(F.col("_pk").alias("pk"), F.col(url_col).alias("url"),
-                                F.xxhash64("_blocks").alias("content")))
-    unsure = F.expr("transform(filter(arrays_zip(_blocks, _sure), x -> NOT x._sure), x -> x._blocks)")
-    # Only a page without a sure block asks for its partner's lines.
-    asks = rows.where("NOT exists(_sure, s -> s)").select(F.col("_pk").alias("pk")).distinct()
-    other = rows.select(F.col("_pk").alias("partner"), unsure.alias("_other")).dropDuplicates(["partner"])
-    answers = pairs.join(asks, "pk", "left_semi").join(other, "partner").select(
-        F.col("pk").alias("_pk"), "_other")
-    joined = rows.join(answers, "_pk", "left")
-    out = T.StructType(fields[:-1] + [T.StructField("text", T.StringType())])
+                    [batch.column(c).take(at) for c in keep]
+                    + [pa.array([m[k] for m in made], t) for k, t in enumerate(types)],
+                    names=schema.fieldNames())
+
+    return pages.mapInArrow(run, schema)
+
+
+def extract(pages: DataFrame, html_col: str = "html", url_col: str = "url") -> DataFrame:
+    """``pages`` without its html, with ``text``.
+
+    Only pages without a sure block are shuffled, to meet their partner's
+    lines; what is kept of the others is a row of hashes and their unsure
+    lines.  The pages are read again rather than stored.
+    """
+    keep = [c for c in pages.columns if c not in (html_col, "text")]
+    # Equal pages share a key: they get the same partner and text.
+    rows = pages.withColumn("_pk", F.xxhash64(url_col, html_col))
+    lines, text = T.ArrayType(T.StringType()), T.StructField("text", T.StringType())
+
+    def facts(blocks):
+        digest = xxhash.xxh3_64_intdigest("\n".join(b for b, _ in blocks)) - (1 << 63)
+        return digest, not any(s for _, s in blocks), [b for b, s in blocks if not s]
+
+    known = fixed(_parsed(rows.select("_pk", F.col(url_col).alias("url"), html_col), html_col, ["_pk", "url"], [
+        T.StructField("content", T.LongType()), T.StructField("asks", T.BooleanType()),
+        T.StructField("unsure", lines)], facts).withColumnRenamed("_pk", "pk"))
+    pairs = nearest(known, known.where("asks"))
+    other = known.select(F.col("pk").alias("partner"), F.col("unsure").alias("_other"))
+    answers = (pairs.join(other.dropDuplicates(["partner"]), "partner")
+               .select(F.col("pk").alias("_pk"), "_other"))
+
+    sure = _parsed(rows, html_col, keep, [text], lambda blocks: (
+        main_text([b for b, _ in blocks], [s for _, s in blocks], None),) if any(s for _, s in blocks) else None)
+    unsure = _parsed(rows, html_col, [*keep, "_pk"], [T.StructField("_blocks", lines)], lambda blocks: None if any(
+        s for _, s in blocks) else ([b for b, _ in blocks],))
+    unsure = unsure.join(answers, "_pk", "left")
+    out = T.StructType([pages.schema[c] for c in keep] + [text])
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for k in range(0, whole.num_rows, 256):
                 batch = whole.slice(k, 256)
-                texts = [main_text(*row) for row in zip(*(
-                    batch.column(c).to_pylist() for c in ("_blocks", "_sure", "_other")))]
-                yield pa.RecordBatch.from_arrays([batch.column(f.name) for f in fields[:-1]]
+                texts = [main_text(blocks, [], other) for blocks, other in zip(
+                    batch.column("_blocks").to_pylist(), batch.column("_other").to_pylist())]
+                yield pa.RecordBatch.from_arrays([batch.column(c) for c in keep]
                                                  + [pa.array(texts, pa.string())], names=out.fieldNames())
 
-    return joined.mapInArrow(finish, out)
+    return sure.unionByName(unsure.mapInArrow(finish, out))
