@@ -42,7 +42,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .batches import RollingHash, binary_column, column_slices, shingle_set, space_words
-from .tables import fixed, row_key
+from .filters import bit_filter, hits
+from .tables import fixed, free_shuffles, row_key
 
 BANDS = 42
 ROWS = 6
@@ -50,6 +51,7 @@ MISS = 1e-5
 BATCH = 42
 BLOCK_ROWS = 2048
 BLOCK_BYTES = 64 << 20
+SET_FILTER_BITS = 1 << 26
 
 
 def least_matches(values: int, batch: int, threshold: float, miss: float) -> list[tuple[int, int]]:
@@ -145,22 +147,28 @@ def signatures(docs: DataFrame, plan: Plan, id_col: str, text_col: str) -> DataF
 
 def _sets(docs: DataFrame, wanted: DataFrame, plan: Plan, id_col: str, text_col: str) -> DataFrame:
     """``node``, ``values`` (the sorted set as bytes) for ``wanted``'s rows
-    (``node``, ``_id``, ``_th`` of one document of the class)."""
-    rows = (docs.select(*row_key(id_col, text_col), F.col(text_col).alias("text"))
-            .join(wanted, ["_id", "_th"]).select("node", "text"))
+    (``node``, ``_id``, ``_th`` of one document of the class).  A bit filter
+    keeps most other texts out of the join's shuffle."""
+    wanted = fixed(wanted)
+    shared = docs.sparkSession.sparkContext.broadcast(
+        bit_filter(wanted.select(F.col("_th").alias("h")), SET_FILTER_BITS))
+    rows = docs.select(*row_key(id_col, text_col), F.col(text_col).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rolling = RollingHash(plan.shingle)
+        rolling, filled = RollingHash(plan.shingle), shared.value
         for whole in batches:
             for batch in column_slices(whole, "text"):
+                th = np.asarray(batch.column("_th")).view(np.uint64)
+                batch = batch.filter(pa.array(hits(th, filled, SET_FILTER_BITS)))
                 values = [shingle_set(space_words(t, lower=True), rolling).tobytes()
                           for t in binary_column(batch, "text")]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("node"), pa.array(values, pa.binary())], names=["node", "values"])
+                    [batch.column("_id"), batch.column("_th"), pa.array(values, pa.binary())],
+                    names=["_id", "_th", "values"])
 
     # Repeated rows give the same set again.
-    return rows.mapInArrow(run, "node long, values binary").groupBy("node").agg(
-        F.first("values").alias("values"))
+    sets = rows.mapInArrow(run, "_id long, _th long, values binary")
+    return sets.join(wanted, ["_id", "_th"]).groupBy("node").agg(F.first("values").alias("values"))
 
 
 def _pairs_map(pairs: DataFrame, test: Callable[[pa.RecordBatch], np.ndarray]) -> DataFrame:
@@ -298,6 +306,9 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col
         F.first("sig").alias("sig")).select(
         F.monotonically_increasing_id().alias("node"), "set_key", "doc.id", "doc._id", "doc._th",
         "n", "keys", "sig"))
+    # From here on only the classes carry signatures.
+    signed = fixed(signed.select("_id", "_th", "id", F.col("n").cast("long").alias("n_shingles"), "set_key"))
+    free_shuffles(docs.sparkSession)
     banded = classes.select("node", F.explode("keys").alias("key"))
     buckets = fixed(banded.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.min("node").alias("first"))
                     .where("m > 1"))
@@ -305,8 +316,10 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col
     stars = members.where("node <> first").select(
         F.col("first").alias("a"), F.col("node").alias("b")).distinct()
     links = fixed(_verified(stars, classes, docs, plan, id_col, text_col))
+    free_shuffles(docs.sparkSession)
     labels = components(links)
     more = fixed(_cross_links(members, labels, classes, docs, plan, id_col, text_col))
+    free_shuffles(docs.sparkSession)
     labels = components(links.union(more))
 
     named = classes.join(labels, "node", "left").select(
@@ -315,8 +328,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col
     chosen = named.groupBy("comp").agg(F.min(best).alias("best"))
     named = named.join(chosen, "comp").select("set_key", F.col("best.id").alias("component_id"),
                                               F.col("best._th").alias("best_th"))
-    return (signed.select("_id", "_th", "id", F.col("n").cast("long").alias("n_shingles"), "set_key")
-            .join(named, "set_key", "left")
+    return (signed.join(named, "set_key", "left")
             .select("_id", "_th", "id", "n_shingles",
                     F.when(F.col("n_shingles") == 0, F.col("id")).otherwise(F.col("component_id"))
                     .alias("component_id"),
