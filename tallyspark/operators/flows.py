@@ -111,6 +111,20 @@ def deposit_flows(entries: DataFrame, cash: DataFrame, account_gl_map: DataFrame
 
 
 # ------------------------------------------------------------------ C20
+def _coded_as(daily: DataFrame, account_gl_map: DataFrame, deposit_term: DataFrame, codes) -> DataFrame:
+    """The rollup rows whose GL code is one of ``codes``: GL legs by their own
+    account, customer legs by the accounts that map to such a code."""
+    terms = deposit_term.select(F.col("acc").alias("ac_no"), "orig_tenor_days", "orig_tenor_months",
+                                "orig_tenor_years")
+    mapped = account_gl_map.select(F.col("ac_gl_no").alias("ac_no"), "ac_natural_gl",
+                                   F.lit(fixed.CUSTOMER_LEG).alias("cust_gl"))
+    accounts = (mapped.join(terms, "ac_no", "left").where(tenor_gl_first().isin(*codes))
+                .select("ac_no"))
+    own = (F.col("cust_gl") == fixed.GL_LEG) & F.col("ac_no").isin(*codes)
+    customers = daily.where(F.col("cust_gl") == fixed.CUSTOMER_LEG).join(accounts, "ac_no", "left_semi")
+    return daily.where(own).unionByName(customers)
+
+
 def net_position(daily: DataFrame, account_gl_map: DataFrame, deposit_term: DataFrame,
                  codes=None, base: str = fixed.BASE_CCY) -> DataFrame:
     """C20: |credits - debits| per tenor-qualified GL code and currency.
@@ -120,14 +134,20 @@ def net_position(daily: DataFrame, account_gl_map: DataFrame, deposit_term: Data
     per (account, leg, currency) -- combined map-side -- and only that
     result meets the account and deposit dimensions.  Summing partial sums
     is exact for decimals, and any fan-out of the account map multiplies a
-    partial sum exactly as it would multiply each entry.
+    partial sum exactly as it would multiply each entry.  With ``codes``, the
+    rollup is first cut down to the accounts that can carry one of them, so
+    the rest is neither aggregated nor shuffled.
     """
+    if codes is not None:
+        daily = _coded_as(daily, account_gl_map, deposit_term, codes)
     per_acct = (daily.groupBy("ac_no", "cust_gl", "ac_ccy")
                 .agg(*[F.sum(c).alias(c) for c in ("d_lcy", "c_lcy", "d_fcy", "c_fcy")]))
-    acc = account_gl_map.select("ac_gl_no", "ac_natural_gl")
-    term = deposit_term.select("acc", "orig_tenor_days", "orig_tenor_months", "orig_tenor_years")
-    j = (per_acct.join(acc, per_acct.ac_no == acc.ac_gl_no, "left")
-         .join(term, acc.ac_gl_no == term.acc, "left"))
+    acc = account_gl_map.select(F.col("ac_gl_no").alias("ac_no"), F.col("ac_gl_no").alias("_mapped"),
+                                "ac_natural_gl")
+    term = deposit_term.select(F.col("acc").alias("_mapped"), "orig_tenor_days", "orig_tenor_months",
+                               "orig_tenor_years")
+    # The term hangs on the mapped account, so an unmapped one has none.
+    j = per_acct.join(acc, "ac_no", "left").join(term, "_mapped", "left")
     coded = j.select(tenor_gl_first().alias("code"), "ac_ccy", "d_lcy", "c_lcy", "d_fcy", "c_fcy")
     if codes is not None:
         coded = coded.where(F.col("code").isin(*codes))

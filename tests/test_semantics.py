@@ -348,3 +348,13 @@ def test_a_cluster_without_a_shared_folder_is_an_error():
                               conf=SimpleNamespace(get=lambda k, d=None: None))
     with pytest.raises(ValueError):
         checkpoint_dir(session)
+
+
+def test_position_of_some_codes_equals_the_filtered_position(spark, small_source):
+    from tallyspark.operators.flows import net_position
+    daily, m, t = (small_source.table(k) for k in ("authorised_daily", "account_gl_map", "deposit_term"))
+    whole = net_position(daily, m, t).collect()
+    codes = sorted({r["code"] for r in whole if r["code"]})
+    some = [c for k, c in enumerate(codes) if k % 3 == 0] + ["no such code"]
+    got = {tuple(r) for r in net_position(daily, m, t, codes=some).collect()}
+    assert got == {tuple(r) for r in whole if r["code"] in some} and got
