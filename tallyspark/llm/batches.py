@@ -11,6 +11,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
@@ -103,7 +104,7 @@ def column_slices(batch: pa.RecordBatch, name: str, most_bytes: int = 16 << 20
                   ) -> Iterator[pa.RecordBatch]:
     """The batch in slices of about ``most_bytes`` of that column (one row at least)."""
     sizes = np.cumsum(np.nan_to_num(np.asarray(
-        pa.compute.binary_length(batch.column(name)).to_pandas(), dtype=float)))
+        pc.binary_length(batch.column(name)).to_pandas(), dtype=float)))
     start, n = 0, batch.num_rows
     while start < n:
         before = sizes[start - 1] if start else 0.0

@@ -27,6 +27,7 @@ from collections.abc import Iterator
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
@@ -257,7 +258,7 @@ def decode(encoded: DataFrame, tokenizer_path: str, ids_col: str = "ids",
                 batch = whole.slice(k, 512)
                 lists = batch.column(ids_col)
                 flat = np.asarray(lists.flatten().fill_null(-1))
-                sizes = np.asarray(pa.compute.list_value_length(lists).fill_null(0))
+                sizes = np.asarray(pc.list_value_length(lists).fill_null(0))
                 ends = np.cumsum(sizes)
                 texts = [decoder.bytes_of(flat[e - n:e]).decode("utf-8", "replace")
                          for e, n in zip(ends, sizes)]
