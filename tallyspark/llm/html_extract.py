@@ -33,6 +33,7 @@ import html as entities
 import re
 from collections import defaultdict
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 import xxhash
@@ -71,7 +72,9 @@ _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*+>|<(/?)([a-zA-Z][^\s/>]*+)"
                   r"((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+(?=>)|[^>]*+)>", re.S)
 _COMMENT = re.compile(r"<!--()()().*", re.S)
 _ATTRIBUTE = re.compile(r"\b(class|id|role|aria-hidden|hidden)\b(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?", re.I)
+#: Bits of alignment rows held at once, and the parts that more rows are cut in.
 _MOST_CELLS = 400_000_000
+_PARTS = 16
 
 
 def _boilerplate(name: str, attributes: str, sure: bool) -> bool:
@@ -173,57 +176,65 @@ def shared_lines(mine: list[str], other: list[str]) -> set[int]:
     x, y = mine[start:a], other[start:b]
     if not x or not y:
         return used
-    if len(x) * len(y) > _MOST_CELLS:
-        return used | {start + i for i in _unique_chain(x, y)}
+    # Lines of one page only are in no common subsequence.
+    both = set(x) & set(y)
+    at = [start + i for i, line in enumerate(x) if line in both]
+    x, y = [line for line in x if line in both], [line for line in y if line in both]
+    if not both:
+        return used
     # Bit-parallel: bit j of a row is 0 where the LCS grows at y[j].
-    where: dict[str, int] = defaultdict(int)
+    where: dict[str, list[int]] = defaultdict(list)
     for j, line in enumerate(y):
-        where[line] |= 1 << j
-    full = (1 << len(y)) - 1
-    rows = [full]
-    for line in x:
-        row = rows[-1]
-        match = row & where.get(line, 0)
-        rows.append((row + match | row - match) & full)
-    i, j = len(x), len(y)
-    while i and j:
-        bit = 1 << (j - 1)
-        if rows[i] & bit:  # y[j - 1] adds nothing here
-            j -= 1
-        elif rows[i - 1] & bit:
-            used.add(start + i - 1)
-            i, j = i - 1, j - 1
-        else:
-            i -= 1
+        where[line].append(j)
+
+    @lru_cache(max(1, _MOST_CELLS // len(y)))
+    def places(line: str) -> int:
+        if len(where[line]) == 1:
+            return 1 << where[line][0]
+        bits = bytearray(len(y) // 8 + 1)
+        for j in where[line]:
+            bits[j >> 3] |= 1 << (j & 7)
+        return int.from_bytes(bits, "little")
+
+    def after(row: int, line: str, full: int) -> int:
+        match = row & places(line)
+        return (row + match | row - match) & full
+
+    def back(first: int, top: int, i: int, j: int) -> int:
+        """Goes back from row ``i`` to row ``first``, whose value is ``top``,
+        and returns the column reached.  If all rows between are too many to
+        hold, one in each of ``_PARTS`` parts is held and the others
+        are computed again."""
+        if not j or i == first:
+            return j
+        full = (1 << j) - 1
+        top &= full
+        step = 1 if (i - first) * j <= _MOST_CELLS else -(-(i - first) // _PARTS)
+        rows, row = [top], top
+        for k in range(first, i):
+            row = after(row, x[k], full)
+            if (k + 1 - first) % step == 0 or k + 1 == i:
+                rows.append(row)
+        if step > 1:
+            for k in range(len(rows) - 2, -1, -1):
+                begin = first + k * step
+                j = back(begin, rows[k], min(begin + step, i), j)
+            return j
+        while i > first and j:
+            bit = 1 << (j - 1)
+            if rows[i - first] & bit:  # y[j - 1] adds nothing here
+                j -= 1
+            elif rows[i - first - 1] & bit:
+                used.add(at[i - 1])
+                i, j = i - 1, j - 1
+            else:
+                i -= 1
+        return j
+
+    back(0, (1 << len(y)) - 1, len(x), len(y))
     return used
 
 
-def _unique_chain(x: list[str], y: list[str]) -> list[int]:
-    """For huge pages: the longest chain of lines that are unique in both."""
-    from bisect import bisect_left
-    places = {}
-    for j, line in enumerate(y):
-        places[line] = -1 if line in places else j
-    once: dict[str, int] = {}
-    for i, line in enumerate(x):
-        once[line] = -1 if line in once else i
-    tails: list[int] = []
-    last: list[int] = []
-    before: dict[int, int] = {}
-    for i, line in enumerate(x):
-        j = places.get(line, -1)
-        if j < 0 or once[line] < 0:
-            continue
-        k = bisect_left(tails, j)
-        tails[k:k + 1], last[k:k + 1] = [j], [i]
-        before[i] = last[k - 1] if k else -1
-    chain, i = [], last[-1] if last else -1
-    while i >= 0:
-        chain.append(i)
-        i = before[i]
-    return chain
-
-
 def main_text(blocks: list[str], sure: list[bool], partner: list[str] | None) -> str:
     """The blocks that stay, joined by newlines."""
     if any(sure):

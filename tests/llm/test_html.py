@@ -58,6 +58,16 @@ def test_huge_pages_take_the_chain_of_unique_lines(monkeypatch):
     assert html_extract.shared_lines(a, b) == {1, 2, 4}
 
 
+def test_huge_pages_are_aligned_like_small_ones(monkeypatch):
+    rng = random.Random(4)
+    pairs = [[[rng.choice("abcd") for _ in range(rng.randint(0, 60))] for _ in range(2)] for _ in range(200)]
+    small = [html_extract.shared_lines(a, b) for a, b in pairs]
+    for cells in (1, 70, 500):
+        monkeypatch.setattr(html_extract, "_MOST_CELLS", cells)
+        assert [html_extract.shared_lines(a, b) for a, b in pairs] == small
+    assert all(len(used) == lcs(a, b) for used, (a, b) in zip(small, pairs))
+
+
 def pages(spark, rows):
     return spark.createDataFrame(rows, "page_id long, url string, html string")
 
