@@ -6,8 +6,9 @@ n-grams that make up at least ``LEAST_FREQUENCY`` of its own n-grams -- at
 most ``1 / LEAST_FREQUENCY`` per size by arithmetic, whatever the input -- and
 that are at least ``LEAST_RATIO`` as frequent in it as in any language.
 
-Filter.  One bit-sliced Bloom filter holds all languages: slot ``s`` is a
-64-bit word whose bit ``l`` belongs to language ``l``.  An n-gram is probed in
+Filter.  One bit-sliced Bloom filter holds all languages: slot ``s`` is one
+64-bit word for each 64 languages, and bit ``l % 64`` of its word ``l // 64``
+belongs to language ``l``.  An n-gram is probed in
 ``PROBES`` slots, and the AND of these words is the mask of all languages that
 contain it.
 
@@ -19,8 +20,8 @@ n-grams cover in training, and the largest wins.  ``score`` is the winner's
 share of these counts; ties go to the language with more training rows, then to
 the smaller name.
 
-At most 64 languages; the model is the filter (``SLOTS`` words) and a few
-numbers, and is broadcast.  Training reads a sample of about
+Every labelled language is learnt; the model is the filter (``SLOTS`` slots, 4
+MB for each 64 languages) and a few numbers, and is broadcast.  Training reads a sample of about
 ``TRAIN_ROWS`` labelled rows per language, chosen by a hash of the text's id.
 
 Defined results: null texts and texts without a letter give ``und`` and score
@@ -50,7 +51,6 @@ LEAST_FREQUENCY = 2e-4
 LEAST_RATIO = 0.5
 SLOTS = 1 << 19
 PROBES = 2
-MOST_LANGUAGES = 64
 _CHUNK = 1 << 19
 #: Which byte values have a bit.
 _BITS = (np.arange(256)[None, :] >> np.arange(8)[:, None]) & 1
@@ -107,12 +107,12 @@ class Filter:
         self.languages, self.slots = languages, slots
         self.cover = np.maximum(cover or [1.0] * len(languages), 1e-9)
         self.rank = np.lexsort((languages, [-r for r in rows]))  # tie order
-        self.words = np.zeros(slots, np.uint64)
+        self.words = np.zeros((slots, max(1, -(-len(languages) // 64))), np.uint64)
         for bit in range(len(languages)):
             h = np.array(grams.get(bit, []), np.int64).view(np.uint64)
             for at in self.probes(h):
-                self.words[at] |= np.uint64(1 << bit)
-        fill = np.array([np.count_nonzero(self.words >> np.uint64(b) & np.uint64(1)) / slots
+                self.words[at, bit // 64] |= np.uint64(1 << bit % 64)
+        fill = np.array([np.count_nonzero(self.words[:, b // 64] & np.uint64(1 << b % 64)) / slots
                          for b in range(len(languages))])
         self.chance = fill ** PROBES
 
@@ -126,7 +126,7 @@ class Filter:
         mask = self.words[first]
         for at in rest:
             mask &= self.words[at]
-        slices = mask.view(np.uint8).reshape(-1, 8)
+        slices = mask.view(np.uint8)
         per_byte = [_BITS @ np.bincount(slices[:, k], minlength=256)
                     for k in range((len(self.languages) + 7) // 8)]
         return np.concatenate(per_byte)[:len(self.languages)].astype(float)
@@ -153,16 +153,16 @@ def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
     """The filter learnt from ``labelled`` (rows with a null text or language
     are left out)."""
     rows = labelled.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull())
-    sizes = rows.groupBy(lang_col).count().orderBy(F.desc("count"), lang_col).limit(MOST_LANGUAGES).collect()
+    sizes = rows.groupBy(lang_col).count().orderBy(F.desc("count"), lang_col).collect()
     languages = [r[lang_col] for r in sizes]
     if not languages:
         return Filter([], [], {})
-    share = F.lit(1.0)
-    for r in sizes:
-        share = F.when(F.col(lang_col) == r[lang_col], F.lit(train_rows / r["count"])).otherwise(share)
+    shares = labelled.sparkSession.createDataFrame(
+        [(r[lang_col], train_rows / r["count"]) for r in sizes],
+        T.StructType([T.StructField("lang", rows.schema[lang_col].dataType), T.StructField("_share", T.DoubleType())]))
     dice = F.pmod(F.xxhash64(F.lit("langid"), F.col(id_col)), F.lit(1 << 20)) / F.lit(float(1 << 20))
-    sample = rows.where(F.col(lang_col).isin(languages) & (dice < share)).select(
-        F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
+    sample = rows.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), dice.alias("_dice")).join(
+        F.broadcast(shares), "lang").where("_dice < _share").select("lang", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         letters = Letters()
@@ -194,15 +194,16 @@ def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
     counted = sample.mapInArrow(run, "lang string, size int, h long, n long").groupBy("lang", "size", "h").agg(
         F.sum("n").alias("n"))
     totals = counted.groupBy("lang", "size").agg(F.sum("n").alias("total"))
-    frequent = counted.join(F.broadcast(totals), ["lang", "size"])  # 64 languages at most
+    frequent = counted.join(F.broadcast(totals), ["lang", "size"])  # a row per language and size
     frequent = frequent.withColumn("f", F.col("n") / F.col("total"))
     most = frequent.groupBy("size", "h").agg(F.max("f").alias("most"))
     chosen = frequent.where(F.col("f") >= LEAST_FREQUENCY).join(most, ["size", "h"]).where(
         F.col("f") >= LEAST_RATIO * F.col("most")).select("lang", "h", "f").collect()  # bounded, see above
     grams: dict[int, list[int]] = {}
+    bits = {lang: bit for bit, lang in enumerate(languages)}
     cover = [0.0] * len(languages)
     for r in chosen:
-        bit = languages.index(r["lang"])
+        bit = bits[r["lang"]]
         grams.setdefault(bit, []).append(r["h"])
         cover[bit] += r["f"] / len(NGRAMS)
     return Filter(languages, [r["count"] for r in sizes], grams, cover)

@@ -100,6 +100,16 @@ def test_language_edge_cases(spark):
     assert [r["lang_pred"] for r in langid.predict(documents(spark, [(1, "the")]), nothing).collect()] == ["und"]
 
 
+def test_more_languages_than_a_word_has_bits(spark):
+    rng = random.Random(6)
+    say = [[chr(0x4E00 + 20 * k + rng.randrange(20)) * 2 + chr(0x4E00 + 20 * k) for _ in range(6)] for k in range(150)]
+    rows = [(300 * k + n, " ".join(say[k]), f"l{k:03}", None, 0) for k in range(150) for n in range(1 + k % 2)]
+    model = langid.train(spark.createDataFrame(rows, documents(spark, []).schema))
+    assert len(model.languages) == 150
+    got = langid.predict(documents(spark, [(k, " ".join(say[k][:3])) for k in range(150)]), model).collect()
+    assert all(r["lang_pred"] == f"l{r['doc_id']:03}" for r in got) and len(got) == 150
+
+
 def test_filter_masks_and_chance():
     rng = np.random.default_rng(1)
     grams = {bit: rng.integers(-2 ** 63, 2 ** 63, 3000).tolist() for bit in range(20)}
