@@ -7,15 +7,17 @@
 2. Each page is paired with the page nearest by URL: a page of the same host
    that shares the longest path prefix and has another text.  Per prefix only
    the first and last page by a hash are offered as partners (two aggregates),
-   so a host with a third of all pages is not gathered anywhere.
-3. The unsure lines of the two pages are aligned by longest common
-   subsequence, and the shared lines are deleted: they are the template.  If
-   they are most of the page, the two are copies and nothing is deleted.  The
-   same text on two pages is a copy, not a template, so sure blocks are never
-   deleted.
+   so a host with a third of all pages is not gathered anywhere.  If the
+   partner is a copy, the next shorter prefix's is asked.
+3. The lines of the two pages are aligned by longest common subsequence, and
+   the shared lines are deleted: they are the template.  How many of the
+   host's different texts have a line is counted: lines of nearly all of them
+   (``COMMON``) are template lines whatever their share of the page, and a
+   partner that shares most of the rest is a copy and shows nothing.
 
 Differencing alone cannot give right results on pages whose menus and notices
-differ from page to page, nor on copies of one article; hence step 1.
+differ from page to page, nor on copies of one article; hence step 1.  Lines
+are compared by 64-bit hashes, within a host.
 
 Defined results: null and empty pages have an empty text; a page without a
 partner (unknown or single host) keeps its unsure lines; unclosed and wrongly
@@ -32,16 +34,19 @@ from __future__ import annotations
 import html as entities
 import re
 from collections import defaultdict
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Container, Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from .batches import column_slices
+from .filters import bit_filter, hits
 from .tables import fixed
 
 #: HTML element names by their part in a page.
@@ -75,6 +80,11 @@ _ATTRIBUTE = re.compile(r"\b(class|id|role|aria-hidden|hidden)\b(?:\s*=\s*(\"[^\
 #: Bits of alignment rows held at once, and the parts that more rows are cut in.
 _MOST_CELLS = 400_000_000
 _PARTS = 16
+#: Bits of the filter of pages that lose lines.
+FILTER_BITS = 1 << 23
+#: A line that this share of a host's different texts has (of so many texts at
+#: least) is its template, whatever its share of a page.
+COMMON, LEAST_TEXTS = 0.9, 3
 
 
 def _boilerplate(name: str, attributes: str, sure: bool) -> bool:
@@ -235,21 +245,38 @@ def shared_lines(mine: list[str], other: list[str]) -> set[int]:
     return used
 
 
-def main_text(blocks: list[str], sure: list[bool], partner: list[str] | None) -> str:
-    """The blocks that stay, joined by newlines."""
+def main_text(blocks: list[str], sure: list[bool], gone: Container[int] | None) -> str:
+    """The blocks that stay, joined by newlines: the sure ones if there are
+    any, without those at the places ``gone``."""
     if any(sure):
-        return "\n".join(b for b, s in zip(blocks, sure) if s)
-    if partner:
-        gone = shared_lines(blocks, partner)
-        if 2 * sum(len(blocks[i]) for i in gone) <= sum(map(len, blocks)):
-            blocks = [b for i, b in enumerate(blocks) if i not in gone]
-    return "\n".join(blocks)
+        blocks = [b for b, s in zip(blocks, sure) if s]
+    return "\n".join(b for i, b in enumerate(blocks) if not gone or i not in gone)
+
+
+def template_lines(lines: list[int], sizes: list[int], sure: bool, common: set[int], other: list[int]
+                   ) -> tuple[bool, list[int]]:
+    """Whether the page ``other`` is a copy, and the places of ``lines`` that
+    go; ``common`` are lines of nearly all texts of the host."""
+    def size(places: set[int]) -> int:
+        return sum(sizes[i] for i in places)
+
+    shared = shared_lines(lines, other)
+    top = {i for i, line in enumerate(lines) if line in common}
+    copy = 2 * size(shared - top) > sum(sizes) - size(top)
+    if not sure:
+        return copy, sorted(top if copy else top | shared)
+    gone = set() if copy else shared & top
+    return copy, sorted(gone) if 2 * size(gone) <= sum(sizes) else []
+
+
+def _host(url: Column) -> Column:
+    return F.lower(F.regexp_extract(url, r"^(?:[A-Za-z][A-Za-z0-9+.\-]*:)?//([^/?#]*)", 1))
 
 
 def _prefixes(url: Column) -> Column:
     """Host, then host with each further path segment, then with each further
     character of the last segment."""
-    host = F.lower(F.regexp_extract(url, r"^(?:[A-Za-z][A-Za-z0-9+.\-]*:)?//([^/?#]*)", 1))
+    host = _host(url)
     path = F.regexp_extract(url, r"^(?:[A-Za-z][A-Za-z0-9+.\-]*:)?//[^/?#]*/*([^?#]*?)/*(?:[?#].*)?$", 1)
     parts = F.split(path, "/+")
     levels = F.transform(F.sequence(F.lit(0), F.size(parts) - 1), lambda k: F.concat_ws(
@@ -261,43 +288,87 @@ def _prefixes(url: Column) -> Column:
     return F.when(host != "", both)
 
 
-def nearest(pages: DataFrame, asking: DataFrame | None = None) -> DataFrame:
-    """``pk``, ``partner`` from ``pk``, ``url`` and ``content``, a hash of the
-    page's text: a page with the same text is no partner.  ``asking`` are the
-    pages (rows of ``pages``) that want one, by default all."""
+def _offers(pages: DataFrame, asking: DataFrame) -> DataFrame:
+    """``pk``, ``depth``, ``partner``: for each prefix of the url of an asking
+    page a page below it that has another text."""
 
     def levels(some: DataFrame) -> DataFrame:
         return (some.select("pk", "url", "content").distinct()
                 .select("pk", "content", F.posexplode(_prefixes(F.col("url"))))
                 .select("pk", "content", F.col("pos").alias("depth"), F.xxhash64("col").alias("prefix")))
 
-    asking = pages if asking is None else asking
     one = F.struct("content", "pk")
     ends = fixed(levels(pages).groupBy("prefix").agg(F.min(one).alias("low"), F.max(one).alias("high"))
                  .where("low.content <> high.content"))
-    offers = levels(asking).join(ends, "prefix").select("pk", "depth", F.when(
-        F.col("high.content") != F.col("content"), F.col("high.pk")).otherwise(F.col("low.pk")).alias("p"))
-    return offers.groupBy("pk").agg(F.max_by("p", "depth").alias("partner"))
+    return levels(asking).join(ends, "prefix").select("pk", "depth", F.when(
+        F.col("high.content") != F.col("content"), F.col("high.pk")).otherwise(F.col("low.pk")).alias("partner"))
+
+
+def nearest(pages: DataFrame, asking: DataFrame | None = None) -> DataFrame:
+    """``pk``, ``partner`` from ``pk``, ``url`` and ``content``, a hash of the
+    page's text: a page with the same text is no partner.  ``asking`` are the
+    pages (rows of ``pages``) that want one, by default all."""
+    return _offers(pages, pages if asking is None else asking).groupBy("pk").agg(
+        F.max_by("partner", "depth").alias("partner"))
+
+
+def _asking(known: DataFrame) -> DataFrame:
+    """The pages of ``known`` with a line that another text of the host has,
+    and ``common``, their lines that nearly all texts of the host have."""
+    hosted = known.where(F.size("lines") > 0).withColumn("host", F.xxhash64(_host(F.col("url")))).where(
+        _host(F.col("url")) != "")
+    texts = hosted.groupBy("host").agg(F.count_distinct("content").alias("texts"))
+    shared = (hosted.select("host", "content", F.explode("lines").alias("line"))
+              .groupBy("host", "line").agg(F.count_distinct("content").alias("n")).where("n > 1")
+              .join(texts, "host").select("host", "line", (
+                  (F.col("texts") >= LEAST_TEXTS) & (F.col("n") >= COMMON * F.col("texts"))).alias("common")))
+    mine = hosted.where("not sure").select("pk", "host", F.explode(F.array_distinct("mine")).alias("line"))
+    found = mine.join(shared, ["host", "line"]).groupBy("pk").agg(
+        F.collect_set(F.when(F.col("common"), F.col("line"))).alias("common"))
+    return known.join(found, "pk")
+
+
+def _deletions(known: DataFrame) -> DataFrame:
+    """``_pk`` and ``_gone``, the places of the lines that go, for the pages
+    that lose any."""
+    asking = fixed(_asking(known))
+    offers = _offers(known.where(F.size("lines") > 0), asking).groupBy("pk", "partner").agg(
+        F.max("depth").alias("depth"))
+    other = known.select(F.col("pk").alias("partner"), F.col("lines").alias("other"))
+    pairs = offers.join(asking.select("pk", "sure", "mine", "sizes", "common"), "pk").join(other, "partner")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for k in range(0, whole.num_rows, 256):
+                batch = whole.slice(k, 256)
+                found = [template_lines(mine, sizes, sure, set(common), other) for mine, sizes, sure, common, other in
+                         zip(*(batch.column(c).to_pylist() for c in ("mine", "sizes", "sure", "common", "other")))]
+                depths = batch.column("depth").to_pylist()
+                # A copy shows nothing: the next shorter prefix decides.
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("pk"), pa.array([-1 if f[0] else d for f, d in zip(found, depths)], pa.int32()),
+                     pa.array([f[1] for f in found], pa.list_(pa.int32()))], names=["pk", "depth", "gone"])
+
+    return (pairs.mapInArrow(run, "pk long, depth int, gone array<int>").groupBy(F.col("pk").alias("_pk"))
+            .agg(F.max_by("gone", "depth").alias("_gone")).where(F.size("_gone") > 0))
 
 
 def _parsed(pages: DataFrame, html_col: str, keep: list[str], new: list[T.StructField],
-            row: Callable[[list[tuple[str, bool]]], tuple | None]) -> DataFrame:
+            row: Callable[[list[tuple[str, bool]]], tuple],
+            wanted: Callable[[np.ndarray], np.ndarray] | None = None) -> DataFrame:
     """``keep`` and the ``new`` columns that ``row`` makes of a page's blocks;
-    pages for which it returns nothing are left out."""
+    pages whose ``_pk`` is not ``wanted`` are left out."""
     schema = T.StructType([pages.schema[c] for c in keep] + new)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        types = [pa.list_(pa.string()) if isinstance(f.dataType, T.ArrayType) else
-                 {"string": pa.string(), "long": pa.int64(), "boolean": pa.bool_()}[
-                     {"bigint": "long"}.get(f.dataType.simpleString(), f.dataType.simpleString())] for f in new]
+        types = to_arrow_schema(T.StructType(new)).types
         for whole in batches:
+            if wanted:
+                whole = whole.filter(pa.array(wanted(np.asarray(whole.column("_pk")))))
             for batch in column_slices(whole, html_col, 4 << 20):
                 made = [row(blocks_of(page)) for page in batch.column(html_col).to_pylist()]
-                at = pa.array([k for k, m in enumerate(made) if m is not None], pa.int32())
-                made = [m for m in made if m is not None]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(c).take(at) for c in keep]
-                    + [pa.array([m[k] for m in made], t) for k, t in enumerate(types)],
+                    [batch.column(c) for c in keep] + [pa.array([m[k] for m in made], t) for k, t in enumerate(types)],
                     names=schema.fieldNames())
 
     return pages.mapInArrow(run, schema)
@@ -306,41 +377,51 @@ def _parsed(pages: DataFrame, html_col: str, keep: list[str], new: list[T.Struct
 def extract(pages: DataFrame, html_col: str = "html", url_col: str = "url") -> DataFrame:
     """``pages`` without its html, with ``text``.
 
-    Only pages without a sure block are shuffled, to meet their partner's
-    lines; what is kept of the others is a row of hashes and their unsure
-    lines.  The pages are read again rather than stored.
+    Of each page only hashes of its lines are kept and compared; pages that
+    lose a line by the comparison (told by a bit filter, then exactly) are
+    shuffled to meet it.  The pages are read again rather than stored.
     """
     keep = [c for c in pages.columns if c not in (html_col, "text")]
     # Equal pages share a key: they get the same partner and text.
     rows = pages.withColumn("_pk", F.xxhash64(url_col, html_col))
-    lines, text = T.ArrayType(T.StringType()), T.StructField("text", T.StringType())
+    strings, text = T.ArrayType(T.StringType()), T.StructField("text", T.StringType())
+    hashes, numbers = T.ArrayType(T.LongType()), T.ArrayType(T.IntegerType())
+
+    def digest(line: str) -> int:
+        return xxhash.xxh3_64_intdigest(line.encode("utf-8", "surrogatepass")) - (1 << 63)
+
+    def candidates(blocks):
+        return [b for b, s in blocks if s] or [b for b, _ in blocks]
 
     def facts(blocks):
-        digest = xxhash.xxh3_64_intdigest("\n".join(b for b, _ in blocks)) - (1 << 63)
-        return digest, not any(s for _, s in blocks), [b for b, s in blocks if not s]
-
-    known = fixed(_parsed(rows.select("_pk", F.col(url_col).alias("url"), html_col), html_col, ["_pk", "url"], [
-        T.StructField("content", T.LongType()), T.StructField("asks", T.BooleanType()),
-        T.StructField("unsure", lines)], facts).withColumnRenamed("_pk", "pk"))
-    pairs = nearest(known, known.where("asks"))
-    other = known.select(F.col("pk").alias("partner"), F.col("unsure").alias("_other"))
-    answers = (pairs.join(other.dropDuplicates(["partner"]), "partner")
-               .select(F.col("pk").alias("_pk"), "_other"))
-
-    sure = _parsed(rows, html_col, keep, [text], lambda blocks: (
-        main_text([b for b, _ in blocks], [s for _, s in blocks], None),) if any(s for _, s in blocks) else None)
-    unsure = _parsed(rows, html_col, [*keep, "_pk"], [T.StructField("_blocks", lines)], lambda blocks: None if any(
-        s for _, s in blocks) else ([b for b, _ in blocks],))
-    unsure = unsure.join(answers, "_pk", "left")
+        mine = candidates(blocks)
+        return (digest("\n".join(mine)), any(s for _, s in blocks), [digest(b) for b, _ in blocks],
+                [digest(b) for b in mine], [len(b) for b in mine])
+
+    known = fixed(_parsed(
+        rows.select("_pk", F.col(url_col).alias("url"), html_col), html_col, ["_pk", "url"],
+        [T.StructField("content", T.LongType()), T.StructField("sure", T.BooleanType()),
+         T.StructField("lines", hashes), T.StructField("mine", hashes), T.StructField("sizes", numbers)],
+        facts).withColumnRenamed("_pk", "pk").dropDuplicates(["pk"]))
+    answers = fixed(_deletions(known))
+    shared = pages.sparkSession.sparkContext.broadcast(bit_filter(answers.select(F.col("_pk").alias("h")), FILTER_BITS))
+
+    def changed(keys: np.ndarray) -> np.ndarray:
+        return hits(keys.view(np.uint64), shared.value, FILTER_BITS)
+
+    whole = _parsed(rows, html_col, keep, [text], lambda blocks: ("\n".join(candidates(blocks)),),
+                    lambda keys: ~changed(keys))
+    cut = _parsed(rows, html_col, [*keep, "_pk"], [T.StructField("_blocks", strings)],
+                  lambda blocks: (candidates(blocks),), changed).join(answers, "_pk", "left")
     out = T.StructType([pages.schema[c] for c in keep] + [text])
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for k in range(0, whole.num_rows, 256):
                 batch = whole.slice(k, 256)
-                texts = [main_text(blocks, [], other) for blocks, other in zip(
-                    batch.column("_blocks").to_pylist(), batch.column("_other").to_pylist())]
+                texts = [main_text(blocks, [], gone and set(gone)) for blocks, gone in zip(
+                    batch.column("_blocks").to_pylist(), batch.column("_gone").to_pylist())]
                 yield pa.RecordBatch.from_arrays([batch.column(c) for c in keep]
                                                  + [pa.array(texts, pa.string())], names=out.fieldNames())
 
-    return sure.unionByName(unsure.mapInArrow(finish, out))
+    return whole.unionByName(cut.mapInArrow(finish, out))

@@ -95,6 +95,35 @@ def test_template_lines_go_and_copies_stay(spark):
     assert html_extract.extract(pages(spark, [])).count() == 0
 
 
+def extracted(spark, rows):
+    return {r["page_id"]: r["text"] for r in html_extract.extract(pages(spark, rows)).collect()}
+
+
+def lines_of(*lines):
+    return "<body>" + "".join(f"<p>{x}</p>" for x in lines) + "</body>"
+
+
+def test_a_long_template_goes_from_short_pages_and_from_copies(spark):
+    menu = ["a long line of the menu that every page has, number %d" % k for k in range(8)]
+    story = ["a line of the story that was copied %d" % k for k in range(6)]
+    rows = [(k, f"http://short.example/{k}", lines_of(*menu, f"brief {k}", "Imprint")) for k in range(4)]
+    rows += [(10 + k, f"http://h.example/news/{k}", lines_of("Home", *story, f"only here {k}", "Imprint")) for k in range(6)]
+    rows += [(20, "http://h.example/de/x", lines_of("Home", "something else that is long enough", "Imprint"))]
+    got = extracted(spark, rows)
+    assert [got[k] for k in range(4)] == [f"brief {k}" for k in range(4)]
+    assert [got[10 + k] for k in range(6)] == ["\n".join([*story, f"only here {k}"]) for k in range(6)]
+    assert got[20] == "something else that is long enough"
+
+
+def test_the_next_prefix_is_asked_when_the_nearest_page_is_a_copy(spark, monkeypatch):
+    monkeypatch.setattr(html_extract, "LEAST_TEXTS", 99, raising=False)
+    story = ["a line of the story that was copied %d" % k for k in range(6)]
+    rows = [(k, f"http://h.example/news/{k}", lines_of("Home", *story, f"only here {k}")) for k in range(2)]
+    rows += [(10 + k, f"http://h.example/{c}/1", lines_of("Home", f"a text about {c} " * 9)) for k, c in enumerate("abcdef")]
+    got = extracted(spark, rows)
+    assert [got[k] for k in range(2)] == ["\n".join([*story, f"only here {k}"]) for k in range(2)]
+
+
 def test_nearest_shares_the_longest_path(spark):
     rows = [(1, "http://H.example/en/x/12", 1), (2, "https://h.example/en/x/13#t", 2),
             (3, "http://h.example/en/y", 3), (4, "http://h.example/de", 4), (5, "http://other.example/en/x/12", 5),
