@@ -13,7 +13,10 @@
    the shared lines are deleted: they are the template.  How many of the
    host's different texts have a line is counted: lines of nearly all of them
    (``COMMON``) are template lines whatever their share of the page, and a
-   partner that shares most of the rest is a copy and shows nothing.
+   partner that shares most of the rest is a copy and shows no others.  The same
+   text on two pages is a copy, not a template, so a sure line goes only if it
+   is shared with the partner and of nearly all texts, and only if such lines
+   are no more than half of the page.
 
 Differencing alone cannot give right results on pages whose menus and notices
 differ from page to page, nor on copies of one article; hence step 1.  Lines
@@ -265,7 +268,7 @@ def template_lines(lines: list[int], sizes: list[int], sure: bool, common: set[i
     copy = 2 * size(shared - top) > sum(sizes) - size(top)
     if not sure:
         return copy, sorted(top if copy else top | shared)
-    gone = set() if copy else shared & top
+    gone = shared & top
     return copy, sorted(gone) if 2 * size(gone) <= sum(sizes) else []
 
 
@@ -313,8 +316,9 @@ def nearest(pages: DataFrame, asking: DataFrame | None = None) -> DataFrame:
 
 
 def _asking(known: DataFrame) -> DataFrame:
-    """The pages of ``known`` with a line that another text of the host has,
-    and ``common``, their lines that nearly all texts of the host have."""
+    """The pages of ``known`` that can lose a line -- one that another text of
+    the host has, or that nearly all have if the lines are sure -- and
+    ``common``, their lines that nearly all texts of the host have."""
     hosted = known.where(F.size("lines") > 0).withColumn("host", F.xxhash64(_host(F.col("url")))).where(
         _host(F.col("url")) != "")
     texts = hosted.groupBy("host").agg(F.count_distinct("content").alias("texts"))
@@ -322,8 +326,8 @@ def _asking(known: DataFrame) -> DataFrame:
               .groupBy("host", "line").agg(F.count_distinct("content").alias("n")).where("n > 1")
               .join(texts, "host").select("host", "line", (
                   (F.col("texts") >= LEAST_TEXTS) & (F.col("n") >= COMMON * F.col("texts"))).alias("common")))
-    mine = hosted.where("not sure").select("pk", "host", F.explode(F.array_distinct("mine")).alias("line"))
-    found = mine.join(shared, ["host", "line"]).groupBy("pk").agg(
+    mine = hosted.select("pk", "host", "sure", F.explode(F.array_distinct("mine")).alias("line"))
+    found = mine.join(shared, ["host", "line"]).where("common or not sure").groupBy("pk").agg(
         F.collect_set(F.when(F.col("common"), F.col("line"))).alias("common"))
     return known.join(found, "pk")
 
@@ -344,9 +348,9 @@ def _deletions(known: DataFrame) -> DataFrame:
                 found = [template_lines(mine, sizes, sure, set(common), other) for mine, sizes, sure, common, other in
                          zip(*(batch.column(c).to_pylist() for c in ("mine", "sizes", "sure", "common", "other")))]
                 depths = batch.column("depth").to_pylist()
-                # A copy shows nothing: the next shorter prefix decides.
+                # A copy counts after all others: the next shorter prefix decides.
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("pk"), pa.array([-1 if f[0] else d for f, d in zip(found, depths)], pa.int32()),
+                    [batch.column("pk"), pa.array([d - (1 << 30) if f[0] else d for f, d in zip(found, depths)], pa.int32()),
                      pa.array([f[1] for f in found], pa.list_(pa.int32()))], names=["pk", "depth", "gone"])
 
     return (pairs.mapInArrow(run, "pk long, depth int, gone array<int>").groupBy(F.col("pk").alias("_pk"))

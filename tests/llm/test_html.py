@@ -115,6 +115,22 @@ def test_a_long_template_goes_from_short_pages_and_from_copies(spark):
     assert got[20] == "something else that is long enough"
 
 
+def test_unmarked_template_lines_inside_articles_go(spark):
+    page = lambda *own: "<body><article><p>Share this story</p>" + "".join(
+        f"<p>{x}</p>" for x in own) + "<p>Read more of us</p></article></body>"
+    story = ["a line of the story that was copied %d" % k for k in range(6)]
+    rows = [(k, f"http://h.example/en/{k}", page(f"the first of article {k} with words", f"the last of article {k}"))
+            for k in range(4)]
+    rows += [(10, "http://h.example/en/10", page(*story, "one")), (11, "http://h.example/en/11", page(*story, "two"))]
+    rows += [(20 + k, f"http://copies.example/{k}", page(*story, f"only here {k}")) for k in range(5)]
+    got = extracted(spark, rows)
+    for k in range(4):
+        assert got[k] == f"the first of article {k} with words\nthe last of article {k}"
+    assert got[10] == "\n".join([*story, "one"]) and got[11] == "\n".join([*story, "two"])
+    for k in range(5):  # most of an article is no template
+        assert got[20 + k] == "\n".join(["Share this story", *story, f"only here {k}", "Read more of us"])
+
+
 def test_the_next_prefix_is_asked_when_the_nearest_page_is_a_copy(spark, monkeypatch):
     monkeypatch.setattr(html_extract, "LEAST_TEXTS", 99, raising=False)
     story = ["a line of the story that was copied %d" % k for k in range(6)]
