@@ -4,7 +4,7 @@ again as the next one's documents.
 Stages: quality rules (rejected documents go), MinHash near-dedup (one
 document of each group stays), substring dedup (repeated passages are cut from
 the texts), benchmark decontamination (documents with a leaked item go), and
-BPE (adds the ids of the whole text).  All but the last return the columns of
+BPE (adds the ids of the whole text and a digest of the text they decode to).  All but the last return the columns of
 ``documents``; ``n_chars`` is kept in step with a text that was cut.
 """
 
@@ -43,8 +43,9 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_50k.json")
-    encoded = bpe.encode(docs, path)
-    return encoded.withColumn("n_tokens", F.size("ids").cast("long"))
+    decoded = bpe.decode(bpe.encode(docs, path), path, decoded_col="_decoded")
+    return decoded.withColumns({"n_tokens": F.size("ids").cast("long"),
+                                "decoded_sha256": F.sha2("_decoded", 256)}).drop("_decoded")
 
 
 STAGES = [("quality_rules", quality), ("minhash_dedup", dedup), ("substring_dedup", passages),

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections import Counter
 
 import corpus_pipeline
@@ -55,6 +56,14 @@ def test_pipeline_equals_plain_stages(spark, tmp_path):
         assert r["n_tokens"] == len(r["ids"]) and r["n_chars"] == len(r["text"])
 
 
+def test_the_last_stage_decodes_its_ids(spark):
+    rows = [(1, "é ñ 😀 ﬁn\n two  blanks"), (2, ""), (3, None)]
+    got = corpus_pipeline.STAGES[-1][1](spark, documents(spark, rows), "")
+    assert {"ids", "n_tokens", "text"} < set(got.columns) and "_decoded" not in got.columns
+    for r in got.collect():
+        assert r["decoded_sha256"] == hashlib.sha256((r["text"] or "").encode()).hexdigest()
+
+
 def test_stages_keep_the_columns(spark, tmp_path):
     spark.createDataFrame([(1, "x")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     docs = documents(spark, corpus(n=20))
