@@ -159,10 +159,80 @@ select d.doc_id, len(w)::bigint as n_words, coalesce(n_base, 0)::bigint as n_bas
 from d left join found using (doc_id)"""
 
 
+LEXICAL = f"""
+with d as (select doc_id, {_alnum()} as w from documents),
+total as (select count(*)::bigint as n_docs, sum(len(w))::bigint as n_words from d where len(w) > 0),
+tf as (select doc_id, n, t, count(*) as tf from (select doc_id, len(w)::bigint as n, unnest(w) as t from d) group by all),
+q as (select item_id, t, count(*) as c from (select item_id, unnest({_alnum()}) as t from benchmark) group by all),
+weight as (
+  select t, floor(1000 * ln((2 * any_value(n_docs) + 2) / (2 * count(*) + 1)))::bigint as w
+  from tf semi join q using (t), total group by t),
+scored as (
+  select item_id, doc_id,
+         sum(c * w * ((1000000000 * tf) // (1000 * tf + 12 * (100 - 25 + ((25 * n * n_docs) // n_words)))))::bigint
+         as score
+  from q join weight using (t) join tf using (t), total group by item_id, doc_id)
+select item_id, rank::int as rank, doc_id, score
+from (select *, row_number() over (partition by item_id order by score desc, doc_id) as rank
+      from scored where score > 0)
+where rank <= 20"""
+
+#: CRC-32 byte by byte, with its table made from the polynomial.
+SPELLING = f"""
+with recursive crc as (
+  select list_transform(range(256), lambda i: list_reduce(range(8), lambda c, b:
+    if(c & 1 = 1, xor(c >> 1, 3988292384), c >> 1), i)) as step),
+runs as (
+  select doc_id, r, count(*) as n
+  from (select doc_id, unnest(regexp_extract_all({_LOWER.format(text="text")}, '[a-z\u00C0-\u00FF]+')) as r
+        from documents) group by all),
+hashed as (
+  select r, n, xor(list_reduce(
+    list_transform(range(len(x) // 2), lambda k: ('0x' || substr(x, 1 + 2 * k, 2))::bigint),
+    lambda c, b: xor(c >> 8, step[(xor(c, b) & 255) + 1]), 4294967295), 4294967295) as h
+  from (select *, hex(encode(coalesce(doc_id::varchar, '') || ':' || r)) as x from runs), crc),
+slipped as (
+  select if(h % 31 = 0, substr(r, 1, h % length(r)) || substr(r, h % length(r) + 2), r) as word, n from hashed),
+words as (
+  select word, sum(n)::bigint as n from slipped where length(word) >= 7 group by word having sum(n) >= 2),
+cut as (
+  select word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) as rest
+  from (select word, n, unnest(range(1, length(word) + 1)) as i from words)),
+near as (
+  select a.word, b.word as other, b.n as m from cut a join cut b on b.i = a.i and b.rest = a.rest and b.word <> a.word
+  union select c.word, s.word, s.n from cut c join words s on s.word = c.rest
+  union select s.word, c.word, c.n from cut c join words s on s.word = c.rest),
+best as (
+  select word, count(*) as n_near, first(other order by m desc, other) as other, max(m) as m from near group by word),
+found as (
+  select w.word, w.n, coalesce(n_near, 0)::bigint as n_near, if(m >= 10 * n, other, null) as form,
+         if(m >= 10 * n, m, null)::bigint as form_n
+  from words w left join best using (word)),
+ways as (
+  select word, word as at, form as onward from found
+  union all
+  select ways.word, f.word, f.form from ways join found f on f.word = ways.onward)
+select f.*, w.at as root from found f join ways w on w.word = f.word and w.onward is null"""
+
+WARC = """
+with p as (
+  select page_id, coalesce(html, '') as h, max(page_id) over (partition by coalesce(html, '')) as top from pages),
+hashed as (select *, sha1(h) as x from p)
+select page_id, strlen(h)::bigint as payload_bytes,
+       translate(array_to_string(list_transform(range(8), lambda k:
+         to_base(('0x' || substr(x, 1 + 5 * k, 5))::bigint, 32, 4)), ''),
+         '0123456789ABCDEFGHIJKLMNOPQRSTUV', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567') as payload_digest,
+       if(page_id = top, 'response', 'revisit') as record_type, if(page_id = top, null, top) as refers_to
+from hashed"""
+
+
 ORACLE_SQL = {
     "op4_license_scan": licenses(),
     "op5_decontamination": LEAKS,
     "op6_quality_rules": quality(),
     "op7_minhash_dedup": NEAR,
     "op8_substring_dedup": REPEATS,
+    "op11_lexical_search": LEXICAL,
+    "op12_spelling": SPELLING,
+    "op13_warc": WARC,
 }

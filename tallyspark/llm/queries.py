@@ -3,15 +3,19 @@ production parameters, to the whole of its table."""
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import (bpe, decontaminate, html_extract, langid, license_scan, near_dup, quality_model,
-               quality_rules, substring_dup, token_count)
+from tallyspark.session import checkpoint_dir
+
+from . import (bpe, decontaminate, html_extract, langid, lexical_search, license_scan, near_dup, quality_model,
+               quality_rules, spelling, substring_dup, token_count, warc)
 from .oracle import ORACLE_SQL  # noqa: F401  (with QUERIES, what is registered)
+from .tables import drop_folder
 
 BPE_FILE = "byte_bpe_50k.json"
 UNIGRAM_FILE = "piece_bpe_32k.model"
@@ -92,6 +96,24 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract(pages).withColumn("n_chars", F.length("text").cast("long"))
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.search(_documents(spark, sf_dir), read(spark, sf_dir, "benchmark"), k=20)
+
+
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_forms(_documents(spark, sf_dir), least_chars=7, least_n=2, ratio=10, slips_every=31)
+
+
+def op13_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    root = f"{checkpoint_dir(spark).rstrip('/')}/warc-{uuid.uuid4().hex}"
+    warc.write_archives(read(spark, sf_dir, "pages").select("page_id", "url", "html"), f"{root}/raw")
+    warc.normalise(spark, f"{root}/raw", f"{root}/normal")
+    drop_folder(spark, f"{root}/raw")
+    found = warc.read_records(warc.index_of(spark, f"{root}/normal"))
+    return found.select(warc.page_of("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type",
+                        warc.page_of("refers_to").alias("refers_to"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_bpe": op2_bpe,
@@ -103,4 +125,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_substring_dedup": op8_substring_dedup,
     "op9_token_counts": op9_token_counts,
     "op10_html_extraction": op10_html_extraction,
+    "op11_lexical_search": op11_lexical_search,
+    "op12_spelling": op12_spelling,
+    "op13_warc": op13_warc,
 }

@@ -40,6 +40,12 @@ def free_shuffles(spark: SparkSession) -> None:
         time.sleep(0.5)
 
 
+def drop_folder(spark: SparkSession, path: str) -> None:
+    """Deletes a folder that this library wrote, through Spark's file system."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def row_key(id_col: str, text_col: str) -> list:
     """Columns that tell rows apart by id and text, with nulls told from
     values: for joins back to a table whose ids may repeat or be null."""
