@@ -118,7 +118,7 @@ def test_broken_archives_are_errors(tmp_path, data):
 
 
 def test_a_changed_payload_is_an_error(spark, tmp_path):
-    pages = spark.createDataFrame(ROWS[:1], PAGES)
+    pages = spark.createDataFrame(ROWS[:1], PAGES).coalesce(1)
     (done,) = run(spark, pages, str(tmp_path))[0].collect()
     path = done["archive"]
     changed = gzip.compress(members(path)[0][2].replace(b"<p>one", b"<p>ONE"))
