@@ -123,7 +123,8 @@ def opening_cash(history: DataFrame, days: DataFrame, firsts: DataFrame) -> Data
 
 # ------------------------------------------------------------------ C9
 def cash_in_out(ledger: DataFrame, gl_account: DataFrame, branch: DataFrame,
-                days: DataFrame, reversals: DataFrame, cash_refs: DataFrame) -> DataFrame:
+                days: DataFrame, reversals: DataFrame, cash_refs: DataFrame,
+                hot: DataFrame | None = None, counts: DataFrame | None = None) -> DataFrame:
     """Cash in (credits) and cash out (negated debits) per day and branch
     from the legs of transactions that touch branch cash.
 
@@ -136,17 +137,18 @@ def cash_in_out(ledger: DataFrame, gl_account: DataFrame, branch: DataFrame,
     led = window.withColumn("loop_date", F.col("trn_dt"))
     # The selective tests first (semi and anti joins on the reference), so
     # only legs of cash transactions meet the large account dimension.
-    # ``cash_refs`` and ``reversals`` cover all history and are far larger
-    # than the window, so they are cut down to the window's keys (read from
-    # the pruned window scan) before they are replicated per salt.
+    # Without ``hot``, ``cash_refs`` and ``reversals``, which cover all history,
+    # are cut down to the window's keys (read from the pruned window scan)
+    # before they are replicated per salt.
     keys = ["trn_ref_no", "ac_branch"]
+    hot = None if hot is None else hot.where(on_days("trn_dt", days)).drop("trn_dt")
     led = salted_join(led, cash_refs.select(*keys), keys, "left_semi",
-                      reduce_by=window)
-    led = exclude_reversed(led, reversals, "ref", candidates=window)
+                      reduce_by=window, hot=hot)
+    led = exclude_reversed(led, reversals, "ref", candidates=window, hot=hot, counts=counts)
     acc = gl_account.select(F.col("ac_gl_no").alias("ac_no"), "ac_natural_gl")
     br = branch.select(F.col("branch_code").alias("ac_branch"), "branch_name")
     # Contra legs sit on a few GL accounts: a hot key, hence salted.
-    j = salted_join(led, acc, ["ac_no"], reduce_by=window).join(br, "ac_branch")
+    j = salted_join(led, acc, ["ac_no"], reduce_by=window, hot=hot).join(br, "ac_branch")
     natural = F.coalesce(F.col("ac_natural_gl"), F.col("ac_no"))
     j = j.where(substr(natural, 1, 4).isin(*fixed.CASH_MOVEMENT_GL_FAMILIES)
                 | substr(natural, 1, 1).isin(*fixed.CASH_MOVEMENT_GL_CLASSES))

@@ -46,9 +46,13 @@ def turnover(moded: DataFrame, base: str = fixed.BASE_CCY) -> DataFrame:
     vice versa -- so the two levels cannot be merged into one aggregate.
     Both levels are partial-aggregated before their shuffles.
     """
-    net = (moded.groupBy("gl_code", "ac_ccy", "drcr_ind", "trn_mode")
-           .agg(F.sum("lcy_amount").alias("lcy_amount"),
-                F.sum("fcy_amount").alias("fcy_amount")))
+    return turnover_of_nets(moded.groupBy("gl_code", "ac_ccy", "drcr_ind", "trn_mode")
+                            .agg(F.sum("lcy_amount").alias("lcy_amount"),
+                                 F.sum("fcy_amount").alias("fcy_amount")), base)
+
+
+def turnover_of_nets(net: DataFrame, base: str = fixed.BASE_CCY) -> DataFrame:
+    """The second level of C16, from the nets of the first."""
     drcr, mode, ccy = F.col("drcr_ind"), F.col("trn_mode"), F.col("ac_ccy")
 
     def is_debit(a):
@@ -80,20 +84,21 @@ FLOW_COLUMNS = [
 
 
 def deposit_flows(entries: DataFrame, cash: DataFrame, account_gl_map: DataFrame,
-                  base: str = fixed.BASE_CCY) -> DataFrame:
+                  base: str = fixed.BASE_CCY, hot: DataFrame | None = None) -> DataFrame:
     """Customer deposits in/out by currency, split cash vs transfer.
 
     ``entries`` are the customer legs of the day; ``cash`` the cash legs
     (C3).  An entry is CASH when a cash leg has the same reference, branch,
     currency and amount, and counts once per such leg; an entry matching
     none is TRANSFER.  The unused account-map join of the report still
-    multiplies entries by the number of map rows of their account.
+    multiplies entries by the number of map rows of their account.  ``hot``
+    names the hot references and accounts of the day (``salted_join``).
     """
     keys = ["trn_ref_no", "ac_branch", "ac_ccy", "lcy_amount"]
     n_cash = cash.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n_cash"))
     n_map = (account_gl_map.groupBy(F.col("ac_gl_no").alias("ac_no"))
              .agg(F.count(F.lit(1)).alias("_n_map")))
-    e = (salted_join(entries, n_cash, keys, "left").join(n_map, "ac_no", "left")
+    e = (salted_join(salted_join(entries, n_cash, keys, "left", hot=hot), n_map, ["ac_no"], "left", hot=hot)
          .withColumn("_w", F.coalesce("_n_cash", F.lit(1)) * F.coalesce("_n_map", F.lit(1)))
          .withColumn("_mode", F.when(F.col("_n_cash").isNotNull(), "CASH").otherwise("TRANSFER")))
     drcr, mode, w = F.col("drcr_ind"), F.col("_mode"), F.col("_w")
@@ -111,18 +116,21 @@ def deposit_flows(entries: DataFrame, cash: DataFrame, account_gl_map: DataFrame
 
 
 # ------------------------------------------------------------------ C20
-def _coded_as(daily: DataFrame, account_gl_map: DataFrame, deposit_term: DataFrame, codes) -> DataFrame:
-    """The rollup rows whose GL code is one of ``codes``: GL legs by their own
-    account, customer legs by the accounts that map to such a code."""
-    terms = deposit_term.select(F.col("acc").alias("ac_no"), "orig_tenor_days", "orig_tenor_months",
-                                "orig_tenor_years")
-    mapped = account_gl_map.select(F.col("ac_gl_no").alias("ac_no"), "ac_natural_gl",
-                                   F.lit(fixed.CUSTOMER_LEG).alias("cust_gl"))
-    accounts = (mapped.join(terms, "ac_no", "left").where(tenor_gl_first().isin(*codes))
-                .select("ac_no"))
-    own = (F.col("cust_gl") == fixed.GL_LEG) & F.col("ac_no").isin(*codes)
-    customers = daily.where(F.col("cust_gl") == fixed.CUSTOMER_LEG).join(accounts, "ac_no", "left_semi")
-    return daily.where(own).unionByName(customers)
+def _carriers(account_gl_map: DataFrame, deposit_term: DataFrame, codes) -> DataFrame:
+    """(``cust_gl``, ``ac_no``, ``code``): the accounts that carry one of the
+    codes -- customer accounts that map to it and, as GL legs, the codes
+    themselves -- as often as the two dimensions repeat them."""
+    acc = account_gl_map.select(F.col("ac_gl_no").alias("ac_no"), "ac_natural_gl")
+    term = deposit_term.select(F.col("acc").alias("ac_no"), "orig_tenor_days", "orig_tenor_months",
+                               "orig_tenor_years")
+    known = acc.join(term, "ac_no", "left")
+    customers = known.withColumn("cust_gl", F.lit(fixed.CUSTOMER_LEG)).withColumn("code", tenor_gl_first())
+    own = account_gl_map.sparkSession.range(1).select(
+        F.explode(F.array(*map(F.lit, sorted(set(codes))))).alias("ac_no"))
+    legs = own.join(known, "ac_no", "left").withColumn("cust_gl", F.lit(fixed.GL_LEG)).withColumn(
+        "code", F.col("ac_no"))
+    keys = ["cust_gl", "ac_no", "code"]
+    return customers.where(F.col("code").isin(*codes)).select(*keys).unionByName(legs.select(*keys))
 
 
 def net_position(daily: DataFrame, account_gl_map: DataFrame, deposit_term: DataFrame,
@@ -130,27 +138,32 @@ def net_position(daily: DataFrame, account_gl_map: DataFrame, deposit_term: Data
     """C20: |credits - debits| per tenor-qualified GL code and currency.
 
     ``daily`` is the ``authorised_daily`` rollup (debit/credit sums per day,
-    account, leg and currency) restricted to the days wanted.  It is reduced
-    per (account, leg, currency) -- combined map-side -- and only that
-    result meets the account and deposit dimensions.  Summing partial sums
-    is exact for decimals, and any fan-out of the account map multiplies a
-    partial sum exactly as it would multiply each entry.  With ``codes``, the
-    rollup is first cut down to the accounts that can carry one of them, so
-    the rest is neither aggregated nor shuffled.
+    account, leg and currency) restricted to the days wanted, or a stored
+    balance with the days since (then ``n_days`` counts the daily rows in each
+    row, and what sums up to none is left out).  It is reduced per (account,
+    leg, currency) -- combined map-side -- and only that result meets the
+    account and deposit dimensions.  Summing partial sums is exact for
+    decimals, and any fan-out of the account map multiplies a partial sum
+    exactly as it would multiply each entry.  With ``codes``, one join with
+    the accounts that carry one of them both cuts the rollup down and gives
+    the code, so the rest is neither aggregated nor shuffled.
     """
     if codes is not None:
-        daily = _coded_as(daily, account_gl_map, deposit_term, codes)
-    per_acct = (daily.groupBy("ac_no", "cust_gl", "ac_ccy")
-                .agg(*[F.sum(c).alias(c) for c in ("d_lcy", "c_lcy", "d_fcy", "c_fcy")]))
-    acc = account_gl_map.select(F.col("ac_gl_no").alias("ac_no"), F.col("ac_gl_no").alias("_mapped"),
-                                "ac_natural_gl")
-    term = deposit_term.select(F.col("acc").alias("_mapped"), "orig_tenor_days", "orig_tenor_months",
-                               "orig_tenor_years")
-    # The term hangs on the mapped account, so an unmapped one has none.
-    j = per_acct.join(acc, "ac_no", "left").join(term, "_mapped", "left")
-    coded = j.select(tenor_gl_first().alias("code"), "ac_ccy", "d_lcy", "c_lcy", "d_fcy", "c_fcy")
+        daily = daily.join(_carriers(account_gl_map, deposit_term, codes), ["cust_gl", "ac_no"])
+    sums = [F.sum(c).alias(c) for c in ("d_lcy", "c_lcy", "d_fcy", "c_fcy", "n_days") if c in daily.columns]
+    per_acct = daily.groupBy(*(c for c in ("ac_no", "cust_gl", "ac_ccy", "code") if c in daily.columns)).agg(*sums)
+    if "n_days" in daily.columns:
+        per_acct = per_acct.where(F.col("n_days") != 0)
     if codes is not None:
-        coded = coded.where(F.col("code").isin(*codes))
+        coded = per_acct
+    else:
+        acc = account_gl_map.select(F.col("ac_gl_no").alias("ac_no"), F.col("ac_gl_no").alias("_mapped"),
+                                    "ac_natural_gl")
+        term = deposit_term.select(F.col("acc").alias("_mapped"), "orig_tenor_days", "orig_tenor_months",
+                                   "orig_tenor_years")
+        # The term hangs on the mapped account, so an unmapped one has none.
+        j = per_acct.join(acc, "ac_no", "left").join(term, "_mapped", "left")
+        coded = j.withColumn("code", tenor_gl_first())
     ccy = F.col("ac_ccy")
     g = coded.groupBy("code", "ac_ccy").agg(
         F.when(ccy == base, F.coalesce(F.sum("d_lcy"), _zero()))

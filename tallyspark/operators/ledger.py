@@ -10,6 +10,7 @@ from datetime import date
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tallyspark import fixed
 from tallyspark.functions.oracle import oracle_concat
@@ -96,18 +97,19 @@ def tenor_gl_first(cust_gl="cust_gl", natural="ac_natural_gl", ac_no="ac_no",
 
 
 def with_natural_gl(ledger: DataFrame, account_gl_map: DataFrame,
-                    deposit_term: DataFrame) -> DataFrame:
+                    deposit_term: DataFrame, hot: DataFrame | None = None) -> DataFrame:
     """Add ``gl_code = nvl(natural GL, ac_no)`` and the deposit's tenor days.
 
     Both lookups are left joins on the account number, so an entry without
-    a mapping keeps its own account as GL code.
+    a mapping keeps its own account as GL code.  They are put together by
+    account first, so the ledger is joined once.  Every contra leg sits on one
+    of a few GL accounts: hot keys, which ``hot`` names (without it the lookup
+    is cut down to the accounts in hand and salted as a whole).
     """
     m = account_gl_map.select(F.col("ac_gl_no").alias("ac_no"), "ac_natural_gl")
     t = deposit_term.select(F.col("acc").alias("ac_no"), "orig_tenor_days")
-    # Every contra leg sits on one of a few GL accounts: hot keys, hence salted,
-    # with the lookups cut down to the accounts in hand.
-    joined = salted_join(ledger, m, ["ac_no"], "left", reduce_keyed=True)
-    joined = salted_join(joined, t, ["ac_no"], "left", reduce_by=ledger)
+    lookup = m.join(t, "ac_no", "full")
+    joined = salted_join(ledger, lookup, ["ac_no"], "left", reduce_keyed=True, hot=hot)
     return (joined
             .withColumn("gl_code", F.coalesce("ac_natural_gl", "ac_no"))
             .drop("ac_natural_gl"))
@@ -119,6 +121,41 @@ MODE_KEYS = ("trn_ref_no", "lcy_amount", "ac_ccy", "ac_branch")
 MODE_SPREAD = ("gl_code", "drcr_ind", "fcy_amount", "ac_entry_sr_no")
 
 
+def _modes(own_cash: Column, has_cash: Column) -> Column:
+    """The modes of an entry: it may be cash by itself and transfer at once."""
+    return F.array_compact(F.array(F.when(own_cash | has_cash, F.lit("cash")), F.when(~has_cash, F.lit("transfer"))))
+
+
+def _mode_keys_known() -> Column:
+    known = F.lit(True)
+    for k in MODE_KEYS:
+        known = known & F.col(k).isNotNull()
+    return known
+
+
+def _own_cash(type_col: str) -> Column:
+    return F.coalesce(F.col(type_col) == fixed.CASH_GL_TYPE, F.lit(False))
+
+
+def net_by_mode(ds: DataFrame, type_col: str = "type") -> DataFrame:
+    """The entries' sums per (``gl_code``, ``ac_ccy``, ``drcr_ind``,
+    ``trn_mode``): what summing the rows of ``classify_mode`` gives, without
+    the rows and without a join of the day with itself.
+
+    The entries are first summed per transaction key, GL code and side, map
+    side too, so a key that holds a third of the day comes down to a row for
+    each GL code.  One exchange by the key then tells which of these sums have
+    a cash leg beside them.
+    """
+    own = _own_cash(type_col)
+    per = ds.groupBy(*MODE_KEYS, "gl_code", "drcr_ind", own.alias("_cash")).agg(
+        F.sum("lcy_amount").alias("_lcy"), F.sum("fcy_amount").alias("_fcy"))
+    has = F.max(F.col("_cash") & _mode_keys_known()).over(Window.partitionBy(*MODE_KEYS))
+    moded = per.withColumn("_has", has).withColumn("trn_mode", F.explode(_modes(F.col("_cash"), F.col("_has"))))
+    return moded.groupBy("gl_code", "ac_ccy", "drcr_ind", "trn_mode").agg(
+        F.sum("_lcy").alias("lcy_amount"), F.sum("_fcy").alias("fcy_amount"))
+
+
 def classify_mode(ds: DataFrame, type_col: str = "type") -> DataFrame:
     """Tag each entry ``cash`` or ``transfer``.
 
@@ -135,16 +172,9 @@ def classify_mode(ds: DataFrame, type_col: str = "type") -> DataFrame:
     with every other entry of its group.  Rows that need two modes are
     emitted by one ``explode`` over a one- or two-element array.
     """
-    keys = list(MODE_KEYS)
-    not_null = F.lit(True)
-    for k in keys:
-        not_null = not_null & F.col(k).isNotNull()
-    own_cash = F.coalesce(F.col(type_col) == fixed.CASH_GL_TYPE, F.lit(False))
-    with_cash = (ds.where(own_cash & not_null).select(*keys).distinct()
+    keys, own_cash = list(MODE_KEYS), _own_cash(type_col)
+    with_cash = (ds.where(own_cash & _mode_keys_known()).select(*keys).distinct()
                  .withColumn("_has_cash", F.lit(True)))
     tagged = salted_join(ds, with_cash, keys, "left", spread=[c for c in MODE_SPREAD if c in ds.columns])
     has = F.coalesce(F.col("_has_cash"), F.lit(False))
-    modes = F.array_compact(F.array(
-        F.when(own_cash | has, F.lit("cash")),
-        F.when(~has, F.lit("transfer"))))
-    return tagged.withColumn("trn_mode", F.explode(modes)).drop("_has_cash")
+    return tagged.withColumn("trn_mode", F.explode(_modes(own_cash, has))).drop("_has_cash")

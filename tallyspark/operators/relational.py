@@ -3,7 +3,7 @@ skew-tolerant keyed join."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SALTS_CONF = "tallyspark.skew.salts"
@@ -19,11 +19,20 @@ def salts_of(df: DataFrame) -> int:
 def salted_join(big: DataFrame, keyed: DataFrame, on: list[str], how: str = "inner",
                 salts: int | None = None, reduce_keyed: bool = False,
                 reduce_by: DataFrame | None = None,
-                spread: list[str] | None = None) -> DataFrame:
+                spread: list[str] | None = None, hot: DataFrame | None = None) -> DataFrame:
     """``big.join(keyed, on, how)`` that survives a hot key.
 
-    ``keyed`` is the small side -- in this library always an aggregate with
-    one row per key.  Each of its rows is replicated once per salt value,
+    ``hot`` is the ``hot_key`` side table of the rows' days: the keys that the
+    ingest has counted very many entries for, of the kind named like the first
+    of ``on``.  Only their rows are spread and only their ``keyed`` rows are
+    replicated; every other key is joined once, as in a plain join.  Which keys
+    ``hot`` names changes no result.  It holds a bounded number of keys a day,
+    so it is broadcast.  A NULL key matches nothing, so its rows are spread
+    without a counterpart.
+
+    Without such counts (``hot`` is None) every key is spread: ``keyed`` is
+    the small side -- in this library always an aggregate with one row per
+    key.  Each of its rows is replicated once per salt value,
     and every ``big`` row carries one salt computed from a hash of its
     own columns, so the rows of a key that holds a third of the data are spread over
     ``salts`` reducers instead of one.  Every ``big`` row still meets every
@@ -47,6 +56,13 @@ def salted_join(big: DataFrame, keyed: DataFrame, on: list[str], how: str = "inn
     to the scan; by default the entry number, or the whole row without one.
     """
     n = salts or salts_of(big)
+    if hot is not None:
+        if how in ("left_semi", "left_anti"):
+            keyed = keyed.select(*on).distinct()
+        if n <= 1:
+            return big.join(keyed, on, how)
+        left, right = split_sides(big, keyed, on[0], n, spread, hot)
+        return left.join(right, [*on, "_salt"], how).drop("_salt")
     if reduce_keyed or reduce_by is not None:
         source = big if reduce_by is None else reduce_by
         keyed = keyed.join(source.select(*on).distinct(), on, "left_semi")
@@ -54,12 +70,28 @@ def salted_join(big: DataFrame, keyed: DataFrame, on: list[str], how: str = "inn
         keyed = keyed.select(*on).distinct()
     if n <= 1:
         return big.join(keyed, on, how)
-    default = [ENTRY_NUMBER] if ENTRY_NUMBER in big.columns else big.columns
-    salted_big = big.withColumn("_salt", F.pmod(F.xxhash64(*(spread or default)), F.lit(n)).cast("int"))
+    salted_big = big.withColumn("_salt", _salt(big, spread, n))
     salted_keyed = keyed.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
     return salted_big.join(salted_keyed, [*on, "_salt"], how).drop("_salt")
 
 
+def _salt(df: DataFrame, spread: list[str] | None, n: int) -> Column:
+    default = [ENTRY_NUMBER] if ENTRY_NUMBER in df.columns else df.columns
+    return F.pmod(F.xxhash64(*(spread or default)), F.lit(n)).cast("int")
+
+
+def split_sides(big: DataFrame, keyed: DataFrame, by: str, n: int, spread: list[str] | None,
+                hot: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Both sides with a ``_salt``: hot keys have ``n`` of them, others 0."""
+    picked = F.broadcast(hot.where(F.col("kind") == by).select(F.col("key").alias(by)).distinct()
+                         .withColumn("_hot", F.lit(True)))
+    salt, none = _salt(big, spread, n), F.lit(0)
+    apart = F.col("_hot") | F.col(by).isNull()
+    left = big.join(picked, by, "left").withColumn("_salt", F.when(apart, salt).otherwise(none)).drop("_hot")
+    copies = F.when(F.col("_hot"), F.sequence(none, F.lit(n - 1))).otherwise(F.array(none))
+    return left, keyed.join(picked, by, "left").withColumn("_salt", F.explode(copies)).drop("_hot")
+
+
 def not_in(rows: DataFrame, col: str, values: DataFrame, value_col: str) -> DataFrame:
     """``rows WHERE col NOT IN (SELECT value_col FROM values)``.
 

@@ -38,7 +38,8 @@ def reversed_refs(reversals: DataFrame, scope: str = "ref") -> DataFrame:
 
 
 def exclude_reversed(rows: DataFrame, reversals: DataFrame, scope: str = "ref",
-                     candidates: DataFrame | None = None) -> DataFrame:
+                     candidates: DataFrame | None = None, hot: DataFrame | None = None,
+                     counts: DataFrame | None = None) -> DataFrame:
     """Drop rows of reversed transactions.
 
     ``ref`` (C1a) is ``trn_ref_no NOT IN (reversed refs)`` with SQL's
@@ -54,20 +55,23 @@ def exclude_reversed(rows: DataFrame, reversals: DataFrame, scope: str = "ref",
 
     ``candidates`` (optional) is a cheap relation holding at least the keys
     of ``rows`` -- typically the raw window scan -- used to cut the reversal
-    keys down before the salted join (default: ``rows`` itself).
+    keys down before the salted join (default: ``rows`` itself).  With ``hot``
+    (the ``hot_key`` side table) only hot references are salted, and nothing
+    needs to be cut down.  ``counts`` is the ``reversal_count`` side table: the
+    facts of the NULL rule without another read of the reversals.
     """
     keys = reversed_refs(reversals, scope)
     if scope == "ref":
-        stats = keys.agg(F.struct(
-            F.count(F.lit(1)).alias("n"),
-            F.count_if(F.col("trn_ref_no").isNull()).alias("n_null")).alias("s")).scalar()
+        if counts is None:
+            counts = keys.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("trn_ref_no").isNull()).alias("n_null"))
+        stats = counts.agg(F.struct(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n", "n_null"))).alias("s")).scalar()
         guarded = rows.where((stats["n_null"] == 0)
                              & (F.col("trn_ref_no").isNotNull() | (stats["n"] == 0)))
         return salted_join(guarded, keys, ["trn_ref_no"], "left_anti",
-                           reduce_keyed=True, reduce_by=candidates)
+                           reduce_keyed=True, reduce_by=candidates, hot=hot)
     if scope == "customer":
         kept = rows.where(~F.col("event").isin(fixed.REVERSAL_EVENT))
         return salted_join(kept, keys, ["trn_ref_no"], "left_anti",
-                           reduce_keyed=True, reduce_by=candidates)
+                           reduce_keyed=True, reduce_by=candidates, hot=hot)
     return salted_join(rows, keys, ["trn_ref_no", "trn_code"], "left_anti",
-                       reduce_keyed=True, reduce_by=candidates)
+                       reduce_keyed=True, reduce_by=candidates, hot=hot)

@@ -34,17 +34,24 @@ _NET_COLS = ("cast(trn_dt as varchar) as trn_dt, branch, cast(current_bal as dou
 OPERATOR_SQL: dict[str, str] = {
     # ---------------------------------------------------------------- C1
     "reversal_ref": f"""
-select {_LED} from b_ledger_entry
-where {_ZW} and trn_ref_no not in (select trn_ref_no from b_ledger_entry where event = 'REVR')""",
+with undone as (select distinct trn_ref_no from b_ledger_entry where event = 'REVR'),
+facts as (select count(*) as n, count(*) - count(trn_ref_no) as n_null from b_ledger_entry where event = 'REVR'),
+live as (
+  select l.* from (select * from b_ledger_entry where {_ZW}) l
+  left join undone u on u.trn_ref_no = l.trn_ref_no where u.trn_ref_no is null)
+select {_LED} from live
+where (select n_null from facts) = 0 and (trn_ref_no is not null or (select n from facts) = 0)""",
     "reversal_customer": f"""
 with {LIVE_CASH}
 select trn_ref_no, external_ref_no, ac_branch, ac_no, ac_ccy, trn_code,
        cast(lcy_amount as double) as lcy_amount from live_cash""",
     "reversal_ref_code": f"""
-select {_LED}, trn_code from b_ledger_entry e
-where trn_dt = {_TD} and {_POSTABLE}
-  and not exists (select 1 from b_ledger_entry r where r.trn_ref_no = e.trn_ref_no
-                  and r.auth_stat = 'A' and r.event = 'REVR' and r.trn_code = e.trn_code)""",
+with undone as (
+  select distinct trn_ref_no, trn_code from b_ledger_entry where event = 'REVR' and auth_stat = 'A'),
+live as (
+  select l.* from (select * from b_ledger_entry where trn_dt = {_TD} and {_POSTABLE}) l
+  left join undone u on u.trn_ref_no = l.trn_ref_no and u.trn_code = l.trn_code where u.trn_ref_no is null)
+select {_LED}, trn_code from live""",
     "postable": f"""
 select {_LED}, trn_code, event from b_ledger_entry where trn_dt = {_TD} and {_POSTABLE}""",
     # ------------------------------------------------------- C2 C3 C4 C14

@@ -21,8 +21,8 @@ from tallyspark.functions.oracle import MONEY, nvl
 from tallyspark.operators import accounts as acc
 from tallyspark.operators import deposits as dep
 from tallyspark.operators.channels import channel, with_zone
-from tallyspark.operators.flows import deposit_flows, net_position, turnover
-from tallyspark.operators.ledger import (cash_legs, classify_mode, in_window, postable,
+from tallyspark.operators.flows import deposit_flows, net_position, turnover_of_nets
+from tallyspark.operators.ledger import (cash_legs, in_window, net_by_mode, postable,
                                          tenor_gl_bucket, unit_amount, with_natural_gl)
 from tallyspark.operators.relational import salted_join
 from tallyspark.operators.reversal import exclude_reversed
@@ -54,14 +54,15 @@ def cash_in_out_by_zone(src, date_from: date, date_to: date,
     """
     led = src.table("ledger_entry")
     window = in_window(led, date_from, date_to)
+    hot = in_window(src.table("hot_key"), date_from, date_to)
     cash = exclude_reversed(cash_legs(window, src.table("gl_master")),
-                            src.table("reversal_entry"), "customer")
+                            src.table("reversal_entry"), "customer", hot=hot)
     keys = ["trn_ref_no", "external_ref_no", "ac_branch", "ac_ccy", "lcy_amount"]
     # Each customer row joins every cash leg with the same five keys (fan-out is
     # the report's rule); counting the legs per key first keeps the join
     # many-to-one and weights the sums instead of duplicating rows.
     n_cash = cash.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    rows = salted_join(window.where(F.col("cust_gl") == fixed.CUSTOMER_LEG), n_cash, keys)
+    rows = salted_join(window.where(F.col("cust_gl") == fixed.CUSTOMER_LEG), n_cash, keys, hot=hot)
     rows = with_zone(rows, src.table("branch_group_member"), src.table("branch_group"))
     drcr = F.col("drcr_ind")
     typ = F.when(drcr == fixed.CREDIT, "Cash_In").when(drcr == fixed.DEBIT, "Cash_Out")
@@ -79,9 +80,9 @@ def turnover_working_set(src, on: date) -> DataFrame:
     """The postable, unreversed entries of one day with their tenor-coded
     GL and the GL type."""
     led = src.table("ledger_entry")
-    day = postable(in_window(led, on))
-    day = exclude_reversed(day, src.table("reversal_entry"), "ref_code")
-    enriched = with_natural_gl(day, src.table("account_gl_map"), src.table("deposit_term"))
+    day, hot = postable(in_window(led, on)), in_window(src.table("hot_key"), on)
+    day = exclude_reversed(day, src.table("reversal_entry"), "ref_code", hot=hot)
+    enriched = with_natural_gl(day, src.table("account_gl_map"), src.table("deposit_term"), hot=hot)
     gl = src.table("gl_master").select("gl_code", "type")
     ds = (enriched.join(gl, "gl_code")
           .withColumn("gl_code", tenor_gl_bucket("gl_code", "orig_tenor_days"))
@@ -92,15 +93,23 @@ def turnover_working_set(src, on: date) -> DataFrame:
 
 def gl_turnover(src, on: date, base: str = fixed.BASE_CCY) -> DataFrame:
     """GL debit/credit turnover of one day by cash/transfer mode."""
-    out = turnover(classify_mode(turnover_working_set(src, on)), base=base)
+    out = turnover_of_nets(net_by_mode(turnover_working_set(src, on)), base=base)
     return out.orderBy(F.col("gl_code").asc_nulls_last(), F.col("ac_ccy").asc_nulls_last())
 
 
 # ------------------------------------------------------------------ R4
 def liquidity(src, as_of: date, codes=None, base: str = fixed.BASE_CCY) -> DataFrame:
     """Net ledger position per tenor-qualified GL code and currency as of
-    a day (inclusive), optionally restricted to ``codes``."""
+    a day (inclusive), optionally restricted to ``codes``.
+
+    A catalog keeps the balances at the end of each closed period; of these
+    the last one before is read, and the days since."""
     daily = src.table("authorised_daily").where(F.col("trn_dt") <= F.lit(as_of))
+    closed = src.last_period_end(as_of) if hasattr(src, "last_period_end") else None
+    if closed is not None:
+        since = daily.where(F.col("trn_dt") > F.lit(closed)).drop("trn_dt").withColumn("n_days", F.lit(1))
+        balances = src.table("period_balance").where(F.col("period_end") == F.lit(closed)).drop("period_end")
+        daily = balances.unionByName(since)
     return net_position(daily, src.table("account_gl_map"), src.table("deposit_term"),
                         codes=codes, base=base)
 
@@ -113,7 +122,8 @@ def new_deposit(src, on: date, base: str = fixed.BASE_CCY) -> DataFrame:
     day = in_window(led, on)
     cash = cash_legs(day, src.table("gl_master"))
     customer_rows = day.where(F.col("cust_gl") == fixed.CUSTOMER_LEG)
-    flows = deposit_flows(customer_rows, cash, src.table("account_gl_map"), base=base)
+    flows = deposit_flows(customer_rows, cash, src.table("account_gl_map"), base=base,
+                          hot=in_window(src.table("hot_key"), on))
     opened = acc.new_accounts(src.table("account"), src.table("account_balance"),
                               src.table("first_entry"), on, None, keys=("cust_ac_no",))
     closed = acc.closures(src.table("account_closure"), src.table("account"), on, None)
@@ -222,7 +232,7 @@ def cash_monitor(src, before: date, exception_days=(), n_days: int = 5,
     opening = dep.opening_cash(hist, days, src.table("first_snapshot"))
     cio = dep.cash_in_out(src.table("ledger_entry"), src.table("gl_account"),
                           src.table("branch"), days, src.table("reversal_entry"),
-                          src.table("cash_touch"))
+                          src.table("cash_touch"), src.table("hot_key"), src.table("reversal_count"))
     br = src.table("branch").select(F.col("branch_code").alias("ac_branch"),
                                     F.col("branch_name").alias("brn_name"))
     limit = (opening.join(cio.select("trn_dt", "ac_branch", "cashin", "cashout"),

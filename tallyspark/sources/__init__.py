@@ -10,4 +10,5 @@ from tallyspark.sources.parquet import (  # noqa: F401
     ParquetSource, blank_strings_to_null, ingest_day, ingest_snapshot_day, materialize, normalise,
     replace_day, write_relation,
 )
+from tallyspark.sources.manifest import sweep  # noqa: F401
 from tallyspark.sources.testdata import TestdataSource  # noqa: F401

@@ -87,7 +87,7 @@ LEDGER_COLUMNS = {
 @pytest.mark.parametrize("name", sorted(LEDGER_COLUMNS))
 def test_main_ledger_scan_reads_only_what_it_needs(stored, name):
     plan = plan_of(REPORTS[name](stored))
-    scans = re.findall(r"Location: InMemoryFileIndex \[[^\]]*/ledger_entry\].*?ReadSchema: struct<([^>]*)>",
+    scans = re.findall(r"Location: InMemoryFileIndex\S* ?\[[^\]]*/ledger_entry/[^\]]*\].*?ReadSchema: struct<([^>]*)>",
                        plan, re.S)
     assert scans
     widest = max((set(re.findall(r"(\w+):", s)) for s in scans), key=len)
@@ -131,3 +131,48 @@ def test_snapshot_scan_is_pruned_to_the_report_days(stored):
                                    stored.table("branch"), days,
                                    stored.table("reversal_entry"), stored.table("cash_touch")))
     assert "PartitionFilters: [isnotnull(trn_dt" in plan and "array_contains(Subquery" in plan
+
+
+def scans(plan, relation):
+    """(folders, partition filters) of the plan's scans of a relation."""
+    found = re.findall(r"Location: InMemoryFileIndex\S* ?\[([^\]]*/" + relation + r"/[^\]]*)\]\n(PartitionFilters: .*)?",
+                       plan)
+    return found
+
+
+@pytest.mark.parametrize("build, ledger, reversals", [
+    (lambda s: R.gl_turnover(s, P.TURNOVER_DAY), 1, 1),
+    (lambda s: R.cash_in_out_by_zone(s, P.ZONE_FROM, P.ZONE_TO), 2, 1),
+    (lambda s: R.new_deposit(s, P.NEW_DEPOSIT_DAY), 2, 0)], ids=["turnover", "cash_in_out", "new_deposit"])
+def test_a_report_reads_its_days_once_for_each_side(stored, build, ledger, reversals):
+    """Hot keys by their stored counts: no scan to find or cut down keys."""
+    plan = plan_of(build(stored))
+    assert len(scans(plan, "ledger_entry")) == ledger
+    assert len(scans(plan, "reversal_entry")) == reversals
+    assert all("trn_dt" in f for _, f in scans(plan, "ledger_entry"))
+
+
+def test_cash_monitor_reads_the_reversals_once(stored):
+    plan = plan_of(R.cash_monitor(stored, P.CASH_MONITOR_BEFORE, head_office_label=P.HEAD_OFFICE_LABEL))
+    plan = plan.split("===== Subqueries")[0]  # below, dynamic pruning names the joins it takes its days from
+    assert len(scans(plan, "reversal_entry")) == len(scans(plan, "ledger_entry")) == 1
+
+
+def test_liquidity_reads_one_period_and_the_days_since(small_source, tmp_path):
+    src = materialize(small_source, str(tmp_path), period="week")
+    assert src.last_period_end(P.LIQUIDITY_AS_OF) == P.LIQUIDITY_AS_OF.replace(day=28)
+    for as_of in (P.LIQUIDITY_AS_OF, P.LIQUIDITY_AS_OF.replace(day=24), P.LIQUIDITY_AS_OF.replace(day=3)):
+        for codes in (P.LIQUIDITY_CODES, None):
+            assert rows(R.liquidity(src, as_of, codes)) == rows(R.liquidity(small_source, as_of, codes))
+    plan = plan_of(R.liquidity(src, P.LIQUIDITY_AS_OF.replace(day=24), P.LIQUIDITY_CODES))
+    (_, days), (_, period) = *scans(plan, "authorised_daily"), *scans(plan, "period_balance")
+    assert "trn_dt" in days and "> 2024-01-21" in days and "<= 2024-01-24" in days
+    assert "= 2024-01-21" in period
+    assert "DynamicPruning" not in days and len(scans(plan, "ledger_entry")) == 0
+
+
+def test_liquidity_reads_the_rollup_once(small_source, stored):
+    plan = plan_of(R.liquidity(stored, P.LIQUIDITY_AS_OF, P.LIQUIDITY_CODES))
+    assert len(scans(plan, "authorised_daily")) == 1
+    raw = plan_of(R.liquidity(small_source, P.LIQUIDITY_AS_OF, P.LIQUIDITY_CODES))
+    assert len(re.findall(r"Location: .*lineitem", raw)) == 1

@@ -9,7 +9,7 @@ from contextlib import contextmanager
 import pytest
 from pyspark.sql import functions as F
 
-from tallyspark.operators.relational import salted_join
+from tallyspark.operators.relational import salted_join, split_sides
 
 
 @pytest.fixture(scope="module")
@@ -66,3 +66,61 @@ def test_reduced_salted_join_equals_plain_join(skewed, how):
                                          reduce_keyed=True).collect()))
     want = Counter(map(tuple, big.join(keyed, ["key"], how).collect()))
     assert got == want
+
+
+def hot_keys(spark, *keys, kind="key"):
+    return spark.createDataFrame([(kind, k, 1, None) for k in keys], "kind string, key string, n long, trn_dt date")
+
+
+@pytest.mark.parametrize("how", ["inner", "left", "left_semi", "left_anti"])
+@pytest.mark.parametrize("picked", [[], ["HOT"], ["HOT", "k3", "k4", "not there"]])
+def test_any_pick_of_hot_keys_gives_the_plain_join(spark, skewed, how, picked):
+    big, keyed = skewed
+    got = salted_join(big, keyed, ["key"], how, salts=8, hot=hot_keys(spark, *picked))
+    assert Counter(map(tuple, got.select("key", *[c for c in got.columns if c != "key"]).collect())) == Counter(
+        map(tuple, big.join(keyed, ["key"], how).collect()))
+
+
+def test_only_hot_keys_are_replicated_and_spread(spark, skewed):
+    big, keyed = skewed
+    left, right = split_sides(big, keyed, "key", 8, None, hot_keys(spark, "HOT"))
+    cold, plain = split_sides(big, keyed, "key", 8, None, hot_keys(spark))
+    copies = Counter(r["key"] for r in right.collect())
+    assert copies.pop("HOT") == 8 and set(copies.values()) == {1}
+    assert plain.count() == keyed.count()
+    rows = left.groupBy("key").agg(F.countDistinct("_salt").alias("n")).collect()
+    assert {r["key"]: r["n"] for r in rows if r["n"] > 1}.keys() == {"HOT", None}  # NULL meets nothing
+    assert cold.where("key is not null").select("_salt").distinct().count() == 1
+
+
+def test_hot_key_of_the_split_join_is_spread_over_reducers(spark, skewed):
+    big, keyed = skewed
+    with conf(spark, **{"spark.sql.autoBroadcastJoinThreshold": "-1",
+                        "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+                        "spark.sql.adaptive.coalescePartitions.enabled": "false",
+                        "spark.sql.shuffle.partitions": "16"}):
+        j = salted_join(big, keyed, ["key"], "inner", salts=8, hot=hot_keys(spark, "HOT"))
+        parts = (j.where(F.col("key") == "HOT")
+                 .groupBy(F.spark_partition_id().alias("p")).count().collect())
+    assert len(parts) >= 4
+    assert max(r["count"] for r in parts) <= 3000 / 2
+
+
+def test_a_hot_transaction_comes_down_to_a_row_for_each_gl(spark):
+    """Cash flag and nets of ``net_by_mode`` against the rows of ``classify_mode``,
+    with a key that holds most rows and keys with NULLs."""
+    from tallyspark.operators.ledger import classify_mode, net_by_mode
+    rows = [("HOT", 5, "MMK", "001", f"g{i % 4}", "D" if i % 3 else "C", "5" if i % 500 == 0 else "1", i)
+            for i in range(3000)]
+    rows += [(f"T{i % 40}", i % 3, "USD" if i % 2 else "MMK", "002", f"g{i % 5}", "C", "5" if i % 11 == 0 else None, i)
+             for i in range(600)]
+    rows += [(None, 1, "MMK", "001", "g1", "D", "5", 1), (None, 1, "MMK", "001", "g2", "D", "1", 2),
+             ("N", None, "MMK", "001", "g1", "D", "5", 3), ("N", None, "MMK", "001", "g2", "C", "2", None)]
+    ds = spark.createDataFrame(rows, "trn_ref_no string, lcy_amount int, ac_ccy string, ac_branch string, "
+                                     "gl_code string, drcr_ind string, type string, fcy_amount int")
+    keys = ["gl_code", "ac_ccy", "drcr_ind", "trn_mode"]
+    want = classify_mode(ds).groupBy(*keys).agg(F.sum("lcy_amount"), F.sum("fcy_amount"))
+    assert Counter(map(tuple, net_by_mode(ds).collect())) == Counter(map(tuple, want.collect()))
+    with conf(spark, **{"spark.sql.adaptive.enabled": "false"}):
+        plan = net_by_mode(ds)._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and plan.count("HashAggregate") >= 4
