@@ -7,7 +7,6 @@ Layout
                concatenation, exact rounding, weekday tests, date labels)
 ``operators``  reusable ``DataFrame -> DataFrame`` business operators
 ``plans``      the seven reports plus the query registry used for checking
-``streaming``  intentionally empty: the reports are batch reports
 
 Every public operator takes and returns DataFrames; nothing is collected to
 the driver and no Python UDF sits in a hot path.

@@ -149,13 +149,16 @@ def net_position(daily: DataFrame, account_gl_map: DataFrame, deposit_term: Data
     the code, so the rest is neither aggregated nor shuffled.
     """
     if codes is not None:
-        daily = daily.join(_carriers(account_gl_map, deposit_term, codes), ["cust_gl", "ac_no"])
+        carriers = _carriers(account_gl_map, deposit_term, codes)
+        own = (F.col("cust_gl") == fixed.GL_LEG) & F.col("ac_no").isin(*codes)
+        daily = daily.where(own | (F.col("cust_gl") == fixed.CUSTOMER_LEG)).join(
+            carriers, ["cust_gl", "ac_no"], "left_semi")
     sums = [F.sum(c).alias(c) for c in ("d_lcy", "c_lcy", "d_fcy", "c_fcy", "n_days") if c in daily.columns]
-    per_acct = daily.groupBy(*(c for c in ("ac_no", "cust_gl", "ac_ccy", "code") if c in daily.columns)).agg(*sums)
+    per_acct = daily.groupBy("ac_no", "cust_gl", "ac_ccy").agg(*sums)
     if "n_days" in daily.columns:
         per_acct = per_acct.where(F.col("n_days") != 0)
     if codes is not None:
-        coded = per_acct
+        coded = per_acct.join(carriers, ["cust_gl", "ac_no"])
     else:
         acc = account_gl_map.select(F.col("ac_gl_no").alias("ac_no"), F.col("ac_gl_no").alias("_mapped"),
                                     "ac_natural_gl")
