@@ -44,6 +44,12 @@ def word_hashes(words: list[bytes]) -> np.ndarray:
     return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
 
 
+def word_hashes_128(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Both halves of a 128-bit hash of each word."""
+    both = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, words)), ">u8").astype(np.uint64).reshape(-1, 2)
+    return both[:, 0], both[:, 1]
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A 64-bit finalizer: spreads the bits of a polynomial hash."""
     x = x ^ (x >> np.uint64(30))
@@ -62,8 +68,8 @@ class RollingHash:
     numbers, and the result goes through a finalizer.
     """
 
-    def __init__(self, width: int):
-        self.width = width
+    def __init__(self, width: int, base: int = _BASE):
+        self.width, self.base = width, base  # an odd number
         self._up = np.ones(1, np.uint64)
         self._down = np.ones(1, np.uint64)
 
@@ -72,7 +78,7 @@ class RollingHash:
             return
         with np.errstate(over="ignore"):
             n = max(n, 1 << 15)
-            up, down = np.full(n, _BASE, np.uint64), np.full(n, pow(_BASE, -1, 1 << 64), np.uint64)
+            up, down = np.full(n, self.base, np.uint64), np.full(n, pow(self.base, -1, 1 << 64), np.uint64)
             up[0] = down[0] = 1
             self._up, self._down = np.multiply.accumulate(up), np.multiply.accumulate(down)
 
@@ -124,8 +130,10 @@ def with_arrow_columns(df: DataFrame, fields: list[T.StructField], text_col: str
     new = {f.name for f in fields}
     keep = [c for c in df.columns if c not in new]
     schema = T.StructType([df.schema[c] for c in keep] + fields)
-    src = df if text_col in keep else df.withColumnRenamed(text_col, f"__{text_col}")
-    read = text_col if text_col in keep else f"__{text_col}"
+    read = text_col
+    while read not in keep and (read in new or read == text_col or read in df.columns):
+        read = f"_{read}"
+    src = df if read == text_col else df.withColumnRenamed(text_col, read)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         compute = make()

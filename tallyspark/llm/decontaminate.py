@@ -4,19 +4,21 @@ An item leaks into a document if at least ``percent`` % of the item's distinct
 word shingles are in the document (words are runs of letters and digits with
 A-Z lower-cased; an item with fewer words than a shingle is one shingle).
 
-Items are partitioned by size.  The items of a class that ends at ``size``
-shingles are each sketched by their ``size * (100 - percent) // 100 + 1``
-smallest MinHash values.  A document that holds ``percent`` % of an item lacks
+Items are partitioned by size, and each size class has an index of its own.
+The items of a class that ends at ``size`` shingles are each sketched by their
+``size * (100 - percent) // 100 + 1`` smallest MinHash values.  A document that holds ``percent`` % of an item lacks
 fewer shingles than that, so it holds one value of the sketch: the candidate
 search looks up every shingle of a document in the sketches and misses
 nothing.  Each candidate is verified by its exact shingle containment, on the
 words themselves.
 
 Documents are read once, in place: nothing is shuffled, and a long document or
-a passage that a third of all documents hold is just one more row.  What is
-broadcast is a block of items of at most ``block_words`` words; a larger
-benchmark is dealt into several blocks, each one more pass over the documents,
-with its pairs fixed in the checkpoint folder.
+a passage that a third of all documents hold is just one more row.  Items with
+equal texts are indexed once, and their ids joined to what is found.  What is
+broadcast is a block of different items of at most ``block_words`` words (more
+only if a single item has more); a larger benchmark is dealt into several
+blocks, each one more pass over the documents, with its pairs fixed in the
+checkpoint folder.
 
 Defined results: null, empty or word-less items and documents match nothing;
 repeated items are reported each, repeated documents each; an item of fewer
@@ -35,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .batches import RollingHash, alnum_words, binary_column, column_slices
-from .tables import fixed, row_key, share
+from .tables import fixed, numbered, renamed, row_key, share
 
 BLOCK_WORDS = 2_000_000
 #: Ends of the size classes of items, in shingles; beyond, each doubles.
@@ -50,14 +52,15 @@ def class_end(n: int) -> int:
 
 
 class ItemIndex:
-    """A block of benchmark items: vocabulary, sketches and shingle sets."""
+    """A block of benchmark items: vocabulary, shingle sets, and per shingle
+    width and size class the sketches."""
 
-    def __init__(self, items: list[tuple[int, bytes]], shingle: int, percent: int):
+    def __init__(self, items: list[tuple[str, bytes]], shingle: int, percent: int):
         self.shingle, self.percent = shingle, percent
         self.word_id: dict[bytes, int] = {}
-        self.ids: list[int] = []
+        self.ids: list[str] = []
         self.sets: list[frozenset] = []
-        sketches: dict[int, dict[int, list[int]]] = defaultdict(lambda: defaultdict(list))
+        classes: dict[tuple[int, int], dict[int, list[int]]] = defaultdict(lambda: defaultdict(list))
         for item_id, text in items:
             words = [self.word_id.setdefault(w, len(self.word_id) + 1) for w in alnum_words(text)]
             if not words:
@@ -67,31 +70,33 @@ class ItemIndex:
             at: dict[tuple, int] = {}
             for k, h in enumerate(RollingHash(width).windows(ids).tolist()):
                 at[tuple(words[k:k + width])] = h
-            missing = class_end(len(at)) * (100 - percent) // 100
-            for h in sorted(at.values())[:missing + 1]:
-                sketches[width][h].append(len(self.ids))
+            end = class_end(len(at))
+            for h in sorted(at.values())[:end * (100 - percent) // 100 + 1]:
+                classes[width, end][h].append(len(self.ids))
             self.ids.append(item_id)
             self.sets.append(frozenset(at))
-        self.sketches = {width: (np.array(sorted(s), np.uint64), dict(s))
-                         for width, s in sketches.items()}
+        self.sketches: dict[int, list[tuple[np.ndarray, dict[int, list[int]]]]] = defaultdict(list)
+        for (width, _), held in sorted(classes.items()):
+            self.sketches[width].append((np.array(sorted(held), np.uint64), dict(held)))
 
-    def search(self, text: bytes | None, rolling: dict[int, RollingHash]) -> list[tuple[int, int, int]]:
-        """(item id, shared shingles, shingles of the item) of the leaked items."""
+    def search(self, text: bytes | None, rolling: dict[int, RollingHash]) -> list[tuple[str, int, int]]:
+        """(item, shared shingles, shingles of the item) of the leaked items."""
         known = self.word_id
         words = [known.get(w, 0) for w in alnum_words(text)]
         ids = np.array(words, np.uint64)
         inside = np.concatenate([[0], np.cumsum(ids == 0)])
         found = []
-        for width, (values, items) in self.sketches.items():
+        for width, classes in self.sketches.items():
             if len(ids) < width:
                 continue
             whole = np.flatnonzero(inside[width:] == inside[:-width])  # windows of benchmark words
             h = rolling[width].windows(ids)[whole]
-            place = np.minimum(np.searchsorted(values, h), len(values) - 1)
-            hits = h[values[place] == h]
-            if not len(hits):
+            candidates = set()
+            for values, items in classes:
+                place = np.minimum(np.searchsorted(values, h), len(values) - 1)
+                candidates.update(k for x in np.unique(h[values[place] == h]).tolist() for k in items[x])
+            if not candidates:
                 continue
-            candidates = {k for x in np.unique(hits).tolist() for k in items[x]}
             there = {tuple(words[k:k + width]) for k in whole.tolist()}
             for k in candidates:
                 shared = len(self.sets[k] & there)
@@ -100,12 +105,13 @@ class ItemIndex:
         return sorted(found)
 
 
-def _blocks(items: DataFrame, id_col: str, text_col: str, block_words: int) -> list:
-    """Conditions that split the items into blocks under the bound."""
+def _blocks(items: DataFrame, key_col: str, text_col: str, block_words: int) -> list:
+    """Conditions that split the items, one row a text, into blocks: as many
+    as hold the bound when dealt by hash, with room for unevenness."""
     # Bytes / 2 is at least the number of words.
     size = items.agg(F.sum(F.octet_length(text_col) / 2 + 1)).first()[0] or 0
-    n = int(size // block_words) + 1
-    block = F.pmod(F.xxhash64(id_col, text_col), F.lit(n))
+    n = 1 if size <= block_words else 2 * int(size // block_words) + 1
+    block = F.pmod(F.xxhash64(key_col), F.lit(n))
     return [block == k for k in range(n)]
 
 
@@ -119,12 +125,14 @@ def leaks(docs: DataFrame, items: DataFrame, shingle: int = 5, percent: int = 80
     th = row_key(id_col, text_col)[1]
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), th, F.col(text_col).alias("text"))
     wanted = items.select(F.col(item_id_col).cast("long").alias("item_id"),
-                          F.col(item_text_col).alias("text")).where("text IS NOT NULL")
-    conditions = _blocks(wanted, "item_id", "text", block_words)
+                          F.col(item_text_col).alias("text")).where("text IS NOT NULL").withColumn(
+        "item", F.sha2("text", 256))
+    distinct = wanted.select("item", "text").dropDuplicates(["item"])
+    conditions = _blocks(distinct, "item", "text", block_words)
     out = None
     for condition in conditions:
         # Bounded by block_words; larger benchmarks come in several blocks.
-        block = [(r["item_id"], r["text"].encode()) for r in wanted.where(condition).collect()]
+        block = [(r["item"], r["text"].encode()) for r in distinct.where(condition).collect()]
         shared, sent = share(spark, ItemIndex(block, shingle, percent))
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
@@ -138,22 +146,27 @@ def leaks(docs: DataFrame, items: DataFrame, shingle: int = 5, percent: int = 80
                         continue
                     at = pa.array([f[0] for f in found], pa.int32())
                     yield pa.RecordBatch.from_arrays(
-                        [batch.column("doc_id").take(at), batch.column("_th").take(at)]
-                        + [pa.array([f[k] for f in found], pa.int64()) for k in (1, 2, 3)],
-                        names=["doc_id", "_th", "item_id", "n_shared", "n_item"])
+                        [batch.column("doc_id").take(at), batch.column("_th").take(at),
+                         pa.array([f[1] for f in found], pa.string())]
+                        + [pa.array([f[k] for f in found], pa.int64()) for k in (2, 3)],
+                        names=["doc_id", "_th", "item", "n_shared", "n_item"])
 
-        pairs = rows.mapInArrow(run, "doc_id long, _th long, item_id long, n_shared long, n_item long")
+        pairs = rows.mapInArrow(run, "doc_id long, _th long, item string, n_shared long, n_item long")
         if len(conditions) > 1:
             pairs = fixed(pairs)
             sent.destroy()
         out = pairs if out is None else out.unionByName(pairs)
-    return out.withColumn("containment", F.col("n_shared") / F.col("n_item"))
+    named = out.join(wanted.select("item_id", "item"), "item").drop("item")
+    return named.withColumn("containment", F.col("n_shared") / F.col("n_item"))
 
 
 def clean(docs: DataFrame, items: DataFrame, shingle: int = 5, percent: int = 80,
           id_col: str = "doc_id", text_col: str = "text", **kwargs) -> DataFrame:
     """``docs`` without the rows into which an item has leaked."""
+    columns = docs.columns
+    docs, new = numbered(docs)
+    id_col, text_col = new(id_col), new(text_col)
     found = leaks(docs, items, shingle, percent, id_col, text_col, **kwargs).select(
         F.coalesce("doc_id", F.lit(0)).alias("_id"), "_th").distinct()
     keyed = docs.withColumns(dict(zip(("_id", "_th"), row_key(id_col, text_col))))
-    return keyed.join(found, ["_id", "_th"], "left_anti").drop("_id", "_th")
+    return keyed.join(found, ["_id", "_th"], "left_anti").select(renamed(keyed, columns, new))

@@ -50,7 +50,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from .batches import column_slices
 from .filters import bit_filter, hits
-from .tables import fixed
+from .tables import fixed, numbered, renamed
 
 #: HTML element names by their part in a page.
 RAW = {"script", "style", "textarea", "title", "noscript", "template", "iframe", "xmp", "noembed"}
@@ -62,7 +62,9 @@ BLOCK = {"address", "article", "blockquote", "body", "center", "dd", "details",
          "main", "ol", "p", "pre", "section", "summary", "table", "tbody", "td", "tfoot", "th", "thead",
          "tr", "ul", "caption"}
 ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "alert", "dialog", "menu", "form"}
-#: Words in a class or id that mark what is not the article.
+#: Classes and ids that mark what is not the article.  Outside an article, a
+#: part of a compound one marks it too; inside, where the text stands, only a
+#: whole one does (an ``entry-header`` is the article's own).
 MARKS = {"ad", "ads", "advert", "adverts", "advertisement", "advertising", "banner", "sponsor", "sponsored",
          "promo", "promotion", "nav", "navbar", "navigation", "menu", "breadcrumb", "breadcrumbs", "header",
          "masthead", "footer", "sidebar", "aside", "widget", "cookie", "cookies", "consent", "gdpr", "notice",
@@ -100,7 +102,7 @@ def _boilerplate(name: str, attributes: str, sure: bool) -> bool:
         if key == "role" and value in ROLES or key == "hidden" or key == "aria-hidden" and value == "true":
             return True
         if key in ("class", "id") and name not in ("html", "body", "article", "main"):
-            if not MARKS.isdisjoint(re.split(r"[^a-z]+", value)):
+            if not MARKS.isdisjoint(value.split() if sure else re.split(r"[^a-z]+", value)):
                 return True
     return name == "article" and "comment" in attributes.lower()
 
@@ -385,7 +387,9 @@ def extract(pages: DataFrame, html_col: str = "html", url_col: str = "url") -> D
     lose a line by the comparison (told by a bit filter, then exactly) are
     shuffled to meet it.  The pages are read again rather than stored.
     """
-    keep = [c for c in pages.columns if c not in (html_col, "text")]
+    columns = [c for c in pages.columns if c not in (html_col, "text")]
+    pages, new = numbered(pages)
+    html_col, url_col, keep = new(html_col), new(url_col), [new(c) for c in columns]
     # Equal pages share a key: they get the same partner and text.
     rows = pages.withColumn("_pk", F.xxhash64(url_col, html_col))
     strings, text = T.ArrayType(T.StringType()), T.StructField("text", T.StringType())
@@ -428,4 +432,5 @@ def extract(pages: DataFrame, html_col: str = "html", url_col: str = "url") -> D
                 yield pa.RecordBatch.from_arrays([batch.column(c) for c in keep]
                                                  + [pa.array(texts, pa.string())], names=out.fieldNames())
 
-    return whole.unionByName(cut.mapInArrow(finish, out))
+    done = whole.unionByName(cut.mapInArrow(finish, out))
+    return done.select(*renamed(done, columns, new), "text")

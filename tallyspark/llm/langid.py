@@ -21,8 +21,9 @@ share of these counts; ties go to the language with more training rows, then to
 the smaller name.
 
 Every labelled language is learnt; the model is the filter (``SLOTS`` slots, 4
-MB for each 64 languages) and a few numbers, and is broadcast.  Training reads a sample of about
-``TRAIN_ROWS`` labelled rows per language, chosen by a hash of the text's id.
+MB for each 64 languages) and a few numbers, and is broadcast.  Training reads a sample of at most
+``TRAIN_ROWS`` labelled rows per language, chosen by a hash of id and text; a
+language's row of the smallest hash is always in it, so none is lost.
 
 Defined results: null texts and texts without a letter give ``und`` and score
 0; a text whose n-grams are all unknown gives the language with most training
@@ -41,6 +42,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from .batches import column_slices, mix, with_arrow_columns
 from .tables import share
@@ -50,6 +52,7 @@ TRAIN_ROWS = 2_000
 LEAST_FREQUENCY = 2e-4
 LEAST_RATIO = 0.5
 SLOTS = 1 << 19
+DICE = 1 << 40
 PROBES = 2
 _CHUNK = 1 << 19
 #: Which byte values have a bit.
@@ -153,16 +156,21 @@ def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
     """The filter learnt from ``labelled`` (rows with a null text or language
     are left out)."""
     rows = labelled.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull())
-    sizes = rows.groupBy(lang_col).count().orderBy(F.desc("count"), lang_col).collect()
+    dice = F.pmod(F.xxhash64(F.lit("langid"), F.col(id_col), F.col(text_col)), F.lit(DICE))
+    sizes = rows.groupBy(lang_col).agg(F.count(F.lit(1)).alias("count"), F.min(dice).alias("least")).orderBy(
+        F.desc("count"), lang_col).collect()
     languages = [r[lang_col] for r in sizes]
     if not languages:
         return Filter([], [], {})
     shares = labelled.sparkSession.createDataFrame(
-        [(r[lang_col], train_rows / r["count"]) for r in sizes],
-        T.StructType([T.StructField("lang", rows.schema[lang_col].dataType), T.StructField("_share", T.DoubleType())]))
-    dice = F.pmod(F.xxhash64(F.lit("langid"), F.col(id_col)), F.lit(1 << 20)) / F.lit(float(1 << 20))
-    sample = rows.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), dice.alias("_dice")).join(
-        F.broadcast(shares), "lang").where("_dice < _share").select("lang", "text")
+        [(r[lang_col], max(r["least"], int(DICE * min(1.0, train_rows / r["count"])))) for r in sizes],
+        T.StructType([T.StructField("lang", rows.schema[lang_col].dataType), T.StructField("_share", T.LongType())]))
+    drawn = rows.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), dice.alias("_dice")).join(
+        F.broadcast(shares), "lang").where("_dice <= _share")
+    # Equal rows are drawn together: the bound is kept by a cut after it.
+    order = Window.partitionBy("lang").orderBy("_dice")
+    sample = drawn.withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= train_rows).select(
+        "lang", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         letters = Letters()

@@ -29,7 +29,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .tables import fixed, row_key
+from .tables import fixed, numbered, renamed, row_key
 
 SEPARATORS = "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
 GRAM = 2
@@ -178,7 +178,10 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """``docs`` without its text, with ``n_words``, ``n_base`` (places of the
     exact phrases), ``first_word``, ``last_word`` (their smallest and largest
     start), ``base_labels``, ``labels`` and ``score``."""
-    new = ("n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
+    made = ("n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
+    columns = [c for c in docs.columns if c != text_col and (c == id_col or c not in made)]
+    docs, new = numbered(docs)
+    id_col, text_col = new(id_col), new(text_col)
     found = find_licenses(docs, id_col, text_col, phrases, wording)
     exact = F.col("exact")
     per_text = found.groupBy("_id", "_th").agg(
@@ -190,11 +193,12 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         F.max("share").alias("score"))
     joined_labels = lambda c: F.coalesce(F.array_join(F.array_sort(c), ","), F.lit(""))
     key = row_key(id_col, text_col)
-    counted = docs.drop(*[c for c in new if c not in (id_col, text_col)]).withColumns({
+    counted = docs.withColumns({
         "_id": key[0], "_th": key[1], "n_words": F.size(words_of(F.col(text_col))).cast("long")})
-    return counted.drop(text_col).join(per_text, ["_id", "_th"], "left").withColumns({
+    done = counted.drop(text_col).join(per_text, ["_id", "_th"], "left").withColumns({
         "n_base": F.coalesce("n_base", F.lit(0)).cast("long"),
         "base_labels": joined_labels("base_labels"),
         "labels": joined_labels("labels"),
         "score": F.coalesce("score", F.lit(0.0)).cast("double"),
-    }).drop("_id", "_th")
+    })
+    return done.select(*renamed(done, columns, new), *(c for c in made if c not in columns))

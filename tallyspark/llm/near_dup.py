@@ -43,7 +43,7 @@ from pyspark.sql import functions as F
 
 from .batches import RollingHash, binary_column, column_slices, shingle_set, space_words
 from .filters import bit_filter, hits
-from .tables import fixed, free_shuffles, row_key
+from .tables import fixed, free_shuffles, numbered, renamed, row_key
 
 BANDS = 42
 ROWS = 6
@@ -244,31 +244,41 @@ def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, plan: Plan,
     return _pairs_map(_with_both(lasting, sets, ["values"]), exact)
 
 
+def dealt_members(rows: DataFrame) -> DataFrame:
+    """The members (``key``, ``node``, ``comp``, ``n``) of buckets of several
+    components, dealt to blocks of bounded size: every member has one home;
+    those outside the bucket's largest component go to every block besides,
+    so m members with k outsiders make m + k * (blocks - 1) rows."""
+    parts = rows.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("m"),
+                                            F.sum(F.col("n").cast("long") * 8).alias("bytes"))
+    mixed = parts.groupBy("key").agg(
+        F.count(F.lit(1)).alias("comps"), F.max(F.struct("m", "comp")).alias("top"),
+        F.sum("m").alias("m"), F.sum("bytes").alias("bytes")).where("comps > 1").select(
+        "key", F.col("top.comp").alias("top"),
+        F.ceil(F.greatest(F.col("m") / BLOCK_ROWS, F.col("bytes") / BLOCK_BYTES)).cast("int").alias("blocks"))
+    held = rows.join(mixed, "key").withColumn("outside", F.col("comp") != F.col("top")).withColumn(
+        "mine", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    to = F.when(F.col("outside"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array("mine"))
+    return held.withColumn("block", F.explode(to)).select(
+        "key", "node", "comp", "outside", "block", (F.col("block") == F.col("mine")).alias("home"))
+
+
 def _cross_links(members: DataFrame, labels: DataFrame, classes: DataFrame, docs: DataFrame,
                  plan: Plan, id_col: str, text_col: str) -> DataFrame:
     """Links between components inside one bucket (see step 4)."""
     rows = members.where("m > 2").join(labels, "node", "left").select(
         "key", "node", F.coalesce("comp", "node").alias("comp"))
-    rows = rows.join(classes.select("node", "n"), "node")
-    mixed = rows.groupBy("key").agg(
-        F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("m"),
-        F.sum(F.col("n").cast("long") * 8).alias("bytes")).where("lo <> hi").select(
-        "key", F.ceil(F.greatest(F.col("m") / BLOCK_ROWS, F.col("bytes") / BLOCK_BYTES))
-        .cast("int").alias("blocks"))
-    rows = fixed(rows.join(mixed, "key").select("key", "node", "comp", "blocks"))
+    rows = fixed(dealt_members(rows.join(classes.select("node", "n"), "node")))
     nodes = rows.select("node").distinct()
     wanted = classes.select("node", "_id", "_th").join(nodes, "node", "left_semi")
-    facts = classes.select("node", "sig").join(
+    facts = classes.select("node", "sig", "keys").join(
         _sets(docs, wanted, plan, id_col, text_col), "node")
-    mine = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-    dealt = rows.withColumn("mine", mine).withColumn(
-        "other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
-        "key", "node", "comp", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"))
-    dealt = dealt.join(facts, "node")
+    dealt = rows.join(facts, "node")
 
     def block(table: pa.Table) -> pa.Table:
-        nodes, comps = (np.asarray(table.column(c)) for c in ("node", "comp"))
+        nodes, comps, outside, home = (np.asarray(table.column(c)) for c in ("node", "comp", "outside", "home"))
         sig = _bytes_matrix(table.column("sig").to_pylist(), np.uint16)
+        bands, key = np.array(table.column("keys").to_pylist(), np.int64), table.column("key")[0].as_py()
         sets = [np.frombuffer(x, np.uint64) for x in table.column("values").to_pylist()]
         sizes = np.array([len(s) for s in sets], np.int64)
         found = {c: c for c in comps.tolist()}
@@ -278,10 +288,15 @@ def _cross_links(members: DataFrame, labels: DataFrame, classes: DataFrame, docs
                 found[c] = c = found[found[c]]
             return c
 
-        names, counts = np.unique(comps, return_counts=True)
         links = []
-        for x in np.flatnonzero(comps != names[counts.argmax()]).tolist():
-            for y in plan.lasting(sig, sizes, sig[x], sizes[x]).tolist():
+        for x in np.flatnonzero(outside).tolist():
+            # Every outsider meets the members that are at home here; two
+            # outsiders meet at the home of the later one, and a pair meets in
+            # the first of the buckets that it shares.
+            there = np.flatnonzero(home & (comps != comps[x]) & (~outside | (nodes > nodes[x])))
+            same = bands[there] == bands[x]
+            there = there[bands[x][same.argmax(1)] == key] if len(there) else there
+            for y in there[plan.lasting(sig[there], sizes[there], sig[x], sizes[x])].tolist():
                 a, b = root(int(comps[x])), root(int(comps[y]))
                 if a != b and plan.linked(sets[x], sets[y]):
                     found[max(a, b)] = min(a, b)
@@ -289,7 +304,7 @@ def _cross_links(members: DataFrame, labels: DataFrame, classes: DataFrame, docs
         return pa.table({"a": pa.array([p[0] for p in links], pa.int64()),
                          "b": pa.array([p[1] for p in links], pa.int64())})
 
-    return dealt.groupBy("key", "i", "j").applyInArrow(block, "a long, b long")
+    return dealt.groupBy("key", "block").applyInArrow(block, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col: str = "doc_id",
@@ -341,6 +356,9 @@ def representatives(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col
                     text_col: str = "text", **kwargs) -> DataFrame:
     """``docs`` with one row of each component (rows without words all stay;
     of repeated equal rows one stays)."""
+    columns = docs.columns
+    docs, new = numbered(docs)
+    id_col, text_col = new(id_col), new(text_col)
     found = near_duplicates(docs, shingle, percent, id_col, text_col, **kwargs)
     keep = found.where("first").select("_id", "_th").distinct()
     keyed = docs.withColumns(dict(zip(("_id", "_th"), row_key(id_col, text_col))))
@@ -349,4 +367,5 @@ def representatives(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col
     # Only rows that repeat id and text are still several; rows without words
     # are linked with nothing and get a number of their own.
     spread = F.when(words, F.lit(0)).otherwise(F.monotonically_increasing_id())
-    return kept.withColumn("_n", spread).dropDuplicates(["_id", "_th", "_n"]).drop("_id", "_th", "_n")
+    kept = kept.withColumn("_n", spread).dropDuplicates(["_id", "_th", "_n"])
+    return kept.select(renamed(kept, columns, new))

@@ -34,6 +34,7 @@ from .batches import RollingHash, binary_column, column_slices, space_words, wit
 from .tables import share
 
 TRAIN_ROWS = 20_000
+DICE = 1 << 40
 BINS = 32
 PAIR_BINS = 12
 ROUNDS = 120
@@ -201,25 +202,30 @@ def fit(x: np.ndarray, y: np.ndarray) -> Model:
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
           label_col: str = "quality", train_rows: int = TRAIN_ROWS) -> Model:
-    """The model learnt from the labelled rows of ``docs``."""
-    known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).select(id_col, label_col)
-    share = min(1.0, train_rows / max(1, known.count()))
-    dice = F.pmod(F.xxhash64(F.lit("quality"), F.col(id_col)), F.lit(1 << 20)) / F.lit(float(1 << 20))
-    sample = known.where(dice < share)
-    # The sample has about train_rows rows of two numbers.
-    rows = docs.select(id_col, F.col(text_col).alias("text")).join(F.broadcast(sample), id_col).select(
-        F.col(label_col).cast("double").alias("y"), "text")
+    """The model learnt from at most ``train_rows`` labelled rows of ``docs``:
+    labelled ids are drawn by a hash of the id, and of their rows, which may be
+    many if an id repeats, those with the smallest hash of id and text."""
+    known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).select(
+        F.col(id_col).alias("id"), F.col(label_col).cast("double").alias("y")).distinct()
+    dice = F.pmod(F.xxhash64(F.lit("quality"), "id"), F.lit(DICE))
+    least = known.agg(F.count(F.lit(1)).alias("n"), F.min(dice).alias("least")).first()
+    chosen = max(least["least"] or 0, int(DICE * min(1.0, train_rows / max(1, least["n"]))))
+    # About train_rows ids, cut to the bound: two numbers each.
+    sample = known.where(dice <= chosen).orderBy(dice, "y").limit(2 * train_rows)
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(sample), "id").select(
+        "y", F.xxhash64(F.lit("row"), "id", "text").alias("dice"), "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in column_slices(whole, "text"):
                 x = feature_matrix(binary_column(batch, "text"))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("y")] + [pa.array(x[:, k]) for k in range(x.shape[1])],
-                    names=["y", *FEATURES])
+                    [batch.column("dice"), batch.column("y")] + [pa.array(x[:, k]) for k in range(x.shape[1])],
+                    names=["dice", "y", *FEATURES])
 
-    schema = ", ".join(f"{c} double" for c in ("y", *FEATURES))
-    got = np.array(sorted(map(tuple, rows.mapInArrow(run, schema).collect())), float)
+    schema = "dice long, " + ", ".join(f"{c} double" for c in ("y", *FEATURES))
+    drawn = rows.mapInArrow(run, schema).orderBy("dice", "y").limit(train_rows).drop("dice")
+    got = np.array(sorted(map(tuple, drawn.collect())), float)  # at most train_rows rows of numbers
     got = got.reshape(-1, len(FEATURES) + 1)
     return fit(got[:, 1:], got[:, 0])
 

@@ -4,13 +4,17 @@ consecutive words that also starts anywhere else, in any document.
 1. Every window of every text gets a 64-bit Rabin-Karp hash; Spark counts the
    hashes.  A task first removes repeats inside its own share (a hash seen
    more than once is sent twice), so a window that a third of all rows hold
-   costs two rows per task.
-2. The hashes counted more than once are put into a bit filter of a fixed
-   size (``filter_bits``), which is all that is broadcast.  A second pass
-   sends only windows that hit the filter to an exact join with the repeated
-   hashes.  The filter only saves shuffle: when the repeated windows outgrow
-   it more windows go to the join, and the result stays the same.
-3. The window starts come back per document and merge into maximal intervals,
+   costs two rows per task.  The hashes counted more than once are put into a
+   bit filter of a fixed size (``filter_bits``), which is all that is
+   broadcast.
+2. Windows that hit the filter get a key of two more, independent Rabin-Karp
+   hashes over other word hashes, 128 bits in all, and are counted by it in
+   the same way: windows of equal 64-bit hashes that differ go apart here.
+3. A last pass sends the places of the windows that hit the filter to an exact
+   join with the repeated keys.  The filter only saves shuffle: when the
+   repeated windows outgrow it more windows go to the join, and the result
+   stays the same.
+4. The window starts come back per document and merge into maximal intervals,
    which are cut from the text.
 
 Defined results: null, empty and short texts (fewer words than a window) lose
@@ -18,7 +22,7 @@ nothing; a text that is wholly covered becomes empty; repeated rows are
 documents of their own, so their windows count as repeated; rows are told
 apart by id and text, null ids included; an empty table gives an empty table;
 extra columns pass through, and one called like an output column is replaced.
-Two different windows are taken for equal only if their 64-bit hashes are.
+Two different windows are taken for equal only if their 128-bit keys are.
 """
 
 from __future__ import annotations
@@ -28,15 +32,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .batches import RollingHash, binary_column, column_slices, space_words, word_hashes
+from .batches import RollingHash, binary_column, column_slices, space_words, word_hashes, word_hashes_128
 from .filters import FILTER_BITS, bit_filter, hits
-from .tables import fixed, free_shuffles, row_key
+from .tables import fixed, free_shuffles, numbered, renamed, row_key
 
 FLUSH = 3_000_000
+_OTHER_BASE = 0xD6E8FEB86659FD93
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 
 
@@ -44,6 +50,58 @@ def _window_hashes(text: bytes | None, rolling: RollingHash) -> np.ndarray:
     return rolling.windows(word_hashes(space_words(text)))
 
 
+class Keys:
+    """The 128-bit keys of a text's windows, as two numbers each."""
+
+    def __init__(self, window: int):
+        self.rolling = RollingHash(window), RollingHash(window, _OTHER_BASE)
+
+    def __call__(self, text: bytes | None) -> list[np.ndarray]:
+        return [r.windows(h) for r, h in zip(self.rolling, word_hashes_128(space_words(text)))]
+
+
+def repeated_twice(g: np.ndarray, k: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each different (g, k) once, and once more if it is there repeatedly."""
+    order = np.lexsort((k, g))
+    g, k = g[order], k[order]
+    new = np.ones(len(g), bool)
+    new[1:] = (g[1:] != g[:-1]) | (k[1:] != k[:-1])
+    second = ~new
+    second[1:] &= new[:-1]
+    return g[new | second], k[new | second]
+
+
+def count_keys(docs: DataFrame, window: int, text_col: str, filled: Broadcast, filter_bits: int) -> DataFrame:
+    """The keys (``g``, ``k``) that start more than once, of the windows that
+    hit the filter."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rolling, keys, held, n = RollingHash(window), Keys(window), [], 0
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            if held:
+                g, k = repeated_twice(*(np.concatenate(x) for x in zip(*held)))
+                held.clear()
+                yield pa.RecordBatch.from_arrays([pa.array(g.view(np.int64)), pa.array(k.view(np.int64))],
+                                                 names=["g", "k"])
+
+        for whole in batches:
+            for batch in column_slices(whole, text_col):
+                for text in binary_column(batch, text_col):
+                    h = _window_hashes(text, rolling)
+                    hit = hits(h, filled.value, filter_bits) if len(h) else h.astype(bool)
+                    if hit.any():
+                        held.append([x[hit] for x in keys(text)])
+                        n += len(held[-1][0])
+                    if n >= FLUSH:
+                        n = 0
+                        yield from flush()
+        yield from flush()
+
+    hashes = docs.select(text_col).mapInArrow(run, "g long, k long").repartition("g", "k")
+    return hashes.groupBy("g", "k").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("g", "k")
+
+
 def count_windows(docs: DataFrame, window: int, text_col: str = "text") -> DataFrame:
     """The hashes (``h``) of the windows that start more than once."""
 
@@ -81,12 +139,13 @@ def repeated_starts(docs: DataFrame, window: int, id_col: str, text_col: str,
     """``_id``, ``_th`` (see ``row_key``) and ``starts``: per document, the
     word places where a repeated window starts."""
     spark = docs.sparkSession
-    repeated = fixed(count_windows(docs, window, text_col))
+    shared = spark.sparkContext.broadcast(bit_filter(count_windows(docs, window, text_col), filter_bits))
+    free_shuffles(spark)
+    repeated = fixed(count_keys(docs, window, text_col, shared, filter_bits))
     free_shuffles(spark)
-    shared = spark.sparkContext.broadcast(bit_filter(repeated, filter_bits))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rolling, filled = RollingHash(window), shared.value
+        rolling, keys, filled = RollingHash(window), Keys(window), shared.value
         for whole in batches:
             for batch in column_slices(whole, text_col, 4 << 20):
                 ids, ths = (np.asarray(batch.column(c)) for c in ("_id", "_th"))
@@ -95,16 +154,17 @@ def repeated_starts(docs: DataFrame, window: int, id_col: str, text_col: str,
                     h = _window_hashes(text, rolling)
                     at = np.flatnonzero(hits(h, filled, filter_bits)) if len(h) else h
                     if len(at):
-                        found.append((np.full(len(at), k), at, h[at]))
+                        found.append((np.full(len(at), k), at, *(x[at] for x in keys(text))))
                 if found:
-                    rows, at, h = (np.concatenate(x) for x in zip(*found))
+                    rows, at, one, two = (np.concatenate(x) for x in zip(*found))
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(ids[rows]), pa.array(ths[rows]), pa.array(at.astype(np.int32)),
-                         pa.array(h.view(np.int64))], names=["_id", "_th", "start", "h"])
+                         pa.array(one.view(np.int64)), pa.array(two.view(np.int64))],
+                        names=["_id", "_th", "start", "g", "k"])
 
     rows = docs.select(*row_key(id_col, text_col), text_col)
-    windows = rows.mapInArrow(run, "_id long, _th long, start int, h long")
-    return (windows.join(repeated, "h").groupBy("_id", "_th")
+    windows = rows.mapInArrow(run, "_id long, _th long, start int, g long, k long")
+    return (windows.join(repeated, ["g", "k"]).groupBy("_id", "_th")
             .agg(F.collect_set("start").alias("starts")))
 
 
@@ -112,8 +172,11 @@ def remove_repeats(docs: DataFrame, window: int = 35, id_col: str = "doc_id",
                    text_col: str = "text", filter_bits: int = FILTER_BITS) -> DataFrame:
     """``docs`` with ``kept_text`` (the text without the covered words; an
     untouched text stays as it is), ``n_words`` and ``n_removed``."""
-    new = ("kept_text", "n_words", "n_removed")
-    docs = docs.drop(*[c for c in new if c != text_col])
+    made = ("kept_text", "n_words", "n_removed")
+    columns = [c for c in docs.columns if c not in made or c == text_col]
+    docs, new = numbered(docs)
+    id_col, text_col = new(id_col), new(text_col)
+    docs = docs.select(*(new_name for new_name in docs.columns if new_name in {new(c) for c in columns} | {id_col}))
     starts = repeated_starts(docs, window, id_col, text_col, filter_bits)
     key = row_key(id_col, text_col)
     joined = docs.withColumns({"_id": key[0], "_th": key[1]}).join(starts, ["_id", "_th"], "left")
@@ -141,7 +204,8 @@ def remove_repeats(docs: DataFrame, window: int = 35, id_col: str = "doc_id",
                     + [pa.array(kept, pa.binary()).cast(pa.string()), pa.array(words, pa.int64()),
                        pa.array(removed, pa.int64())], names=schema.fieldNames())
 
-    return joined.mapInArrow(run, schema)
+    done = joined.mapInArrow(run, schema)
+    return done.select(*renamed(done, [c for c in columns if c not in made], new), *made)
 
 
 def cut(text: bytes, starts: np.ndarray, window: int) -> tuple[bytes, int]:

@@ -9,7 +9,7 @@ from collections.abc import Callable
 from typing import TypeVar
 
 from pyspark import Broadcast, cloudpickle
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 
 from tallyspark.session import checkpoint_dir
 
@@ -46,6 +46,17 @@ def drop_folder(spark: SparkSession, path: str) -> None:
     folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
+def numbered(df: DataFrame) -> tuple[DataFrame, Callable[[str], str]]:
+    """``df`` with its columns called c0, c1, ..., which no operator uses for
+    its own columns, and the function that gives a column's new name."""
+    return df.toDF(*(f"c{k}" for k in range(len(df.columns)))), lambda name: f"c{df.columns.index(name)}"
+
+
+def renamed(df: DataFrame, columns: list[str], new: Callable[[str], str]) -> list[Column]:
+    """These columns of the caller, under their own names again."""
+    return [df[new(c)].alias(c) for c in columns]
+
+
 def row_key(id_col: str, text_col: str) -> list:
     """Columns that tell rows apart by id and text, with nulls told from
     values: for joins back to a table whose ids may repeat or be null."""
