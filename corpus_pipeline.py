@@ -4,8 +4,9 @@ again as the next one's documents.
 Stages: quality rules (rejected documents go), MinHash near-dedup (one
 document of each group stays), substring dedup (repeated passages are cut from
 the texts), benchmark decontamination (documents with a leaked item go), and
-BPE (adds the ids of the whole text and a digest of the text they decode to).  All but the last return the columns of
-``documents``; ``n_chars`` is kept in step with a text that was cut.
+BPE (adds the ids of the whole text and a digest of the text they decode to).
+All but the last return the columns of ``documents``; ``n_chars`` is kept in
+step with a text that was cut.
 """
 
 from __future__ import annotations
@@ -17,6 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyspark.llm import bpe, decontaminate, near_dup, quality_rules, substring_dup
+from tallyspark.llm.tables import drop_folder
 from tallyspark.session import checkpoint_dir
 
 
@@ -58,10 +60,15 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``; each stage's output is a table in the
-    shared folder, so a lost executor costs no earlier stage."""
+    shared folder, so a lost executor costs no earlier stage.  A stage's table
+    goes when the next one is written; the last one's stays, as the result
+    reads it."""
     root = f"{checkpoint_dir(spark).rstrip('/')}/pipeline-{uuid.uuid4().hex}"
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES:
         stage(spark, docs, sf_dir).write.parquet(f"{root}/{name}")
         docs = spark.read.parquet(f"{root}/{name}")
+        if before:
+            drop_folder(spark, f"{root}/{before}")
+        before = name
     return docs
