@@ -10,9 +10,9 @@ that leaves out as many as may have changed: two near words agree on one of
 them at least, so an equi-join on the signatures finds every near pair.  Each
 candidate is then verified by its edit distance.
 
-Words of equal length are cut into the same ``SEGMENTS``.  For words one
-letter apart, the shorter one is cut as usual and the longer one once for each
-segment that may hold the added letter.
+Words of equal length are cut into the same ``SAME_SEGMENTS``.  For words one
+letter apart, the shorter one is cut into ``GROWN_SEGMENTS`` and the longer
+one once for each segment that may hold the added letter.
 
 A word's form is its near word that occurs most often, if it does so at least
 ``ratio`` times as often as the word itself.  Counts grow by that factor from
@@ -45,7 +45,7 @@ from .batches import binary_column, column_slices, mix
 from .tables import fixed
 
 RUN = re.compile("[A-Za-zÀ-ÿ]+")
-SEGMENTS = 3
+SAME_SEGMENTS, GROWN_SEGMENTS = 3, 2
 #: Cells for words of one length (two dimensions may differ) and for words one
 #: letter apart (one may).
 SAME_CELLS, GROWN_CELLS = 5, 4
@@ -111,13 +111,13 @@ class Letters:
         self.word = np.repeat(np.arange(len(words)), self.n)
         self.at = np.arange(len(self.code)) - np.repeat(np.cumsum(self.n) - self.n, self.n)
 
-    def cells(self, cells: int, grown: int | None = None) -> np.ndarray:
+    def cells(self, cells: int, segments: int, grown: int | None = None) -> np.ndarray:
         """Per word and cell, the sum of the hashes of its dimensions; with
         ``grown``, that segment is one letter longer than the others say."""
         short = self.n - (grown is not None)
         segment = np.zeros(len(self.code), np.int64)
-        for k in range(1, SEGMENTS):
-            cut = short * k // SEGMENTS + (grown is not None and k > grown)
+        for k in range(1, segments):
+            cut = short * k // segments + (grown is not None and k > grown)
             segment += self.at >= cut[self.word]
         dim = segment << 32 | self.code
         order = np.lexsort((dim, self.word))
@@ -152,13 +152,13 @@ def signed(words: DataFrame, longer: bool) -> DataFrame:
             if not batch.num_rows:
                 continue
             letters = Letters(batch.column("word").to_pylist())
-            sigs = list(enumerated(letters.cells(SAME_CELLS), letters.n, 2, 0))
+            sigs = list(enumerated(letters.cells(SAME_CELLS, SAME_SEGMENTS), letters.n, 2, 0))
             if longer:
-                for grown in range(SEGMENTS):
-                    sigs += enumerated(letters.cells(GROWN_CELLS, grown), letters.n - 1, 1, 1 + grown)
+                for grown in range(GROWN_SEGMENTS):
+                    sigs += enumerated(letters.cells(GROWN_CELLS, GROWN_SEGMENTS, grown), letters.n - 1, 1, 1 + grown)
             else:
-                sums = letters.cells(GROWN_CELLS)
-                for grown in range(SEGMENTS):
+                sums = letters.cells(GROWN_CELLS, GROWN_SEGMENTS)
+                for grown in range(GROWN_SEGMENTS):
                     sigs += enumerated(sums, letters.n, 1, 1 + grown)
             for sig in sigs:
                 yield pa.RecordBatch.from_arrays([pa.array(sig), batch.column("word"), batch.column("n")],

@@ -97,9 +97,9 @@ def test_every_near_pair_shares_a_signature():
         each = []
         for w, as_longer in ((short, False), (long, True)):
             x = S.Letters([w])
-            sigs = {int(s[0]) for s in S.enumerated(x.cells(S.SAME_CELLS), x.n, 2, 0)}
-            for g in range(S.SEGMENTS):
-                sums = x.cells(S.GROWN_CELLS, g if as_longer else None)
+            sigs = {int(s[0]) for s in S.enumerated(x.cells(S.SAME_CELLS, S.SAME_SEGMENTS), x.n, 2, 0)}
+            for g in range(S.GROWN_SEGMENTS):
+                sums = x.cells(S.GROWN_CELLS, S.GROWN_SEGMENTS, g if as_longer else None)
                 sigs |= {int(s[0]) for s in S.enumerated(sums, x.n - as_longer, 1, 1 + g)}
             each.append(sigs)
         assert each[0] & each[1], (a, b)
@@ -107,7 +107,7 @@ def test_every_near_pair_shares_a_signature():
 
 def test_letters_count_in_their_segment():
     x = S.Letters(["banana", "nabana", "ananab"])
-    assert len({tuple(r) for r in x.cells(4).tolist()}) == 3
+    assert len({tuple(r) for r in x.cells(4, 3).tolist()}) == 3
     assert np.array_equal(x.n, [6, 6, 6])
 
 
