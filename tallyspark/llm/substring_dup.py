@@ -8,12 +8,14 @@ consecutive words that also starts anywhere else, in any document.
    bit filter of a fixed size (``filter_bits``), which is all that is
    broadcast.
 2. Windows that hit the filter get a key of two more, independent Rabin-Karp
-   hashes over other word hashes, 128 bits in all, and are counted by it in
-   the same way: windows of equal 64-bit hashes that differ go apart here.
-3. A last pass sends the places of the windows that hit the filter to an exact
-   join with the repeated keys.  The filter only saves shuffle: when the
-   repeated windows outgrow it more windows go to the join, and the result
-   stays the same.
+   hashes over other word hashes, 128 bits in all: windows of equal 64-bit
+   hashes that differ go apart here.  A task knows the keys that repeat within
+   its own share at once.  It sends one row for each key: a window with its
+   place if the key is there once, else a mark without one.
+3. Spark counts the rows of each key -- one a task at most, however often the
+   window occurs -- and windows whose key has several are repeated too.  The
+   filter only saves shuffle: when the repeated windows outgrow it more
+   windows are sent, and the result stays the same.
 4. The window starts come back per document and merge into maximal intervals,
    which are cut from the text.
 
@@ -36,10 +38,11 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
-from .batches import RollingHash, binary_column, column_slices, space_words, word_hashes, word_hashes_128
+from .batches import RollingHash, binary_column, column_slices, mix, space_words, word_hashes, word_hashes_128
 from .filters import FILTER_BITS, bit_filter, hits
-from .tables import fixed, free_shuffles, numbered, renamed, row_key
+from .tables import free_shuffles, numbered, renamed, row_key
 
 FLUSH = 3_000_000
 _OTHER_BASE = 0xD6E8FEB86659FD93
@@ -60,46 +63,17 @@ class Keys:
         return [r.windows(h) for r, h in zip(self.rolling, word_hashes_128(space_words(text)))]
 
 
-def repeated_twice(g: np.ndarray, k: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Each different (g, k) once, and once more if it is there repeatedly."""
+def alone(g: np.ndarray, k: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which rows are the only ones with their (g, k), and the first row of
+    each (g, k) that has several."""
     order = np.lexsort((k, g))
     g, k = g[order], k[order]
     new = np.ones(len(g), bool)
     new[1:] = (g[1:] != g[:-1]) | (k[1:] != k[:-1])
-    second = ~new
-    second[1:] &= new[:-1]
-    return g[new | second], k[new | second]
-
-
-def count_keys(docs: DataFrame, window: int, text_col: str, filled: Broadcast, filter_bits: int) -> DataFrame:
-    """The keys (``g``, ``k``) that start more than once, of the windows that
-    hit the filter."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rolling, keys, held, n = RollingHash(window), Keys(window), [], 0
-
-        def flush() -> Iterator[pa.RecordBatch]:
-            if held:
-                g, k = repeated_twice(*(np.concatenate(x) for x in zip(*held)))
-                held.clear()
-                yield pa.RecordBatch.from_arrays([pa.array(g.view(np.int64)), pa.array(k.view(np.int64))],
-                                                 names=["g", "k"])
-
-        for whole in batches:
-            for batch in column_slices(whole, text_col):
-                for text in binary_column(batch, text_col):
-                    h = _window_hashes(text, rolling)
-                    hit = hits(h, filled.value, filter_bits) if len(h) else h.astype(bool)
-                    if hit.any():
-                        held.append([x[hit] for x in keys(text)])
-                        n += len(held[-1][0])
-                    if n >= FLUSH:
-                        n = 0
-                        yield from flush()
-        yield from flush()
-
-    hashes = docs.select(text_col).mapInArrow(run, "g long, k long").repartition("g", "k")
-    return hashes.groupBy("g", "k").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("g", "k")
+    last = np.append(new[1:], True)
+    single = np.zeros(len(g), bool)
+    single[order] = new & last
+    return single, order[new & ~last]
 
 
 def count_windows(docs: DataFrame, window: int, text_col: str = "text") -> DataFrame:
@@ -141,31 +115,59 @@ def repeated_starts(docs: DataFrame, window: int, id_col: str, text_col: str,
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(bit_filter(count_windows(docs, window, text_col), filter_bits))
     free_shuffles(spark)
-    repeated = fixed(count_keys(docs, window, text_col, shared, filter_bits))
-    free_shuffles(spark)
+    names = ["_id", "_th", "start", "starts", "g", "k"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rolling, keys, filled = RollingHash(window), Keys(window), shared.value
+        held, docs_held, n = [], [], 0
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            if not held:
+                return
+            doc, at, g, k = (np.concatenate(x) for x in zip(*held))
+            ids, ths = (np.array(x, np.int64) for x in zip(*docs_held))
+            held.clear(), docs_held.clear()
+            single, mark = alone(g, k)
+            yield batch_of(ids[doc[single]], ths[doc[single]], at[single], None, g[single], k[single])
+            none = np.zeros(len(mark), np.int64)
+            yield batch_of(none, none, np.full(len(mark), -1), None, g[mark], k[mark])
+            # Known to repeat: a row for each document, under a key of its own.
+            doc, at = doc[~single], at[~single]
+            first = np.flatnonzero(np.diff(doc, prepend=-1))
+            ends = np.append(first, len(doc)).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(at.astype(np.int32)))
+            own = doc[first]
+            yield batch_of(ids[own], ths[own], np.full(len(own), -1), lists, mix(ids[own].view(np.uint64)),
+                           ths[own].view(np.uint64))
+
+        def batch_of(ids, ths, at, lists, g, k) -> pa.RecordBatch:
+            lists = pa.nulls(len(ids), pa.list_(pa.int32())) if lists is None else lists
+            return pa.RecordBatch.from_arrays(
+                [pa.array(ids), pa.array(ths), pa.array(at.astype(np.int32)), lists,
+                 pa.array(g.view(np.int64)), pa.array(k.view(np.int64))], names=names)
+
         for whole in batches:
             for batch in column_slices(whole, text_col, 4 << 20):
                 ids, ths = (np.asarray(batch.column(c)) for c in ("_id", "_th"))
-                found = []
-                for k, text in enumerate(binary_column(batch, text_col)):
+                for row, text in enumerate(binary_column(batch, text_col)):
                     h = _window_hashes(text, rolling)
                     at = np.flatnonzero(hits(h, filled, filter_bits)) if len(h) else h
                     if len(at):
-                        found.append((np.full(len(at), k), at, *(x[at] for x in keys(text))))
-                if found:
-                    rows, at, one, two = (np.concatenate(x) for x in zip(*found))
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(ids[rows]), pa.array(ths[rows]), pa.array(at.astype(np.int32)),
-                         pa.array(one.view(np.int64)), pa.array(two.view(np.int64))],
-                        names=["_id", "_th", "start", "g", "k"])
+                        held.append((np.full(len(at), len(docs_held)), at, *(x[at] for x in keys(text))))
+                        docs_held.append((ids[row], ths[row]))
+                        n += len(at)
+                if n >= FLUSH // 2:
+                    n = 0
+                    yield from flush()
+        yield from flush()
 
     rows = docs.select(*row_key(id_col, text_col), text_col)
-    windows = rows.mapInArrow(run, "_id long, _th long, start int, g long, k long")
-    return (windows.join(repeated, ["g", "k"]).groupBy("_id", "_th")
-            .agg(F.collect_set("start").alias("starts")))
+    sent = rows.mapInArrow(run, "_id long, _th long, start int, starts array<int>, g long, k long")
+    several = F.count(F.lit(1)).over(Window.partitionBy("g", "k")) > 1
+    known = F.col("starts").isNotNull()
+    found = sent.withColumn("several", several).where(known | (F.col("several") & (F.col("start") >= 0)))
+    return found.groupBy("_id", "_th").agg(F.array_distinct(F.concat(
+        F.collect_set(F.when(~known, F.col("start"))), F.flatten(F.collect_list("starts")))).alias("starts"))
 
 
 def remove_repeats(docs: DataFrame, window: int = 35, id_col: str = "doc_id",

@@ -122,9 +122,10 @@ def test_each_size_class_has_its_own_index():
     assert [len(values) for values, _ in index.sketches[5]] == sorted(len(values) for values, _ in index.sketches[5])
 
 
-@pytest.mark.parametrize("kinds", [8, 1])
-def test_windows_whose_short_hashes_clash_stay_apart(spark, monkeypatch, kinds):
+@pytest.mark.parametrize("kinds, flush", [(8, 3_000_000), (1, 3_000_000), (1 << 60, 60), (8, 2)])
+def test_windows_whose_short_hashes_clash_stay_apart(spark, monkeypatch, kinds, flush):
     rows = corpus(seed=9, n=50)
+    monkeypatch.setattr(substring_dup, "FLUSH", flush)
     real = substring_dup._window_hashes
     monkeypatch.setattr(substring_dup, "_window_hashes", lambda t, r: real(t, r) % np.uint64(kinds))
     got = substring_dup.remove_repeats(documents(spark, rows), window=35)
