@@ -46,7 +46,7 @@ def word_hashes(words: list[bytes]) -> np.ndarray:
 
 def word_hashes_128(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Both halves of a 128-bit hash of each word."""
-    both = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, words)), ">u8").astype(np.uint64).reshape(-1, 2)
+    both = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, words)), "<u8").reshape(-1, 2)
     return both[:, 0], both[:, 1]
 
 

@@ -7,9 +7,9 @@ consecutive words that also starts anywhere else, in any document.
    costs two rows per task.  The hashes counted more than once are put into a
    bit filter of a fixed size (``filter_bits``), which is all that is
    broadcast.
-2. Windows that hit the filter get a key of two more, independent Rabin-Karp
-   hashes over other word hashes, 128 bits in all: windows of equal 64-bit
-   hashes that differ go apart here.  A task knows the keys that repeat within
+2. Windows that hit the filter get a second Rabin-Karp hash with another base
+   over other word hashes, 128 bits in all: windows of equal 64-bit hashes
+   that differ go apart here.  A task knows the keys that repeat within
    its own share at once.  It sends one row for each key: a window with its
    place if the key is there once, else a mark without one.
 3. Spark counts the rows of each key -- one a task at most, however often the
@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .batches import RollingHash, binary_column, column_slices, mix, space_words, word_hashes, word_hashes_128
+from .batches import RollingHash, binary_column, column_slices, mix, space_words, word_hashes_128
 from .filters import FILTER_BITS, bit_filter, hits
 from .tables import fixed, free_shuffles, numbered, renamed, row_key
 
@@ -49,18 +49,21 @@ _OTHER_BASE = 0xD6E8FEB86659FD93
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 
 
-def _window_hashes(text: bytes | None, rolling: RollingHash) -> np.ndarray:
-    return rolling.windows(word_hashes(space_words(text)))
-
-
-class Keys:
-    """The 128-bit keys of a text's windows, as two numbers each."""
+class Windows:
+    """Two independent 64-bit hashes of each window of a text.  The first is
+    what the filter holds, both together are the window's key."""
 
     def __init__(self, window: int):
         self.rolling = RollingHash(window), RollingHash(window, _OTHER_BASE)
 
-    def __call__(self, text: bytes | None) -> list[np.ndarray]:
-        return [r.windows(h) for r, h in zip(self.rolling, word_hashes_128(space_words(text)))]
+    def words(self, text: bytes | None) -> tuple[np.ndarray, np.ndarray]:
+        return word_hashes_128(space_words(text))
+
+    def first(self, words: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+        return self.rolling[0].windows(words[0])
+
+    def second(self, words: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+        return self.rolling[1].windows(words[1])
 
 
 def alone(g: np.ndarray, k: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -80,7 +83,7 @@ def count_windows(docs: DataFrame, window: int, text_col: str = "text") -> DataF
     """The hashes (``h``) of the windows that start more than once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rolling = RollingHash(window)
+        windows = Windows(window)
         held, n = [], 0
 
         def flush() -> Iterator[pa.RecordBatch]:
@@ -93,7 +96,7 @@ def count_windows(docs: DataFrame, window: int, text_col: str = "text") -> DataF
         for whole in batches:
             for batch in column_slices(whole, text_col):
                 for text in binary_column(batch, text_col):
-                    h = _window_hashes(text, rolling)
+                    h = windows.first(windows.words(text))
                     held.append(h)
                     n += len(h)
                     if n >= FLUSH:
@@ -119,7 +122,7 @@ def repeated_starts(docs: DataFrame, window: int, id_col: str, text_col: str,
     names = ["_id", "_th", "start", "starts", "g", "k"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rolling, keys, filled = RollingHash(window), Keys(window), shared.value
+        windows, filled = Windows(window), shared.value
         held, docs_held, n = [], [], 0
 
         def flush() -> Iterator[pa.RecordBatch]:
@@ -151,10 +154,11 @@ def repeated_starts(docs: DataFrame, window: int, id_col: str, text_col: str,
             for batch in column_slices(whole, text_col, 4 << 20):
                 ids, ths = (np.asarray(batch.column(c)) for c in ("_id", "_th"))
                 for row, text in enumerate(binary_column(batch, text_col)):
-                    h = _window_hashes(text, rolling)
+                    words = windows.words(text)
+                    h = windows.first(words)
                     at = np.flatnonzero(hits(h, filled, filter_bits)) if len(h) else h
                     if len(at):
-                        held.append((np.full(len(at), len(docs_held)), at, *(x[at] for x in keys(text))))
+                        held.append((np.full(len(at), len(docs_held)), at, h[at], windows.second(words)[at]))
                         docs_held.append((ids[row], ths[row]))
                         n += len(at)
                 if n >= FLUSH // 2:

@@ -126,8 +126,8 @@ def test_each_size_class_has_its_own_index():
 def test_windows_whose_short_hashes_clash_stay_apart(spark, monkeypatch, kinds, flush):
     rows = corpus(seed=9, n=50)
     monkeypatch.setattr(substring_dup, "FLUSH", flush)
-    real = substring_dup._window_hashes
-    monkeypatch.setattr(substring_dup, "_window_hashes", lambda t, r: real(t, r) % np.uint64(kinds))
+    real = substring_dup.Windows.first
+    monkeypatch.setattr(substring_dup.Windows, "first", lambda self, w: real(self, w) % np.uint64(kinds))
     got = substring_dup.remove_repeats(documents(spark, rows), window=35)
     want = [(i, n, gone, " ".join(kept)) for (i, _), (n, gone, kept) in zip(rows, without_repeats(rows, 35))]
     assert Counter((r["doc_id"], r["n_words"], r["n_removed"], " ".join(words(r["kept_text"])))
