@@ -84,7 +84,7 @@ class Vocabulary:
 class Encoder:
     """Encodes texts; one per task.  ``cache`` bounds the remembered words and pairs."""
 
-    def __init__(self, path: str, cache: int = 1_000_000):
+    def __init__(self, path: str, cache: int = 200_000):
         v = self.v = Vocabulary(path)
         self.cache = cache
         self.words: dict[str, bytes] = {}
