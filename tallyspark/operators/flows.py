@@ -51,8 +51,8 @@ def turnover(moded: DataFrame, base: str = fixed.BASE_CCY) -> DataFrame:
                                  F.sum("fcy_amount").alias("fcy_amount")), base)
 
 
-def turnover_of_nets(net: DataFrame, base: str = fixed.BASE_CCY) -> DataFrame:
-    """The second level of C16, from the nets of the first."""
+def turnover_of_nets(net: DataFrame, base: str = fixed.BASE_CCY, run: tuple[str, ...] = ()) -> DataFrame:
+    """The second level of C16, from the nets of the first (for each ``run``)."""
     drcr, mode, ccy = F.col("drcr_ind"), F.col("trn_mode"), F.col("ac_ccy")
 
     def is_debit(a):
@@ -69,8 +69,8 @@ def turnover_of_nets(net: DataFrame, base: str = fixed.BASE_CCY) -> DataFrame:
             m[f"{md}{side}_equivalentmmk"] = _sum0((mode == md) & test(lcy), F.abs(lcy))
             m[f"{md}{side}_currencyunit"] = _sum0(foreign & (mode == md) & test(fcy), F.abs(fcy))
     aggs = [m[c].alias(c) for c in TURNOVER_COLUMNS if c in m]
-    out = net.groupBy("gl_code", "ac_ccy").agg(*aggs)
-    return out.select("gl_code", "ac_ccy",
+    out = net.groupBy(*run, "gl_code", "ac_ccy").agg(*aggs)
+    return out.select(*run, "gl_code", "ac_ccy",
                       *[(F.col(c) if c in m else _zero()).alias(c) for c in TURNOVER_COLUMNS])
 
 

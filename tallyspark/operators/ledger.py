@@ -137,10 +137,12 @@ def _own_cash(type_col: str) -> Column:
     return F.coalesce(F.col(type_col) == fixed.CASH_GL_TYPE, F.lit(False))
 
 
-def net_by_mode(ds: DataFrame, type_col: str = "type") -> DataFrame:
+def net_by_mode(ds: DataFrame, type_col: str = "type", run: tuple[str, ...] = ()) -> DataFrame:
     """The entries' sums per (``gl_code``, ``ac_ccy``, ``drcr_ind``,
     ``trn_mode``): what summing the rows of ``classify_mode`` gives, without
-    the rows and without a join of the day with itself.
+    the rows and without a join of the day with itself.  ``run`` names columns
+    that tell the entries of several runs apart (never NULL); each run is
+    netted by itself.
 
     The entries are first summed per transaction key, GL code and side, map
     side too, so a key that holds a third of the day comes down to a row for
@@ -148,11 +150,11 @@ def net_by_mode(ds: DataFrame, type_col: str = "type") -> DataFrame:
     a cash leg beside them.
     """
     own = _own_cash(type_col)
-    per = ds.groupBy(*MODE_KEYS, "gl_code", "drcr_ind", own.alias("_cash")).agg(
+    per = ds.groupBy(*run, *MODE_KEYS, "gl_code", "drcr_ind", own.alias("_cash")).agg(
         F.sum("lcy_amount").alias("_lcy"), F.sum("fcy_amount").alias("_fcy"))
-    has = F.max(F.col("_cash") & _mode_keys_known()).over(Window.partitionBy(*MODE_KEYS))
+    has = F.max(F.col("_cash") & _mode_keys_known()).over(Window.partitionBy(*run, *MODE_KEYS))
     moded = per.withColumn("_has", has).withColumn("trn_mode", F.explode(_modes(F.col("_cash"), F.col("_has"))))
-    return moded.groupBy("gl_code", "ac_ccy", "drcr_ind", "trn_mode").agg(
+    return moded.groupBy(*run, "gl_code", "ac_ccy", "drcr_ind", "trn_mode").agg(
         F.sum("_lcy").alias("lcy_amount"), F.sum("_fcy").alias("fcy_amount"))
 
 

@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tallyspark.plans import backfill as B
 from tallyspark.plans import params as P
 from tallyspark.plans import reports as R
 from tallyspark.sources import TestdataSource
@@ -55,6 +56,8 @@ REPORT_QUERIES: dict[str, Query] = {
     "report_open_close": _q(lambda s: R.open_close_counts(s, P.OPEN_CLOSE_FROM, P.OPEN_CLOSE_TO)),
     "report_turnover": _q(lambda s: R.gl_turnover(s, P.TURNOVER_DAY)),
     "dump_lookup": _q(R.field_labels),
+    "backfill_turnover": _q(lambda s: B.gl_turnover_of_days(s, P.BACKFILL_DAYS)),
+    "backfill_cash_in_out": _q(lambda s: B.cash_in_out_of_windows(s, P.BACKFILL_WINDOWS)),
 }
 
 

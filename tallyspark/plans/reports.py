@@ -79,8 +79,12 @@ def cash_in_out_by_zone(src, date_from: date, date_to: date,
 def turnover_working_set(src, on: date) -> DataFrame:
     """The postable, unreversed entries of one day with their tenor-coded
     GL and the GL type."""
-    led = src.table("ledger_entry")
-    day, hot = postable(in_window(led, on)), in_window(src.table("hot_key"), on)
+    return turnover_entries(src, in_window(src.table("ledger_entry"), on), in_window(src.table("hot_key"), on))
+
+
+def turnover_entries(src, entries: DataFrame, hot: DataFrame) -> DataFrame:
+    """The working set of R7 for the entries of any days."""
+    day = postable(entries)
     day = exclude_reversed(day, src.table("reversal_entry"), "ref_code", hot=hot)
     enriched = with_natural_gl(day, src.table("account_gl_map"), src.table("deposit_term"), hot=hot)
     gl = src.table("gl_master").select("gl_code", "type")
