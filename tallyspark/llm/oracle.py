@@ -108,20 +108,23 @@ from d left join kept k on k.doc_id = d.doc_id"""
 
 
 def licenses() -> str:
-    items = license_scan.templates(license_scan.PHRASES, license_scan.TEMPLATES)
-    rows = ", ".join(f"({t.number}, '{t.label}', {str(t.exact).lower()}, '{' '.join(t.words)}')" for t in items)
+    items = license_scan.templates()
+    rows = ", ".join(f"({t.number}, '{t.label}', {str(t.exact).lower()}, {t.gram}, '{' '.join(t.words)}')"
+                     for t in items)
     return f"""
 with template as (
-  select n as template, label, exact, string_split(t, ' ') as tw from (values {rows}) v(n, label, exact, t)),
+  select n as template, label, exact, gram, string_split(t, ' ') as tw
+  from (values {rows}) v(n, label, exact, gram, t)),
 grams as (
-  select template, i - 1 as pos, tw[i] || ' ' || tw[i + 1] as g
-  from (select template, tw, unnest(range(1, len(tw))) as i from template)),
+  select template, gram, i - 1 as pos, array_to_string(tw[i:i + gram - 1], ' ') as g
+  from (select template, gram, tw, unnest(range(1, len(tw) - gram + 2)) as i from template)),
 wanted as (select template, count(*) as places, count(distinct g) as kinds from grams group by template),
 d as (select doc_id, {_alnum()} as w from documents),
 hits as (
   select doc_id, template, i - 1 - pos as diagonal, pos
-  from (select doc_id, i, w[i] || ' ' || w[i + 1] as g
-        from (select doc_id, w, unnest(range(1, len(w))) as i from d)) join grams using (g)),
+  from (select doc_id, i, gram, array_to_string(w[i:i + gram - 1], ' ') as g
+        from (select doc_id, w, gram, unnest(range(1, len(w) - gram + 2)) as i
+              from d, (select distinct gram from template))) join grams using (g, gram)),
 diagonals as (select doc_id, template, diagonal, min(pos) as a, max(pos) as b from hits group by all),
 breaks as (
   select x.*, if(diagonal - lag(diagonal) over o <= if(exact, 0, {license_scan.SLACK}), 0, 1) as fresh
@@ -133,15 +136,16 @@ spans as (
          max(f.diagonal + f.b) as high, count(distinct h.pos) as n
   from finds f join hits h using (doc_id, template, diagonal) group by all),
 cut as (
-  select doc_id, template, label, exact, if(exact, start, low) as first, kinds,
-         w[if(exact, start, low) + 1:high + {license_scan.GRAM}] as s
+  select doc_id, template, label, exact, gram, if(exact, start, low) as first, kinds,
+         w[if(exact, start, low) + 1:high + gram] as s
   from spans join template using (template) join wanted using (template) join d using (doc_id)
   where n >= if(exact, 1.0::double, {license_scan.LEAST_SHARE}::double) * places),
 shared as (
   select c.doc_id, c.template, any_value(label) as label, any_value(exact) as exact, c.first,
-         count(distinct c.s[k] || ' ' || c.s[k + 1])::double / any_value(kinds) as share
-  from (select *, unnest(range(1, len(s))) as k from cut) c
-  semi join grams g on g.template = c.template and g.g = c.s[c.k] || ' ' || c.s[c.k + 1]
+         count(distinct c.g)::double / any_value(kinds) as share
+  from (select *, array_to_string(s[k:k + gram - 1], ' ') as g
+        from (select *, unnest(range(1, len(s) - gram + 2)) as k from cut)) c
+  semi join grams g on g.template = c.template and g.g = c.g
   group by c.doc_id, c.template, c.first, c.s),
 good as (
   select distinct * from shared

@@ -148,3 +148,43 @@ def test_license_scan_has_no_python(spark):
 
 def test_license_scan_of_an_empty_table(spark):
     assert license_scan.scan(documents(spark, [])).count() == 0
+
+
+def license_text(label):
+    return next(t for t, name in license_scan.TEXTS.items() if name == label)
+
+
+def with_slips(text, every):
+    return " ".join("zz" if k % every == every - 1 else w for k, w in enumerate(text.split()))
+
+
+@pytest.mark.parametrize("label", sorted(license_scan.TEXTS.values()))
+def test_whole_license_texts(spark, label):
+    text = license_text(label)
+    half = " ".join(text.split()[:len(text.split()) // 2])
+    rows = [(1, text.upper()), (2, "some code\n" * 40 + with_slips(text, 40) + "\nmore code"), (3, with_slips(text, 4)),
+            (4, half), (5, text + "\n" + "other words " * 30 + text)]
+    got = {r["doc_id"]: r for r in license_scan.scan(documents(spark, rows)).collect()}
+    has = {k: label in r["labels"].split(",") for k, r in got.items()}
+    assert has == {1: True, 2: True, 3: False, 4: False, 5: True}
+    assert got[1]["score"] == 1
+    whole = [t.number for t in license_scan.templates() if t.label == label]
+    found = license_scan.find_licenses(documents(spark, rows)).where(F.col("template").isin(whole)).select(
+        "_id", "first", "stop").collect()
+    n = len(text.split())
+    assert {(1, 0, n), (5, 0, n), (5, n + 60, 2 * n + 60)} <= {tuple(r) for r in found}
+
+
+def test_one_license_is_not_taken_for_another(spark):
+    texts = list(license_scan.TEXTS.items())
+    got = license_scan.scan(documents(spark, [(k, t) for k, (t, _) in enumerate(texts)])).collect()
+    for r in got:
+        assert {x for x in r["labels"].split(",") if x in license_scan.TEXTS.values()} == {texts[r["doc_id"]][1]}
+
+
+def test_a_callers_long_template(spark):
+    rng = __import__("random").Random(4)
+    words_of = [f"v{rng.randrange(900)}" for _ in range(4000)]
+    rows = [(1, "x y z " + " ".join(words_of)), (2, " ".join(words_of[:2000])), (3, " ".join(words_of[::-1]))]
+    got = license_scan.scan(documents(spark, rows), wording={" ".join(words_of): "house"}).collect()
+    assert {r["doc_id"]: r["labels"] for r in got} == {1: "house", 2: "", 3: ""}
