@@ -110,6 +110,28 @@ def test_more_languages_than_a_word_has_bits(spark):
     assert all(r["lang_pred"] == f"l{r['doc_id']:03}" for r in got) and len(got) == 150
 
 
+def test_blocks_of_languages_decide_like_one_filter(spark):
+    rng = random.Random(7)
+    say = [[chr(0x61 + rng.randrange(26)) + chr(0x61 + (3 * k + rng.randrange(9)) % 26) * 2 + chr(0xE0 + k) * (k % 2)
+            for _ in range(12)] for k in range(23)]
+    rows = [(100 * k + n, " ".join(say[k]), f"l{k:02}", None, 0) for k in range(23) for n in range(1 + k % 3)]
+    labelled = spark.createDataFrame(rows, documents(spark, []).schema)
+    texts = [(k, " ".join(rng.sample(say[k % 23], 5) + say[(k * 5) % 23][:2])) for k in range(200)]
+    docs = documents(spark, [*texts, (1, None), (2, ""), (3, "12"), (4, "\u10e5")]).selectExpr(
+        "*", "'x' as score", "1 as language", "2 as total", "3 as c0")
+    one = langid.predict(docs, langid.train(labelled))
+    for block in (1, 4, 10, 22):
+        some = list(langid.filters(labelled, block=block))
+        assert sum(len(f.languages) for f in some) == 23 and len(some) > 1
+        got = langid.predict(docs, iter(some))
+        assert got.columns == one.columns
+        key = lambda r: (r["doc_id"], r["text"] or "")
+        for a, b in zip(sorted(one.collect(), key=key), sorted(got.collect(), key=key), strict=True):
+            assert a["score"] == pytest.approx(b["score"])
+            assert a.asDict() | {"score": 0} == b.asDict() | {"score": 0}
+    assert [f.languages for f in langid.filters(labelled.limit(0), block=4)] == [[]]
+
+
 def test_filter_masks_and_chance():
     rng = np.random.default_rng(1)
     grams = {bit: rng.integers(-2 ** 63, 2 ** 63, 3000).tolist() for bit in range(20)}
