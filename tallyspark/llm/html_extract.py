@@ -48,6 +48,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from tallyspark.operators.relational import salted_join
+
 from .batches import column_slices
 from .filters import bit_filter, hits
 from .tables import fixed, numbered, renamed
@@ -90,6 +92,9 @@ FILTER_BITS = 1 << 23
 #: A line that this share of a host's different texts has (of so many texts at
 #: least) is its template, whatever its share of a page.
 COMMON, LEAST_TEXTS = 0.9, 3
+#: Hosts, lines, prefixes and partners with so many rows are dealt over
+#: ``SALTS`` tasks each; at most ``HOT_KEYS`` of a kind are, the largest.
+HOT_ROWS, HOT_KEYS, SALTS = 20_000, 10_000, 64
 
 
 def _boilerplate(name: str, attributes: str, sure: bool) -> bool:
@@ -293,6 +298,16 @@ def _prefixes(url: Column) -> Column:
     return F.when(host != "", both)
 
 
+def _spread(many: DataFrame, one: DataFrame, on: list[str], by: str, counts: DataFrame) -> DataFrame:
+    """``many`` joined with ``one``, a row per key.  ``counts`` has the ``rows``
+    of the first of ``on``: rows of keys with very many are dealt by a hash of
+    ``by``, and their row of ``one`` is copied.  A key left out by the limit has
+    fewer rows than each of ``HOT_KEYS`` others."""
+    hot = counts.where(F.col("rows") >= HOT_ROWS).orderBy(F.desc("rows")).limit(HOT_KEYS).select(
+        F.lit(on[0]).alias("kind"), F.col(on[0]).alias("key"))
+    return salted_join(many, one.drop("rows"), on, salts=SALTS, spread=[by], hot=hot)
+
+
 def _offers(pages: DataFrame, asking: DataFrame) -> DataFrame:
     """``pk``, ``depth``, ``partner``: for each prefix of the url of an asking
     page a page below it that has another text."""
@@ -303,9 +318,10 @@ def _offers(pages: DataFrame, asking: DataFrame) -> DataFrame:
                 .select("pk", "content", F.col("pos").alias("depth"), F.xxhash64("col").alias("prefix")))
 
     one = F.struct("content", "pk")
-    ends = fixed(levels(pages).groupBy("prefix").agg(F.min(one).alias("low"), F.max(one).alias("high"))
+    ends = fixed(levels(pages).groupBy("prefix").agg(
+        F.min(one).alias("low"), F.max(one).alias("high"), F.count(F.lit(1)).alias("rows"))
                  .where("low.content <> high.content"))
-    return levels(asking).join(ends, "prefix").select("pk", "depth", F.when(
+    return _spread(levels(asking), ends, ["prefix"], "pk", ends).select("pk", "depth", F.when(
         F.col("high.content") != F.col("content"), F.col("high.pk")).otherwise(F.col("low.pk")).alias("partner"))
 
 
@@ -323,13 +339,15 @@ def _asking(known: DataFrame) -> DataFrame:
     ``common``, their lines that nearly all texts of the host have."""
     hosted = known.where(F.size("lines") > 0).withColumn("host", F.xxhash64(_host(F.col("url")))).where(
         _host(F.col("url")) != "")
-    texts = hosted.groupBy("host").agg(F.count_distinct("content").alias("texts"))
-    shared = (hosted.select("host", "content", F.explode("lines").alias("line"))
-              .groupBy("host", "line").agg(F.count_distinct("content").alias("n")).where("n > 1")
-              .join(texts, "host").select("host", "line", (
-                  (F.col("texts") >= LEAST_TEXTS) & (F.col("n") >= COMMON * F.col("texts"))).alias("common")))
+    texts = fixed(hosted.groupBy("host").agg(
+        F.count_distinct("content").alias("texts"), F.sum(F.size("lines")).alias("rows")))
+    lines = (hosted.select("host", "content", F.explode("lines").alias("line")).groupBy("host", "line")
+             .agg(F.count_distinct("content").alias("n"), F.count(F.lit(1)).alias("times")).where("n > 1"))
+    shared = fixed(_spread(lines, texts, ["host"], "line", texts).select("line", "host", (
+        (F.col("texts") >= LEAST_TEXTS) & (F.col("n") >= COMMON * F.col("texts"))).alias("common"),
+        F.col("times").alias("rows")))
     mine = hosted.select("pk", "host", "sure", F.explode(F.array_distinct("mine")).alias("line"))
-    found = mine.join(shared, ["host", "line"]).where("common or not sure").groupBy("pk").agg(
+    found = _spread(mine, shared, ["line", "host"], "pk", shared).where("common or not sure").groupBy("pk").agg(
         F.collect_set(F.when(F.col("common"), F.col("line"))).alias("common"))
     return known.join(found, "pk")
 
@@ -338,10 +356,11 @@ def _deletions(known: DataFrame) -> DataFrame:
     """``_pk`` and ``_gone``, the places of the lines that go, for the pages
     that lose any."""
     asking = fixed(_asking(known))
-    offers = _offers(known.where(F.size("lines") > 0), asking).groupBy("pk", "partner").agg(
-        F.max("depth").alias("depth"))
+    offers = fixed(_offers(known.where(F.size("lines") > 0), asking).groupBy("pk", "partner").agg(
+        F.max("depth").alias("depth")))
     other = known.select(F.col("pk").alias("partner"), F.col("lines").alias("other"))
-    pairs = offers.join(asking.select("pk", "sure", "mine", "sizes", "common"), "pk").join(other, "partner")
+    pairs = _spread(offers.join(asking.select("pk", "sure", "mine", "sizes", "common"), "pk"), other, ["partner"], "pk",
+                    offers.groupBy("partner").agg(F.count(F.lit(1)).alias("rows")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:

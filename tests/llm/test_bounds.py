@@ -82,6 +82,30 @@ def test_labelled_rows_are_bounded(spark):
     assert seen[0][0] == 100 and seen[1] == (0, set())
 
 
+def plain_features(text):
+    text = text or ""
+    w = words(text)
+    if not w:
+        return [0.0] * len(quality_model.FEATURES)
+    raw, n = text.encode(), len(w)
+    windows = [tuple(w[k:k + 3]) for k in range(n - 2)]
+    times = Counter(windows)
+    covered = {k + i for k, x in enumerate(windows) if times[x] > 1 for i in range(3)}
+    lines = [x for x in text.split("\n") if words(x)]
+    per = {c: raw.count(c.encode()) / n for c in "#*$%&|<>{}[]\\^~_=+@"}
+    return [np.log(1 + n), len(raw) / n, len(set(w)) / n, max(Counter(w).values()) / n, len(covered) / n,
+            1 - len(set(lines)) / len(lines), n / len(lines), sum(per.values()), raw.count(b"!") / n,
+            raw.count(b".") / n, sum(65 <= c <= 90 for c in raw) / len(raw), sum(48 <= c <= 57 for c in raw) / len(raw),
+            sum(c > 127 for c in raw) / len(raw)]
+
+
+def test_features_equal_plain_loops():
+    texts = [t for _, t in corpus(seed=3, n=40)] + ["A b C a b C\nx\n\nx\n!!! 1.5 #@", "a b c a b c a b c", "É\u00a0é ß", "\x0b x",
+                                                    "#*$%&|<>{}[]\\^~_=+@ . !"]
+    got = quality_model.feature_matrix([None if t is None else t.encode() for t in texts])
+    assert np.allclose(got, [plain_features(t) for t in texts])
+
+
 def test_logit_is_the_sum_of_the_tables():
     rng = np.random.default_rng(3)
     x = rng.random((400, 4))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from tallyspark.llm import html_extract, queries
@@ -52,7 +53,7 @@ def test_shared_lines_are_a_longest_common_subsequence():
         assert all(a[i] in rest for i in used)
 
 
-def test_huge_pages_take_the_chain_of_unique_lines(monkeypatch):
+def test_rows_beyond_memory_are_made_again(monkeypatch):
     monkeypatch.setattr(html_extract, "_MOST_CELLS", 1)
     a, b = ["x", "m1", "m2", "y", "m3"], ["m1", "z", "m2", "m3", "w"]
     assert html_extract.shared_lines(a, b) == {1, 2, 4}
@@ -159,3 +160,24 @@ def test_every_page_of_the_table(spark):
                   for x in re.split(r"</?(?:p|h1)>", article)]
         want = "\n".join(b for b in blocks if b)
         assert got[r["page_id"]]["text"] == want and got[r["page_id"]]["n_chars"] == len(want)
+
+
+@pytest.mark.parametrize("rows, keys, salts", [(1, 10_000, 5), (2, 1, 64), (3, 2, 2)])
+def test_any_pick_of_hot_keys_gives_the_same_texts(spark, monkeypatch, rows, keys, salts):
+    rng = random.Random(11)
+    menus = {h: [f"{h} menu {k}" for k in range(4)] for h in ("big", "small", "lone")}
+    pages = []
+    for k in range(120):
+        host = "big" if k % 3 else rng.choice(list(menus))
+        own = [f"story {k // 2 if k % 7 == 0 else k} line {n} {rng.randrange(3) if n % 5 == 0 else ''}"
+               for n in range(rng.randrange(1, 9))]
+        lines = menus[host][:2] + own + menus[host][2:]
+        body = "".join(f"<p>{x}</p>" for x in lines)
+        pages.append((k, f"http://{host}/d{k % 4}/{k}", f"<article>{body}</article>" if k % 10 == 0 else body))
+    pages += [(200, None, "<p>a</p>"), (201, "http://big/d1/1", None), (202, "nothing", "<p>big menu 1</p>")]
+    table = spark.createDataFrame(pages, "page_id long, url string, html string")
+    want = sorted(map(tuple, html_extract.extract(table).collect()), key=str)
+    assert sum("menu" in (r[2] or "") for r in want) < 40  # the templates went
+    for name, value in (("HOT_ROWS", rows), ("HOT_KEYS", keys), ("SALTS", salts)):
+        monkeypatch.setattr(html_extract, name, value)
+    assert sorted(map(tuple, html_extract.extract(table).collect()), key=str) == want
