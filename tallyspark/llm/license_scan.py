@@ -170,13 +170,8 @@ def words_of(text: Column) -> Column:
     return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), SEPARATORS), lambda w: w != "")
 
 
-def _grams(words: str, gram: int) -> Column:
-    at = ", ".join(f"get({words}, i + {k})" for k in range(gram))
-    return F.expr(f"transform(slice({words}, 1, {_places(words, gram)}), (w, i) -> xxhash64({at}))")
-
-
-def _places(words: str, gram: int) -> str:
-    return f"greatest(size({words}) - {gram - 1}, 0)"
+def _hash(words: str, gram: int, at: str) -> str:
+    return "xxhash64(" + ", ".join(f"get({words}, {at} + {k})" for k in range(gram)) + ")"
 
 
 def _facts(items: list[Template]) -> Column:
@@ -189,19 +184,24 @@ def _facts(items: list[Template]) -> Column:
 def votes(docs: DataFrame, items: list[Template], id_col: str, text_col: str) -> DataFrame:
     """Per text, template and diagonal: the template places that voted."""
     rows = docs.select(*row_key(id_col, text_col), words_of(F.col(text_col)).alias("words"))
-    # Both kinds of grams by one generator: the long ones after the short ones.
-    short = F.expr(_places("words", GRAM)).alias("short")
-    places = rows.select("_id", "_th", short, F.posexplode(
-        F.concat(_grams("words", GRAM), _grams("words", LONG_GRAM))).alias("place", "h"))
     table = docs.sparkSession.createDataFrame(
         [(t.number, t.gram, k, t.words[k:k + t.gram]) for t in items for k in range(len(t.grams))],
         "template int, gram int, at int, words array<string>")
-    hashed = [F.xxhash64(*[F.col("words")[k] for k in range(gram)]) for gram in (GRAM, LONG_GRAM)]
-    table = table.select(F.when(F.col("gram") == GRAM, hashed[0]).otherwise(hashed[1]).alias("h"),
-                         "template", "gram", "at")
-    hits = places.join(F.broadcast(table), "h")  # the templates' grams, some 1,500 fixed rows
-    hits = hits.where((F.col("place") < F.col("short")) == (F.col("gram") == GRAM)).withColumn(
-        "place", F.when(F.col("gram") == GRAM, F.col("place")).otherwise(F.col("place") - F.col("short")))
+    pair, long = (F.expr(_hash("words", gram, "0")) for gram in (GRAM, LONG_GRAM))
+    table = table.select("gram", F.when(F.col("gram") == GRAM, pair).otherwise(long).alias("h"), "template", "at",
+                         pair.alias("pair"))
+    # The first two words of the templates' grams: a fixed, small set.  Only
+    # places with one of them are hashed by longer grams and sent to the join.
+    first = ", ".join(f"{r['pair']}L" for r in table.select("pair").distinct().orderBy("pair").collect()) or "NULL"
+    rows = rows.withColumn("pairs", F.expr(
+        f"transform(slice(words, 1, greatest(size(words) - {GRAM - 1}, 0)), (w, i) -> {_hash('words', GRAM, 'i')})"))
+    rows = rows.withColumn("starts", F.expr(
+        f"filter(transform(pairs, (h, i) -> if(h in ({first}), i, null)), i -> i is not null)"))
+    places = rows.select("_id", "_th", F.inline(F.expr(
+        f"concat(transform(starts, i -> struct(i as place, {GRAM} as gram, get(pairs, i) as h)), "
+        f"transform(filter(starts, i -> i + {LONG_GRAM} <= size(words)), "
+        f"i -> struct(i as place, {LONG_GRAM} as gram, {_hash('words', LONG_GRAM, 'i')} as h)))")))
+    hits = places.join(F.broadcast(table.drop("pair")), ["gram", "h"])  # some 1,500 fixed rows
     # Repeated rows vote twice for the same places, hence sets.
     return hits.groupBy("_id", "_th", "template", (F.col("place") - F.col("at")).alias("diagonal")).agg(
         F.collect_set("at").alias("at"))
