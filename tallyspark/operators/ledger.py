@@ -7,6 +7,7 @@ GL codes), C14 (amount in currency units) and C25 (postable entries).
 from __future__ import annotations
 
 from datetime import date
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -14,7 +15,7 @@ from pyspark.sql.window import Window
 
 from tallyspark import fixed
 from tallyspark.functions.oracle import oracle_concat
-from tallyspark.operators.relational import salted_join
+from tallyspark.operators.relational import lookup_join, salted_join
 
 
 def in_window(ledger: DataFrame, date_from: date, date_to: date | None = None) -> DataFrame:
@@ -57,6 +58,10 @@ def unit_amount(ccy="ac_ccy", lcy="lcy_amount", fcy="fcy_amount",
 
 
 # ---------------------------------------------------------------- GL codes
+#: Columns that tell the entries of one account apart.
+ENTRY_COLUMNS = ("trn_ref_no", "ac_entry_sr_no", "lcy_amount")
+
+
 def tenor_gl_bucket(gl="gl_code", days="orig_tenor_days") -> Column:
     """The turnover report's GL code.
 
@@ -97,22 +102,37 @@ def tenor_gl_first(cust_gl="cust_gl", natural="ac_natural_gl", ac_no="ac_no",
 
 
 def with_natural_gl(ledger: DataFrame, account_gl_map: DataFrame,
-                    deposit_term: DataFrame, hot: DataFrame | None = None) -> DataFrame:
+                    deposit_term: DataFrame, hot: DataFrame | None = None,
+                    gl_codes: DataFrame | None = None) -> DataFrame:
     """Add ``gl_code = nvl(natural GL, ac_no)`` and the deposit's tenor days.
 
     Both lookups are left joins on the account number, so an entry without
     a mapping keeps its own account as GL code.  They are put together by
     account first, so the ledger is joined once.  Every contra leg sits on one
-    of a few GL accounts: hot keys, which ``hot`` names (without it the lookup
-    is cut down to the accounts in hand and salted as a whole).
+    of a few GL accounts, half the ledger on a handful of keys: ``gl_codes``
+    (column ``gl_code``, a chart of accounts) and ``hot`` name the accounts
+    whose entries are looked up in a broadcast and dealt evenly
+    (``lookup_join``).  Without either the lookup is cut down to the accounts
+    in hand and salted as a whole.
     """
     m = account_gl_map.select(F.col("ac_gl_no").alias("ac_no"), "ac_natural_gl")
     t = deposit_term.select(F.col("acc").alias("ac_no"), "orig_tenor_days")
     lookup = m.join(t, "ac_no", "full")
-    joined = salted_join(ledger, lookup, ["ac_no"], "left", reduce_keyed=True, hot=hot)
-    return (joined
-            .withColumn("gl_code", F.coalesce("ac_natural_gl", "ac_no"))
-            .drop("ac_natural_gl"))
+    named = [] if hot is None else [hot.where(F.col("kind") == "ac_no").select(F.col("key").alias("ac_no"))]
+    named += [] if gl_codes is None else [gl_codes.select(F.col("gl_code").alias("ac_no"))]
+    if not named:
+        joined = salted_join(ledger, lookup, ["ac_no"], "left", reduce_keyed=True)
+        return joined.withColumn("gl_code", F.coalesce("ac_natural_gl", "ac_no")).drop("ac_natural_gl")
+    keys = F.broadcast(reduce(DataFrame.unionByName, named).where(F.col("ac_no").isNotNull()).distinct())
+    few = (keys.join(m.join(keys, "ac_no", "left_semi"), "ac_no", "left")
+           .join(t.join(keys, "ac_no", "left_semi"), "ac_no", "left"))
+    spread = [c for c in ENTRY_COLUMNS if c in ledger.columns] or ledger.columns
+    joined = lookup_join(ledger, lookup, few, "ac_no", spread)
+    hot_gl = F.when(F.col("_hot"), F.coalesce("_hot_ac_natural_gl", "ac_no"))
+    return joined.withColumns({
+        "gl_code": F.coalesce(hot_gl, "ac_natural_gl", "_key"),
+        "orig_tenor_days": F.coalesce("_hot_orig_tenor_days", "orig_tenor_days"),
+    }).select(*ledger.columns, "orig_tenor_days", "gl_code")
 
 
 # ------------------------------------------------------------ payment mode

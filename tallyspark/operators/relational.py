@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 
 SALTS_CONF = "tallyspark.skew.salts"
 DEFAULT_SALTS = 8
+#: Values that the rows of hot keys are dealt by in a ``lookup_join``: many more than tasks.
+SEATS = 1 << 16
 ENTRY_NUMBER = "ac_entry_sr_no"
 
 
@@ -92,6 +94,29 @@ def split_sides(big: DataFrame, keyed: DataFrame, by: str, n: int, spread: list[
     return left, keyed.join(picked, by, "left").withColumn("_salt", F.explode(copies)).drop("_hot")
 
 
+def lookup_join(big: DataFrame, lookup: DataFrame, few: DataFrame, on: str,
+                spread: list[str]) -> DataFrame:
+    """``big.join(lookup, on, "left")`` for a lookup with hot keys, whatever
+    share of ``big`` they hold.
+
+    ``few`` has for each hot key its rows of ``lookup`` (one of NULLs where it
+    has none); they are broadcast.  The rows of hot keys (and of NULL) go
+    through the shuffle of the others without a key, dealt evenly over all
+    tasks by the columns ``spread``, so none of them grows with a key.  Which
+    keys are hot changes no result.  The columns of ``few`` come out with
+    ``_hot_`` in front, those of ``lookup`` are NULL for hot keys; ``_hot`` tells
+    these rows, ``_key`` is the key of all others.
+    """
+    values = [c for c in lookup.columns if c != on]
+    known = few.select(on, F.lit(True).alias("_hot"), *(F.col(c).alias(f"_hot_{c}") for c in values))
+    met = big.join(F.broadcast(known), on, "left")
+    cold = F.col("_hot").isNull() & F.col(on).isNotNull()
+    met = met.withColumns({"_key": F.when(cold, F.col(on)),
+                           "_at": F.when(cold, _salt(big, [on], SEATS)).otherwise(_salt(big, spread, SEATS))})
+    keyed = lookup.select(F.col(on).alias("_key"), _salt(lookup, [on], SEATS).alias("_at"), *values)
+    return met.join(keyed, ["_key", "_at"], "left").drop("_at")
+
+
 def not_in(rows: DataFrame, col: str, values: DataFrame, value_col: str) -> DataFrame:
     """``rows WHERE col NOT IN (SELECT value_col FROM values)``.
 

@@ -86,8 +86,8 @@ def turnover_entries(src, entries: DataFrame, hot: DataFrame) -> DataFrame:
     """The working set of R7 for the entries of any days."""
     day = postable(entries)
     day = exclude_reversed(day, src.table("reversal_entry"), "ref_code", hot=hot)
-    enriched = with_natural_gl(day, src.table("account_gl_map"), src.table("deposit_term"), hot=hot)
     gl = src.table("gl_master").select("gl_code", "type")
+    enriched = with_natural_gl(day, src.table("account_gl_map"), src.table("deposit_term"), hot=hot, gl_codes=gl)
     ds = (enriched.join(gl, "gl_code")
           .withColumn("gl_code", tenor_gl_bucket("gl_code", "orig_tenor_days"))
           .select("trn_ref_no", "ac_branch", "gl_code", "drcr_ind", "trn_code", "ac_ccy",

@@ -9,7 +9,7 @@ from contextlib import contextmanager
 import pytest
 from pyspark.sql import functions as F
 
-from tallyspark.operators.relational import salted_join, split_sides
+from tallyspark.operators.relational import lookup_join, salted_join, split_sides
 
 
 @pytest.fixture(scope="module")
@@ -124,3 +124,53 @@ def test_a_hot_transaction_comes_down_to_a_row_for_each_gl(spark):
     with conf(spark, **{"spark.sql.adaptive.enabled": "false"}):
         plan = net_by_mode(ds)._jdf.queryExecution().executedPlan().toString()
     assert "Join" not in plan and plan.count("HashAggregate") >= 4
+
+
+def lookups(spark):
+    """Accounts: one hot with two map rows and a term, one hot without any, cold
+    ones mapped twice, by term only and not at all, and NULL on each side."""
+    big = [("HOT", f"T{i}", i % 9) for i in range(3000)] + [("BARE", f"T{i}", 1) for i in range(500)]
+    big += [(f"k{i % 40}", f"T{i}", i % 5) for i in range(400)] + [(None, f"T{i}", 1) for i in range(30)]
+    mapped = [("HOT", "g1"), ("HOT", "g2"), ("k1", "g1"), ("k1", None), ("k2", "g3"), (None, "g9"), ("else", "g1")]
+    term = [("HOT", 30), ("k2", 50), ("k2", None), ("k3", 90), (None, 7)]
+    return (spark.createDataFrame(big, "ac_no string, trn_ref_no string, ac_entry_sr_no int"),
+            spark.createDataFrame(mapped, "ac_gl_no string, ac_natural_gl string"),
+            spark.createDataFrame(term, "acc string, orig_tenor_days int"))
+
+
+@pytest.mark.parametrize("codes", [[], ["HOT"], ["HOT", "HOT", None, "BARE", "k2", "k3", "not there"]])
+@pytest.mark.parametrize("picked", [[], ["BARE", "k1"]])
+def test_natural_gl_is_the_same_whichever_accounts_are_hot(spark, codes, picked):
+    from tallyspark.operators.ledger import with_natural_gl
+    big, mapped, term = lookups(spark)
+    chart = spark.createDataFrame([(c, "5") for c in codes], "gl_code string, type string")
+    got = with_natural_gl(big, mapped, term, hot=hot_keys(spark, *picked, kind="ac_no"), gl_codes=chart)
+    want = (big.join(mapped.withColumnRenamed("ac_gl_no", "ac_no").join(
+                term.withColumnRenamed("acc", "ac_no"), "ac_no", "full"), "ac_no", "left")
+            .select(*big.columns, "orig_tenor_days", F.coalesce("ac_natural_gl", "ac_no").alias("gl_code")))
+    assert got.columns == want.columns
+    assert Counter(map(tuple, got.collect())) == Counter(map(tuple, want.collect()))
+    assert Counter(map(tuple, with_natural_gl(big, mapped, term).select(want.columns).collect())) == Counter(
+        map(tuple, want.collect()))
+
+
+def test_entries_of_gl_accounts_are_dealt_evenly(spark):
+    """Accounts of the chart hold most entries: without stored counts no task
+    gets more than its share of them."""
+    from tallyspark.operators.ledger import with_natural_gl
+    big, mapped, term = lookups(spark)
+    chart = spark.createDataFrame([("HOT",), ("BARE",)], "gl_code string")
+    with conf(spark, **{"spark.sql.autoBroadcastJoinThreshold": "-1",
+                        "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+                        "spark.sql.adaptive.coalescePartitions.enabled": "false",
+                        "spark.sql.shuffle.partitions": "16"}):
+        out = with_natural_gl(big, mapped, term, hot=hot_keys(spark), gl_codes=chart)
+        parts = [r["count"] for r in out.groupBy(F.spark_partition_id().alias("p")).count().collect()]
+    assert len(parts) == 16 and max(parts) <= 2 * sum(parts) / 16
+
+
+def test_lookup_join_leaves_cold_keys_as_they_are(spark, skewed):
+    big, keyed = skewed
+    few = keyed.where("key = 'HOT'")
+    got = lookup_join(big, keyed, few, "key", ["n"]).select("key", "n", "v", F.coalesce("w", "_hot_w"))
+    assert Counter(map(tuple, got.collect())) == Counter(map(tuple, big.join(keyed, "key", "left").collect()))
