@@ -2,15 +2,14 @@
 decoding through an offset table.
 
 Encoding.  A text is split at the added (special) tokens, then by the
-tokenizer's word pattern.  Inside a word an Aho-Corasick automaton over the
-reversed vocabulary finds, in one pass, the longest token that starts at each
-byte.  A left-to-right search takes the longest token, keeps it only if the
-pair with the token before it is *compatible* (BPE applied to the two
-tokens' bytes would give just these two), otherwise tries the next shorter
-token that is a prefix, and steps back when none is left.  Positions found to
-be dead ends are marked, so each is left at most once: linear time, and the
-unique sequence in which all neighbours are compatible is exactly what the
-merges give.
+tokenizer's word pattern.  Inside a word a trie of the vocabulary finds the
+longest token that starts at a byte.  A left-to-right search takes the longest
+token, keeps it only if the pair with the token before it is *compatible* (BPE
+applied to the two tokens' bytes would give just these two), otherwise tries
+the next shorter token that is a prefix, and steps back when none is left.
+Positions found to be dead ends are marked, so each is left at most once:
+linear time, and the unique sequence in which all neighbours are compatible is
+exactly what the merges give.
 
 Defined results: a null text encodes as an empty list, null ids decode as an
 empty text; ids outside the vocabulary decode to nothing; bytes that are not
@@ -22,7 +21,9 @@ is replaced.
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
+import re
+from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import ahocorasick
 import numpy as np
@@ -37,9 +38,22 @@ from .batches import with_arrow_columns
 
 #: The byte-level word pattern (a fixed value of the format).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: The same for texts of Latin-1 characters alone, for the faster engine.
+_L, _N, _S = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\xff", "0-9\xb2\xb3\xb9\xbc-\xbe", "\t-\r \x85\xa0"
+LATIN_PATTERN = f"'(?:[stmd]|re|ve|ll)| ?[{_L}]+| ?[{_N}]+| ?[^{_S}{_L}{_N}]+|[{_S}]+(?![^{_S}])|[{_S}]+"
 _FOREVER = 1 << 60
 
 
+def _is_latin(text: str) -> bool:
+    if text.isascii():
+        return True
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
+
+
 def byte_alphabet() -> list[str]:
     """The printable character that stands for each byte in byte-level files:
     itself where Latin-1 prints it, else the next free one from U+0100 on."""
@@ -81,23 +95,49 @@ class Vocabulary:
         self.blob = np.frombuffer(b"".join(by_id.get(i, b"") for i in range(len(sizes))), np.uint8)
 
 
+class Remembered(dict):
+    """Results by key: two generations of at most ``most`` keys, so that what is
+    asked again stays while the rest goes.  Keys longer than 64 are not kept."""
+
+    def __init__(self, compute: Callable, most: int):
+        super().__init__()
+        self.compute, self.most, self.before = compute, most, {}
+
+    def __missing__(self, key):
+        value = self.before.get(key)
+        if value is None:
+            value = self.compute(key)
+            if len(key) > 64:
+                return value
+        if len(self) >= self.most:
+            self.before = dict(self)
+            self.clear()
+        self[key] = value
+        return value
+
+
 class Encoder:
-    """Encodes texts; one per task.  ``cache`` bounds the remembered words and pairs."""
+    """Encodes texts; one per worker process.  ``cache`` bounds the remembered
+    words of a generation and the remembered pairs."""
 
-    def __init__(self, path: str, cache: int = 200_000):
+    def __init__(self, path: str, cache: int = 100_000, pairs: int = 400_000):
         v = self.v = Vocabulary(path)
-        self.cache = cache
-        self.words: dict[str, bytes] = {}
-        self.pairs: dict[tuple[int, int], bool] = {}
+        self.most_pairs = pairs
+        self.words = Remembered(self._ids_of_word, cache)
+        self.pairs: dict[int, bool] = {}
+        self.id_bytes = [i.to_bytes(4, "little", signed=True) for i in v.id_of]
         self.size = [len(b) for b in v.bytes_of]
-        number = {b: i for i, b in reversed(list(enumerate(v.bytes_of)))}
-        self.number = number
-        self.shorter = [self._prefix(b, number) for b in v.bytes_of]
-        self.auto = ahocorasick.Automaton()
-        for b, i in number.items():
-            self.auto.add_word(b[::-1].decode("latin-1"), (len(b), i))
-        self.auto.make_automaton()
+        self.most = max(self.size)
+        # Bytes as Latin-1 text, which the trie takes.
+        latin = [b.decode("latin-1") for b in v.bytes_of]
+        self.number = {b: i for i, b in reversed(list(enumerate(latin)))}
+        self.shorter = [self._prefix(b, self.number) for b in latin]
+        trie = ahocorasick.Automaton(ahocorasick.STORE_INTS)
+        for b, i in self.number.items():
+            trie.add_word(b, i)
+        self.in_trie = trie.longest_prefix
         self.split = regex.compile(PATTERN).findall
+        self.split_latin = re.compile(LATIN_PATTERN).findall
         # Characters that this pattern engine does not know yet may be letters
         # for the library: texts with any are split by the library's pattern.
         self.unknown = regex.compile(r"\p{Cn}").search
@@ -106,7 +146,7 @@ class Encoder:
         self.at_added = regex.compile("(" + "|".join(map(regex.escape, marks)) + ")") if marks else None
 
     @staticmethod
-    def _prefix(b: bytes, number: dict[bytes, int]) -> int:
+    def _prefix(b: str, number: dict[str, int]) -> int:
         return next((number[b[:n]] for n in range(len(b) - 1, 0, -1) if b[:n] in number), -1)
 
     def compatible(self, a: int, b: int) -> bool:
@@ -140,41 +180,42 @@ class Encoder:
 
     def word(self, data: bytes) -> list[int]:
         """Token numbers of one word, by backtracking."""
-        whole = self.number.get(data)
-        n = len(data)
-        if n == 1:
-            return [whole]
-        longest: list[int] = [-1] * n
-        for end, (_, token) in self.auto.iter(data[::-1].decode("latin-1")):
-            if longest[n - 1 - end] < 0:  # the longest match at an end comes first
-                longest[n - 1 - end] = token
-        size, shorter, pairs = self.size, self.shorter, self.pairs
-        alive = bytearray(b"\x01") * (n + 1)
+        text, n = data.decode("latin-1"), len(data)
+        number, size, shorter, pairs = self.number.get, self.size, self.shorter, self.pairs
+        token = number(text)
+        if token is not None:
+            return [token]
+        dead: set[int] = set()
         out: list[int] = []
-        pos, token = 0, longest[0]
+        pos, last = 0, -1
         while pos < n:
-            end = pos + size[token]
-            if alive[end]:
-                if not out:
-                    good = True
-                else:
-                    pair = (out[-1], token)
+            k = self.in_trie(text[pos:pos + self.most])
+            token = number(text[pos:pos + k])
+            while token is None:  # the trie goes on after the longest token
+                k -= 1
+                token = number(text[pos:pos + k])
+            while True:
+                end = pos + size[token]
+                if end not in dead:
+                    if last < 0:
+                        break
+                    pair = last << 32 | token
                     good = pairs.get(pair)
                     if good is None:
-                        if len(pairs) >= self.cache:
+                        if len(pairs) >= self.most_pairs:
                             pairs.clear()
-                        good = pairs[pair] = self.compatible(*pair)
-                if good:
-                    out.append(token)
-                    pos = end
-                    token = longest[pos] if pos < n else -1
-                    continue
-            token = shorter[token]
-            while token < 0:  # no token fits here: this position is a dead end
-                alive[pos] = 0
-                token = out.pop()
-                pos -= size[token]
+                        good = pairs[pair] = self.compatible(last, token)
+                    if good:
+                        break
                 token = shorter[token]
+                while token < 0:  # no token fits here: this position is a dead end
+                    dead.add(pos)
+                    token = out.pop()
+                    pos -= size[token]
+                    last = out[-1] if out else -1
+                    token = shorter[token]
+            out.append(token)
+            pos, last = end, token
         return out
 
     def ids(self, text: str) -> bytes:
@@ -188,21 +229,16 @@ class Encoder:
     def _plain(self, text: str) -> bytes:
         if not text:
             return b""
-        if self.unknown(text):
+        if _is_latin(text):
+            words = self.split_latin(text)
+        elif self.unknown(text):
             words = [text[a:b] for _, (a, b) in self.library.pre_tokenize_str(text)]
         else:
             words = self.split(text)
-        known, out = self.words, []
-        for w in words:
-            ids = known.get(w)
-            if ids is None:
-                if len(known) >= self.cache:
-                    known.clear()
-                ids = np.array([self.v.id_of[t] for t in self.word(w.encode())], np.int32).tobytes()
-                if len(w) <= 64:
-                    known[w] = ids
-            out.append(ids)
-        return b"".join(out)
+        return b"".join(map(self.words.__getitem__, words))
+
+    def _ids_of_word(self, word: str) -> bytes:
+        return b"".join(map(self.id_bytes.__getitem__, self.word(word.encode())))
 
 
 class Decoder:
@@ -225,12 +261,23 @@ class Decoder:
         return self.blob[np.repeat(start - (ends - size), size) + np.arange(ends[-1])].tobytes()
 
 
+# The tables of the last tokenizer stay in a worker process for its next task.
+@lru_cache(maxsize=1)
+def encoder_of(path: str) -> Encoder:
+    return Encoder(path)
+
+
+@lru_cache(maxsize=1)
+def decoder_of(path: str) -> Decoder:
+    return Decoder(path)
+
+
 def encode(docs: DataFrame, tokenizer_path: str, text_col: str = "text",
            ids_col: str = "ids") -> DataFrame:
     """``docs`` with ``ids_col`` array<int>: the ids of the whole text."""
 
     def make():
-        encoder = Encoder(tokenizer_path)
+        encoder = encoder_of(tokenizer_path)
 
         def compute(batch: pa.RecordBatch) -> list[pa.Array]:
             each = [encoder.ids(t) if t else b"" for t in _texts(batch, text_col)]
@@ -252,7 +299,7 @@ def decode(encoded: DataFrame, tokenizer_path: str, ids_col: str = "ids",
                           + [T.StructField(decoded_col, T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        decoder = Decoder(tokenizer_path)
+        decoder = decoder_of(tokenizer_path)
         for whole in batches:
             for k in range(0, whole.num_rows, 512):
                 batch = whole.slice(k, 512)

@@ -38,6 +38,29 @@ def test_bpe_equals_the_library(spark):
         assert r["decoded"] == library.decode(want, skip_special_tokens=False)
 
 
+def test_small_caches_and_latin_splits_change_no_id():
+    """Two words a generation and two pairs: every word is asked again; Latin-1
+    texts are split by a pattern of their own."""
+    library, tight = Tokenizer.from_file(BPE), bpe.Encoder(BPE, cache=2, pairs=2)
+    latin, whole = bpe.re.compile(bpe.LATIN_PATTERN).findall, bpe.regex.compile(bpe.PATTERN).findall
+    rng = random.Random(9)
+    texts = ["".join(chr(rng.choice([rng.randint(0, 255), 32, 32, 39, 115, 116, 101])) for _ in range(60)) for _ in range(400)]
+    texts += [chr(c) + chr(d) for c in range(256) for d in range(256)]
+    assert all(latin(t) == whole(t) for t in texts)
+    for t in [*texts[:400], *strange(), "a" * 5000, "=-" * 700, "x" * 65 + " " + "x" * 65]:
+        assert np.frombuffer(tight.ids(t), np.int32).tolist() == library.encode(t, add_special_tokens=False).ids
+    assert len(tight.words) <= 2 and len(tight.words.before) <= 2 and len(tight.pairs) <= 2
+
+
+def test_a_worker_builds_its_tables_once_and_remembers_what_recurs():
+    assert bpe.encoder_of(BPE) is bpe.encoder_of(BPE) and bpe.decoder_of(BPE) is bpe.decoder_of(BPE)
+    asked = []
+    known = bpe.Remembered(lambda k: asked.append(k) or k.upper(), 3)
+    for k in ["often", "a", "b", "often", "c", "d", "often", "e", "f", "often", "g" * 65, "g" * 65]:
+        assert known[k] == k.upper()
+    assert asked.count("often") == 1 and asked.count("g" * 65) == 2
+
+
 def test_every_token_encodes_as_itself_and_decodes():
     encoder, decoder = bpe.Encoder(BPE), bpe.Decoder(BPE)
     assert all(encoder.word(b) == [k] for k, b in enumerate(encoder.v.bytes_of))
