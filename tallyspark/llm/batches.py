@@ -106,6 +106,12 @@ def binary_column(batch: pa.RecordBatch, name: str) -> list[bytes | None]:
     return batch.column(name).cast(pa.binary()).to_pylist()
 
 
+def give_back() -> None:
+    """Returns a task's freed Arrow buffers to the system: Spark keeps the
+    worker process for later tasks, of whatever operator."""
+    pa.default_memory_pool().release_unused()
+
+
 def column_slices(batch: pa.RecordBatch, name: str, most_bytes: int = 16 << 20
                   ) -> Iterator[pa.RecordBatch]:
     """The batch in slices of about ``most_bytes`` of that column (one row at least)."""
@@ -120,11 +126,12 @@ def column_slices(batch: pa.RecordBatch, name: str, most_bytes: int = 16 << 20
 
 
 def with_arrow_columns(df: DataFrame, fields: list[T.StructField], text_col: str,
-                       make: Callable[[], Callable[[pa.RecordBatch], list[pa.Array]]]) -> DataFrame:
-    """``df`` with new columns computed batch by batch.
+                       make: Callable[[], Callable[[pa.RecordBatch], list[pa.Array]]],
+                       most_bytes: int = 16 << 20, end: Callable[[], None] | None = None) -> DataFrame:
+    """``df`` with new columns computed by batches of about ``most_bytes`` of text.
 
     ``make`` runs once per task and returns the function that computes the
-    new columns of a batch.  A column of ``df`` that has the name of a new
+    new columns of a batch; ``end`` runs when the task has no more.  A column of ``df`` that has the name of a new
     one is replaced.
     """
     new = {f.name for f in fields}
@@ -138,10 +145,13 @@ def with_arrow_columns(df: DataFrame, fields: list[T.StructField], text_col: str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         compute = make()
         for whole in batches:
-            for batch in column_slices(whole, read):
+            for batch in column_slices(whole, read, most_bytes):
                 columns = compute(batch.rename_columns(
                     [text_col if c == read else c for c in batch.schema.names]))
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(c) for c in keep] + columns, names=[f.name for f in schema.fields])
+        if end:
+            end()
+        give_back()
 
     return src.mapInArrow(run, schema)

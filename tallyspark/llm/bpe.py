@@ -23,7 +23,7 @@ from __future__ import annotations
 import json
 import re
 from collections.abc import Callable, Iterator
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import ahocorasick
 import numpy as np
@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
-from .batches import with_arrow_columns
+from .batches import give_back, with_arrow_columns
 
 #: The byte-level word pattern (a fixed value of the format).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -42,6 +42,8 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 _L, _N, _S = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\xff", "0-9\xb2\xb3\xb9\xbc-\xbe", "\t-\r \x85\xa0"
 LATIN_PATTERN = f"'(?:[stmd]|re|ve|ll)| ?[{_L}]+| ?[{_N}]+| ?[^{_S}{_L}{_N}]+|[{_S}]+(?![^{_S}])|[{_S}]+"
 _FOREVER = 1 << 60
+#: Text that is encoded before its ids go on.
+SLICE_BYTES = 2 << 20
 
 
 def _is_latin(text: str) -> bool:
@@ -120,7 +122,7 @@ class Encoder:
     """Encodes texts; one per worker process.  ``cache`` bounds the remembered
     words of a generation and the remembered pairs."""
 
-    def __init__(self, path: str, cache: int = 100_000, pairs: int = 400_000):
+    def __init__(self, path: str, cache: int = 100_000, pairs: int = 250_000):
         v = self.v = Vocabulary(path)
         self.most_pairs = pairs
         self.words = Remembered(self._ids_of_word, cache)
@@ -141,10 +143,20 @@ class Encoder:
         # Characters that this pattern engine does not know yet may be letters
         # for the library: texts with any are split by the library's pattern.
         self.unknown = regex.compile(r"\p{Cn}").search
-        self.library = Tokenizer.from_file(path).pre_tokenizer
+        self.path = path
         marks = sorted(v.added, key=len, reverse=True)
         self.at_added = regex.compile("(" + "|".join(map(regex.escape, marks)) + ")") if marks else None
 
+    @cached_property
+    def library(self):
+        return Tokenizer.from_file(self.path).pre_tokenizer
+
+    def forget(self) -> None:
+        """Drops the remembered words and pairs, so that an idle worker is small."""
+        self.words.before = {}
+        self.words.clear()
+        self.pairs.clear()
+
     @staticmethod
     def _prefix(b: str, number: dict[str, int]) -> int:
         return next((number[b[:n]] for n in range(len(b) - 1, 0, -1) if b[:n] in number), -1)
@@ -288,7 +300,8 @@ def encode(docs: DataFrame, tokenizer_path: str, text_col: str = "text",
         return compute
 
     return with_arrow_columns(docs, [T.StructField(ids_col, T.ArrayType(T.IntegerType()))],
-                              text_col, make)
+                              text_col, make, most_bytes=SLICE_BYTES,
+                              end=lambda: encoder_of(tokenizer_path).forget())
 
 
 def decode(encoded: DataFrame, tokenizer_path: str, ids_col: str = "ids",
@@ -312,6 +325,7 @@ def decode(encoded: DataFrame, tokenizer_path: str, ids_col: str = "ids",
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(c) for c in keep] + [pa.array(texts, pa.string())],
                     names=schema.fieldNames())
+        give_back()
 
     return encoded.select(*keep).mapInArrow(run, schema)
 

@@ -193,3 +193,25 @@ def test_pairs_are_learnt():
     model = quality_model.fit(x[:3000], y[:3000])
     assert (0, 1) in model.pairs
     assert ((model.score(x[3000:]) >= .5) == y[3000:]).mean() > 0.9
+
+
+def test_slices_are_small_and_a_task_ends_once(spark, tmp_path):
+    """What a worker holds at once is bounded by ``most_bytes``; ``end`` runs
+    when the task has no more; a forgetful encoder gives the same ids."""
+    from pyspark.sql import types as T
+    from tallyspark.llm.batches import with_arrow_columns
+    ended = str(tmp_path / "ended")
+    make = lambda: lambda batch: [bpe.pa.array([batch.num_rows] * batch.num_rows, bpe.pa.int32())]
+
+    def end():
+        with open(ended, "a") as f:
+            f.write("x")
+
+    docs = documents(spark, [(k, "a" * 1000) for k in range(20)]).coalesce(1)
+    got = with_arrow_columns(docs, [T.StructField("rows", T.IntegerType())], "text", make, most_bytes=2500, end=end)
+    assert {r["rows"] for r in got.collect()} == {2} and open(ended).read() == "x"
+    encoder = bpe.Encoder(BPE)
+    before = encoder.ids("zqxj wvut zqxj")
+    encoder.forget()
+    assert not encoder.words and not encoder.words.before and not encoder.pairs
+    assert encoder.ids("zqxj wvut zqxj") == before
