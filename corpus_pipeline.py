@@ -45,7 +45,10 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_50k.json")
-    decoded = bpe.decode(bpe.encode(docs, path), path, decoded_col="_decoded")
+    # The shuffle parts the two: a core's one Python worker first encodes, then
+    # decodes, in place of two workers with their tables and batches at a time.
+    encoded = bpe.encode(docs, path).repartition("doc_id", "text")
+    decoded = bpe.decode(encoded, path, decoded_col="_decoded")
     return decoded.withColumns({"n_tokens": F.size("ids").cast("long"),
                                 "decoded_sha256": F.sha2("_decoded", 256)}).drop("_decoded")
 

@@ -7,6 +7,8 @@ that grows with the data.
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -107,9 +109,13 @@ def binary_column(batch: pa.RecordBatch, name: str) -> list[bytes | None]:
 
 
 def give_back() -> None:
-    """Returns a task's freed Arrow buffers to the system: Spark keeps the
-    worker process for later tasks, of whatever operator."""
+    """Returns freed memory, of Arrow and of the C library, to the system:
+    Spark keeps the worker process for later tasks, of whatever operator."""
+    gc.collect()
     pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+    if trim:
+        trim(0)
 
 
 def column_slices(batch: pa.RecordBatch, name: str, most_bytes: int = 16 << 20
@@ -150,6 +156,8 @@ def with_arrow_columns(df: DataFrame, fields: list[T.StructField], text_col: str
                     [text_col if c == read else c for c in batch.schema.names]))
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(c) for c in keep] + columns, names=[f.name for f in schema.fields])
+            whole = batch = columns = None  # gone before the next batch comes
+            pa.default_memory_pool().release_unused()
         if end:
             end()
         give_back()

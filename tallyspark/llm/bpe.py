@@ -149,7 +149,9 @@ class Encoder:
 
     @cached_property
     def library(self):
-        return Tokenizer.from_file(self.path).pre_tokenizer
+        splitter = Tokenizer.from_file(self.path).pre_tokenizer
+        give_back()
+        return splitter
 
     def forget(self) -> None:
         """Drops the remembered words and pairs, so that an idle worker is small."""
@@ -274,14 +276,19 @@ class Decoder:
 
 
 # The tables of the last tokenizer stay in a worker process for its next task.
+# What is left of the file, and of the worker's earlier tasks, goes first.
 @lru_cache(maxsize=1)
 def encoder_of(path: str) -> Encoder:
-    return Encoder(path)
+    encoder = Encoder(path)
+    give_back()
+    return encoder
 
 
 @lru_cache(maxsize=1)
 def decoder_of(path: str) -> Decoder:
-    return Decoder(path)
+    decoder = Decoder(path)
+    give_back()
+    return decoder
 
 
 def encode(docs: DataFrame, tokenizer_path: str, text_col: str = "text",

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import random
+import re
+from pathlib import Path
 from zlib import crc32
 
 import numpy as np
@@ -12,6 +14,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer, models, pre_tokenizers
 
 from tallyspark.llm import bpe, langid, quality_model, queries, token_count
+from tallyspark.llm.batches import give_back
 from tests.llm.helpers import corpus, documents
 
 SF = "/root/testdata/sf0.01"
@@ -61,6 +64,19 @@ def test_a_worker_builds_its_tables_once_and_remembers_what_recurs():
     assert asked.count("often") == 1 and asked.count("g" * 65) == 2
 
 
+def test_a_worker_gives_freed_memory_back():
+    def held_mb():
+        return int(re.search(r"RssAnon:\s+(\d+)", Path("/proc/self/status").read_text())[1]) / 1024
+
+    before = held_mb()
+    blocks = [bytes(1000) for _ in range(200_000)]
+    few = blocks[::200]  # so that the freed blocks are not the heap's end
+    assert held_mb() > before + 150
+    del blocks
+    give_back()
+    assert held_mb() < before + 50 and len(few) == 1000
+
+
 def test_every_token_encodes_as_itself_and_decodes():
     encoder, decoder = bpe.Encoder(BPE), bpe.Decoder(BPE)
     assert all(encoder.word(b) == [k] for k, b in enumerate(encoder.v.bytes_of))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import re
 from collections import Counter
 
 import corpus_pipeline
@@ -64,6 +65,14 @@ def test_the_last_stage_decodes_its_ids(spark):
         assert r["decoded_sha256"] == hashlib.sha256((r["text"] or "").encode()).hexdigest()
 
 
+def test_the_last_stage_encodes_before_it_decodes(spark):
+    """Two Arrow passes in one stage would hold two Python workers a core."""
+    done = corpus_pipeline.STAGES[-1][1](spark, documents(spark, [(1, "a b"), (1, "a b"), (None, None)]), "")
+    steps = re.findall(r"MapInArrow|Exchange", done._jdf.queryExecution().executedPlan().toString())
+    assert steps == ["MapInArrow", "Exchange", "MapInArrow"]
+    assert sorted(len(r["ids"]) for r in done.collect()) == [0, 2, 2]
+
+
 def test_stages_keep_the_columns(spark, tmp_path):
     spark.createDataFrame([(1, "x")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     docs = documents(spark, corpus(n=20))
